@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings read as missing in occurrence tables.
 MISSING_TOKENS = ["", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -69,34 +73,38 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def _g(v: float, digits: int) -> str:
+    return "nan" if math.isnan(v) else f"{v:.{digits}g}"
+
+
 def general_number(x: Column, digits: int = 6) -> Column:
-    """Shortest `%g`-style text with at most `digits` significant digits."""
-    sci = F.format_string(f"%.{digits - 1}e", x)
-    negative = sci.startswith("-")
-    sci = F.regexp_replace(sci, "^-", "")
-    power = F.regexp_extract(sci, "e([+-][0-9]+)$", 1).cast("int")
-    ds = F.regexp_replace(F.regexp_extract(sci, "^([0-9.]+)e", 1), r"\.", "")
-    point = F.greatest(power + 1, F.lit(0))
-    whole = F.when(power < 0, F.lit("0")).otherwise(F.substring(ds, F.lit(1), point))
-    zeros = F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0)))
-    frac = F.when(power < 0, F.concat(zeros, ds)).otherwise(F.substring(ds, point + 1, F.lit(digits)))
-    fixed = F.regexp_replace(F.regexp_replace(F.concat(whole, F.lit("."), frac), "0+$", ""), r"\.$", "")
-    mant = F.concat(F.substring(ds, 1, 1), F.lit("."), F.substring(ds, 2, digits))
-    mant = F.regexp_replace(F.regexp_replace(mant, "0+$", ""), r"\.$", "")
-    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
-    expo = F.concat(mant, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    body = F.when((power < -4) | (power >= digits), expo).otherwise(fixed)
-    out = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), body)
-    return F.when(x.isNull() | F.isnan(x), F.lit("nan")).otherwise(out)
-
-
-def setting_text(v: Column) -> Column:
-    """Display text of a setting: numbers shortened, small and large ones to two digits, other text unchanged."""
-    x = to_number(v)
-    wide = (x != 0) & ((F.abs(x) < 0.001) | (F.abs(x) >= 10000))
-    num = F.when(wide, general_number(x, 2)).otherwise(general_number(x, 6))
-    word = F.when(v.isin("true", "false"), F.initcap(v)).otherwise(v)
-    return F.when(v.isNull(), F.lit("None")).when(x.isNotNull(), num).otherwise(word)
+    """Shortest `%g` text with at most `digits` significant digits.
+
+    The JVM's `%g` keeps trailing zeros and rounds ties of the decimal form, so this is an
+    Arrow-batched function.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def fmt(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: _g(v, digits), na_action=None)
+
+    return fmt(x)
+
+
+def _setting(v: str | None) -> str:
+    if v is None:
+        return "None"
+    try:
+        x = float(v)
+    except ValueError:
+        return v.capitalize() if v in ("true", "false") else v
+    return _g(x, 2 if x and (abs(x) < 0.001 or abs(x) >= 10000) else 6)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def setting_texts(s: pd.Series) -> pd.Series:
+    """Display texts of settings: numbers shortened (very small and large ones to two digits), words unchanged."""
+    return s.map(lambda vs: [_setting(v) for v in vs])
 
 
 def settings_equal(a: Column, b: Column) -> Column:

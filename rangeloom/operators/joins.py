@@ -23,15 +23,17 @@ def salted_join(
     how: str = "inner",
     spread: str | None = None,
     cond: Column | None = None,
+    census: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join `many` to `few` on `on`, where `many` may crowd on some keys and `few` is bounded per key.
 
     Crowded keys of `many` are cut into salts by the hash of `spread`; only their rows of `few` are
-    repeated. The table of crowded keys is bounded, so it is broadcast. `cond` may use both sides'
-    columns (names must differ).
+    repeated. The table of crowded keys is bounded, so it is broadcast. Keys are counted on `census`
+    when given: a stored frame that `many` was filtered from, so a chain of joins does not run its
+    earlier steps twice. `cond` may use both sides' columns (names must differ).
     """
-    hot = F.broadcast(hot_keys(many, on, hot_rows))
+    hot = F.broadcast(hot_keys(many if census is None else census, on, hot_rows))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     pick = F.xxhash64(F.col(spread)) if spread else F.xxhash64(*[F.col(c) for c in many.columns])
     left = many.join(hot, on, "left").withColumn("_salt", F.pmod(pick, salts).cast("int")).drop("_salts")
@@ -71,6 +73,7 @@ def grid_join(
     reach: int = 1,
     extra: Column | None = None,
     strict: bool = False,
+    census: DataFrame | None = None,
 ) -> DataFrame:
     """Points (`x, y`) with centres (`c_x, c_y`) at most `radius` apart (`strict`: less than).
 
@@ -84,4 +87,5 @@ def grid_join(
     d2 = dx * dx + dy * dy
     near = d2 < radius * radius if strict else d2 <= radius * radius
     cond = near if extra is None else near & extra
-    return salted_join(p, c, [*by, "_bx", "_by"], how, spread, cond).drop("_bx", "_by")
+    seen = None if census is None else with_bin(census, "x", "y", side)
+    return salted_join(p, c, [*by, "_bx", "_by"], how, spread, cond, seen).drop("_bx", "_by")

@@ -85,23 +85,28 @@ def nearest_presence(points: DataFrame, centres: DataFrame, by: list[str], ident
     return out.withColumn("nearest_presence_km", F.col("_m") / 1000.0).drop("_m")
 
 
-def in_annulus(points: DataFrame, centres: DataFrame, by: list[str], ident: str, inner_m: float, outer_m: float) -> DataFrame:
+def in_annulus(
+    points: DataFrame, centres: DataFrame, by: list[str], ident: str, inner_m: float, outer_m: float, census: DataFrame | None = None
+) -> DataFrame:
     """Points with some centre within `outer_m` and none closer than `inner_m`."""
-    out = grid_join(points, centres, by, outer_m, "left_semi", ident)
-    return outside(out, centres, by, ident, inner_m)
+    base = points if census is None else census
+    out = grid_join(points, centres, by, outer_m, "left_semi", ident, census=base)
+    return outside(out, centres, by, ident, inner_m, base)
 
 
-def outside(points: DataFrame, centres: DataFrame, by: list[str], ident: str, inner_m: float) -> DataFrame:
+def outside(points: DataFrame, centres: DataFrame, by: list[str], ident: str, inner_m: float, census: DataFrame | None = None) -> DataFrame:
     """Points with no centre closer than `inner_m`."""
     if inner_m <= 0:
         return points
-    return grid_join(points, centres, by, inner_m, "left_anti", ident, strict=True)
+    return grid_join(points, centres, by, inner_m, "left_anti", ident, strict=True, census=census)
 
 
-def not_in_presence_cell(points: DataFrame, presences: DataFrame, by: list[str], spread: str) -> DataFrame:
+def not_in_presence_cell(
+    points: DataFrame, presences: DataFrame, by: list[str], spread: str, census: DataFrame | None = None
+) -> DataFrame:
     """Points whose raster cell holds no presence."""
     keys = [*by, "cell_row", "cell_col"]
-    return salted_join(points, presences.select(*keys).distinct(), keys, "left_anti", spread)
+    return salted_join(points, presences.select(*keys).distinct(), keys, "left_anti", spread, census=census)
 
 
 def _draws(ranked: DataFrame, sizes: DataFrame, by: list[str], factor: float, seed: int) -> DataFrame:
@@ -121,12 +126,16 @@ def _pool_until(
     seed: int,
     max_rounds: int,
     propose: Callable[[DataFrame, int], DataFrame],
+    accept: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Pool candidate rounds, one point per free cell, until every group has as many cells as presences."""
+    """Pool candidate rounds, one point per free cell, until every group has as many cells as presences.
+
+    Proposals are stored once per round; the acceptance joins count their crowded keys on that table.
+    """
     pool, open_groups = None, sizes
     for i in range(max_rounds):
-        cand = with_cell(propose(open_groups, seed + i), grid)
-        cand = not_in_presence_cell(cand, presences, by, "draw_key")
+        drawn = materialize(with_cell(propose(open_groups, seed + i), grid), "drawn")
+        cand = not_in_presence_cell(accept(drawn), presences, by, "draw_key", drawn)
         merged = cand if pool is None else pool.unionByName(cand)
         pool = materialize(first_by(merged, [*by, "cell_row", "cell_col"], "draw_key"), "pool")
         have = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_have"))
@@ -185,12 +194,14 @@ def background_radial(
         near = d.withColumn("_rk", pick).join(origin, [*by, "_rk"])
         ox, oy = annulus_offset(F.col("draw_key"), inner, outer)
         moved = near.select(*by, "draw", "draw_key", (F.col("x") + ox).alias("x"), (F.col("y") + oy).alias("y"))
-        # A draw is within the outer radius of its own origin, so only the inner bound can fail.
-        free = outside(moved, as_centres(ranked, by), by, "draw_key", inner)
         lat, lon = albers_inverse(F.col("x"), F.col("y"))
-        return free.withColumn("lat", lat).withColumn("lon", lon)
+        return moved.withColumn("lat", lat).withColumn("lon", lon)
+
+    def accept(drawn: DataFrame) -> DataFrame:
+        # A draw is within the outer radius of its own origin, so only the inner bound can fail.
+        return outside(drawn, as_centres(ranked, by), by, "draw_key", inner, drawn)
 
-    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose)
+    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose, accept)
     rule = f"radial_doughnut_{_km(inner_km)}_{_km(outer_km)}_km"
     return _finish(pool, sizes, ranked, by, seed, max(inner * 2, outer / 16), outer, rule)
 
@@ -225,12 +236,13 @@ def background_polygon(
         k = F.col("draw_key")
         d = d.withColumn("lon", F.col("x1") + uniform(k, 0) * (F.col("x2") - F.col("x1")))
         d = d.withColumn("lat", F.col("y1") + uniform(k, 1) * (F.col("y2") - F.col("y1")))
-        d = with_albers(d.select(*by, "draw", "draw_key", "lat", "lon"))
-        if footprint is not None:
-            d = footprint(d)
-        return in_annulus(d, as_centres(ranked, by), by, "draw_key", inner, outer)
+        return with_albers(d.select(*by, "draw", "draw_key", "lat", "lon"))
+
+    def accept(drawn: DataFrame) -> DataFrame:
+        kept = drawn if footprint is None else footprint(drawn)
+        return in_annulus(kept, as_centres(ranked, by), by, "draw_key", inner, outer, drawn)
 
-    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose)
+    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose, accept)
     rule = f"doughnut_{_km(inner_km)}_{_km(outer_km)}_km"
     return _finish(pool, sizes, ranked, by, seed, max(inner * 2, outer / 16), outer, rule)
 

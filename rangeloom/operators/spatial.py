@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
+from ..session import materialize
 from .joins import grid_join, salted_join
 
 # Side of a lookup bin in degrees; tiles cover a bounded number of bins.
@@ -64,6 +65,7 @@ def sampling_area_km2(presences: DataFrame, by: list[str], inner_m: float, outer
     pts = cells.withColumn("x", (F.col("gx") + 0.5) * step_m).withColumn("y", (F.col("gy") + 0.5) * step_m)
     pts = pts.withColumn("_id", F.concat_ws("_", "gx", "gy"))
     centres = presences.select(*by, F.col("x").alias("c_x"), F.col("y").alias("c_y"))
+    pts = materialize(pts, "lattice")
     zone = grid_join(pts, centres, by, outer_m, "left_semi", "_id")
-    zone = grid_join(zone, centres, by, inner_m, "left_anti", "_id", strict=True)
+    zone = grid_join(zone, centres, by, inner_m, "left_anti", "_id", strict=True, census=pts)
     return zone.groupBy(*by).agg((F.count(F.lit(1)) * (step_m / 1000.0) ** 2).alias("area_km2"))

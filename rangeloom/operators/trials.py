@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, setting_text, settings_equal, to_number
+from ..functions.text import base_name, setting_texts, settings_equal, to_number
+from ..session import materialize
 from .joins import salted_join
 from .ranks import before, quantiles
 
@@ -54,17 +55,22 @@ def changes(current: Column, prior: Column) -> Column:
     """Text of the settings that differ, in report order."""
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), current[k].alias("now"), prior[k].alias("old")) for k in SETTINGS])
     moved = F.filter(pairs, lambda p: p["now"].isNotNull() & ~settings_equal(p["now"], p["old"]))
-    text = F.transform(moved, lambda p: F.concat(p["k"], F.lit(": "), setting_text(p["old"]), F.lit(" -> "), setting_text(p["now"])))
-    return F.when(F.size(text) == 0, F.lit(SAME)).otherwise(F.array_join(text, "; "))
+    texts = [setting_texts(F.transform(moved, lambda p: p["old"])), setting_texts(F.transform(moved, lambda p: p["now"]))]
+    rows = F.arrays_zip(F.transform(moved, lambda p: p["k"]).alias("k"), texts[0].alias("old"), texts[1].alias("now"))
+    line = F.array_join(F.transform(rows, lambda p: F.concat(p["k"], F.lit(": "), p["old"], F.lit(" -> "), p["now"])), "; ")
+    return F.when(F.size(moved) == 0, F.lit(SAME)).otherwise(line)
 
 
 def best_so_far(df: DataFrame) -> DataFrame:
-    """Running best MCC, whether the trial reaches it, and whether several rows share that best."""
+    """Ordinal, running best MCC, whether the trial reaches it, and whether several rows share that best."""
+    d = df.withColumn("run_time", run_time(F.col("run_id"))).withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("run_time").asc_nulls_last(), F.col("run_id")]
+    d = before(d, [BENCH], *_time_buckets(), order, sums=["_one"], maxes=["mean_val_mcc"])
     v = F.col("mean_val_mcc")
-    d = before(df, [BENCH], *_time_buckets(), order, maxes=["mean_val_mcc"])
+    d = d.withColumn("trial", F.col("_one_before") + 1)
     d = d.withColumn("best_so_far_mcc", F.when(v.isNotNull(), F.greatest(v, F.col("mean_val_mcc_before"))))
-    d = d.drop("mean_val_mcc_before").withColumn("is_new_best", F.coalesce(v == F.col("best_so_far_mcc"), F.lit(False)))
+    d = d.drop("mean_val_mcc_before", "_one", "_one_before")
+    d = materialize(d.withColumn("is_new_best", F.coalesce(v == F.col("best_so_far_mcc"), F.lit(False))), "running_best")
     share = d.groupBy(BENCH, "best_so_far_mcc").agg(F.count(F.lit(1)).alias("_n")).filter("best_so_far_mcc IS NOT NULL")
     d = salted_join(d, share, [BENCH, "best_so_far_mcc"], "left", "run_id")
     return d.withColumn("is_repeat_best", F.col("is_new_best") & (F.coalesce("_n", F.lit(0)) > 1)).drop("_n")
@@ -72,7 +78,7 @@ def best_so_far(df: DataFrame) -> DataFrame:
 
 def enriched(df: DataFrame) -> DataFrame:
     """Ordinal, settings, running best, one-line summary and the three comparisons."""
-    d = with_settings(best_so_far(numbered(df)))
+    d = materialize(with_settings(best_so_far(df)), "trials")
     prev = d.select(BENCH, (F.col("trial") + 1).alias("trial"), F.col("logged").alias("_prev"))
     ends = d.groupBy(BENCH).agg(
         F.min_by("logged", "trial").alias("_base"),
@@ -95,9 +101,9 @@ def one_line(s: Column) -> Column:
     """One-line description of a trial; numeric settings that are missing print as nan."""
     short = {"lr": "learning_rate", "wd": "weight_decay", "drop": "dropout", "pat": "lr_patience", "seed": "seed"}
     head = [F.coalesce(s["model_type"], F.lit("None")), F.concat(F.lit("opt="), F.coalesce(s["optimizer"], F.lit("None")))]
-    nums = F.array(*[F.struct(F.lit(f"{k}=").alias("k"), F.coalesce(s[v], F.lit("nan")).alias("v")) for k, v in short.items()])
-    body = F.array_join(F.transform(nums, lambda p: F.concat(p["k"], setting_text(p["v"]))), ", ")
-    return F.concat_ws(", ", *head, body, F.when(F.lower(s["pretrained_image"]).isin("false", "0"), "no_pretrain"))
+    nums = setting_texts(F.array(*[F.coalesce(s[v], F.lit("nan")) for v in short.values()]))
+    body = F.zip_with(F.array(*[F.lit(f"{k}=") for k in short]), nums, lambda a, b: F.concat(a, b))
+    return F.concat_ws(", ", *head, F.array_join(body, ", "), F.when(F.lower(s["pretrained_image"]).isin("false", "0"), "no_pretrain"))
 
 
 def ratchet_rank(df: DataFrame) -> DataFrame:

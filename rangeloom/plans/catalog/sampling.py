@@ -144,9 +144,9 @@ def _greedy_sql(rounds: int = 14) -> str:
     """Greedy thinning written as unrolled rounds over the pair list."""
     q = [
         f"WITH p AS (SELECT occ_id, order_key AS k, {albers_sql()} FROM occ)",
-        "b AS (SELECT *, CAST(floor(x / 800) AS BIGINT) AS bx, CAST(floor(y / 800) AS BIGINT) AS by FROM p)",
-        "n AS (SELECT occ_id, k, x, y, bx + ox AS bx, by + oy AS by FROM b, (VALUES (-1),(0),(1)) o(ox), (VALUES (-1),(0),(1)) q(oy))",
-        "e AS MATERIALIZED (SELECT b.occ_id AS a, n.occ_id AS c, n.k < b.k AS c_first FROM b JOIN n ON b.bx = n.bx AND b.by = n.by AND b.occ_id <> n.occ_id"
+        "b AS (SELECT *, CAST(floor(x / 800) AS BIGINT) AS gx, CAST(floor(y / 800) AS BIGINT) AS gy FROM p)",
+        "n AS (SELECT occ_id, k, x, y, gx + ox AS gx, gy + oy AS gy FROM b, (VALUES (-1),(0),(1)) o(ox), (VALUES (-1),(0),(1)) q(oy))",
+        "e AS MATERIALIZED (SELECT b.occ_id AS a, n.occ_id AS c, n.k < b.k AS c_first FROM b JOIN n ON b.gx = n.gx AND b.gy = n.gy AND b.occ_id <> n.occ_id"
         " AND (b.x - n.x) * (b.x - n.x) + (b.y - n.y) * (b.y - n.y) <= 640000)",
         "u0 AS MATERIALIZED (SELECT occ_id FROM p)",
     ]

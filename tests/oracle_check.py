@@ -39,6 +39,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, str]:
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(tuple(_cell(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect())
+    t1 = time.time()
     if name not in ORACLES:
         return ("rows" if got else "FAIL"), f"{len(got)} rows, no oracle"
     cur = con.execute(ORACLES[name])
@@ -54,7 +55,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, str]:
     wide = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
     types = [(f.name, f.dataType.simpleString(), kinds[f.name]) for f in df.schema]
     bad = [t for t in types if wide.get(t[1], t[2]) != t[2]]
-    return ("FAIL", f"types {bad}") if bad else ("ok" if got else "FAIL", f"{len(got)} rows")
+    return ("FAIL", f"types {bad}") if bad else ("ok" if got else "FAIL", f"{len(got)} rows; duckdb {time.time() - t1:.1f}s")
 
 
 def main() -> int:
