@@ -97,6 +97,26 @@ FROM (SELECT sample_id, eval_set, probability, @each(0, 3) AS pass FROM {pred})
 SELECT vec_id, CAST(floor(i / 16) AS BIGINT) AS band, CAST(floor((i % 16) / 4) AS BIGINT) AS y, CAST(i % 4 AS BIGINT) AS x, i,
   CASE WHEN (vec_id + i) % 29 = 0 THEN NULL ELSE floor(abs(CAST(e AS DOUBLE)) * 1000) END AS v
 FROM (SELECT vec_id, @each_pos(embedding, e, i) FROM {embeddings}) s""",
+    # Overlapping image tiles of 20 x 20 pixels (25 embeddings each), 16 map units apart; two CRSs.
+    "img_tile": """
+SELECT tile_id, CASE WHEN tile_id % 6 = 5 THEN 'EPSG:26912' ELSE 'EPSG:26911' END AS crs, CAST(tile_id * 16 AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0,
+  CAST(1 AS DOUBLE) AS px_size, 20 AS h, 20 AS w, CAST(tile_id * 16 AS DOUBLE) AS minx, CAST(-20 AS DOUBLE) AS miny, CAST(tile_id * 16 + 20 AS DOUBLE) AS maxx, CAST(0 AS DOUBLE) AS maxy
+FROM (SELECT DISTINCT CAST(floor(vec_id / 25) AS BIGINT) AS tile_id FROM {embeddings}) s""",
+    "img_pixel": """
+SELECT CAST(floor(vec_id / 25) AS BIGINT) AS tile_id, band, CAST(floor((vec_id % 25) / 5) AS BIGINT) * 4 + y AS r, ((vec_id % 25) % 5) * 4 + x AS c, coalesce(v, 0) AS v
+FROM {chip_pixel}""",
+    # One terrain raster: 0.8 x 1 map units per pixel, 4 bands, with missing pixels.
+    "topo_pixel": """
+SELECT band, CAST(floor((vec_id % 25) / 5) AS BIGINT) * 4 + y AS r, CAST(floor(vec_id / 25) AS BIGINT) * 20 + ((vec_id % 25) % 5) * 4 + x AS c, v
+FROM {chip_pixel}""",
+    "site": """
+SELECT vec_id AS sample_id, CAST(CAST(floor(vec_id / 25) AS BIGINT) * 16 + ((vec_id % 25) % 5) * 4 + vec_id % 3 AS DOUBLE) + 1.5 AS x,
+  -(CAST(CAST(floor((vec_id % 25) / 5) AS BIGINT) * 4 + vec_id % 2 AS DOUBLE) + 1.5) AS y
+FROM {embeddings}""",
+    # UTM tiles for inference: origin and zone per tile.
+    "utm_tile": """
+SELECT tile_id, height, width, 300000 + CAST((tile_id % 50) * 1000 AS DOUBLE) AS x0, 4100000 - CAST((tile_id % 37) * 1000 AS DOUBLE) AS y0, CAST(1 AS DOUBLE) AS px_size, 11 AS zone
+FROM {tile_dims}""",
 }
 
 
