@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import finite, zscore
 from ..functions.keys import order_key, uniform
+from ..session import materialize
 from .joins import salted_join
 from .spatial import in_footprint
 
@@ -70,8 +71,8 @@ def stats_arrays(stats: DataFrame) -> Column:
 
 def zscore_values(df: DataFrame, stats: DataFrame, column: str = "values") -> DataFrame:
     """Sampled layer values as z-scores, layer by layer."""
-    pairs = F.zip_with(F.col(column), stats_arrays(stats), lambda v, s: (v - s["mean"]) / s["std"])
-    return df.withColumn(column, pairs)
+    pairs = F.zip_with(F.col(column), F.col("_stats"), lambda v, s: (v - s["mean"]) / s["std"])
+    return df.withColumn("_stats", stats_arrays(stats)).withColumn(column, pairs).drop("_stats")
 
 
 # --- chips held as arrays -------------------------------------------------------------------
@@ -188,7 +189,10 @@ def rotate(df: DataFrame, px: str, angle: str, bands: int, h: int, w: int) -> Da
 
 
 def chip_windows(sites: DataFrame, tiles: DataFrame, size: int, bin_side: float) -> DataFrame:
-    """Window of `size` pixels around each site on the grid of the first tile (by id) that holds it."""
+    """Window of `size` pixels around each site on the grid of the first tile (by id) that holds it.
+
+    Windows and the blocks they need are narrow rows that several joins read, so they are stored once.
+    """
     t = _bins(tiles.select("tile_id", "x0", "y0", "px_size", "minx", "miny", "maxx", "maxy"), bin_side)
     p = sites.select("sample_id", "x", "y", F.floor(F.col("x") / bin_side).alias("_gx"), F.floor(F.col("y") / bin_side).alias("_gy"))
     inside = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
@@ -198,7 +202,8 @@ def chip_windows(sites: DataFrame, tiles: DataFrame, size: int, bin_side: float)
     row = F.floor((F.col("g.y0") - F.col("y")) / F.col("g.px_size")) - size // 2
     side = F.col("g.px_size") * size
     d = one.withColumn("left", F.col("g.x0") + col * F.col("g.px_size")).withColumn("top", F.col("g.y0") - row * F.col("g.px_size"))
-    return d.select("sample_id", "left", "top", (F.col("left") + side).alias("right"), (F.col("top") - side).alias("bottom"))
+    d = d.select("sample_id", "left", "top", (F.col("left") + side).alias("right"), (F.col("top") - side).alias("bottom"))
+    return materialize(d, "windows")
 
 
 def _bins(tiles: DataFrame, side: float) -> DataFrame:
@@ -218,7 +223,7 @@ def chip_window_blocks(windows: DataFrame, tiles: DataFrame, size: int, block: i
     )
     pair = salted_join(wb, t, ["_gx", "_gy"], "inner", "sample_id", meet)
     cols = ["sample_id", "left", "top", "tile_id", "crs", "x0", "y0", "px_size", "h", "w"]
-    pair = pair.select(*cols).distinct()
+    pair = materialize(pair.select(*cols).distinct(), "window_tiles")
     mixed = pair.groupBy("sample_id").agg(F.min("crs").alias("_a"), F.max("crs").alias("_b")).filter("_a = _b").select("sample_id")
     pair = pair.join(mixed, "sample_id", "left_semi")
     d = pair.withColumn("row_off", F.round((F.col("y0") - F.col("top")) / F.col("px_size")).cast("int"))
@@ -230,7 +235,7 @@ def chip_window_blocks(windows: DataFrame, tiles: DataFrame, size: int, block: i
         return F.when(hi >= lo, F.sequence(F.floor(lo / block), F.floor(hi / block))).otherwise(F.array().cast("array<bigint>"))
 
     d = d.withColumn("block_row", F.explode(cover("row_off", "h"))).withColumn("block_col", F.explode(cover("col_off", "w")))
-    return d.select("sample_id", "tile_id", "row_off", "col_off", "block_row", "block_col")
+    return materialize(d.select("sample_id", "tile_id", "row_off", "col_off", "block_row", "block_col"), "window_blocks")
 
 
 def paste_kernel(rows: pd.DataFrame, size: int, block: int, bands: int) -> np.ndarray:

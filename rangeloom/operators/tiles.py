@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.arrays import finite, scale_255, zero_fill
 from ..functions.geo import albers_inverse, albers_xy, pixel_to_map, utm_inverse, utm_xy
 from ..functions.names import COORD_STATS, TERRAIN_BANDS, TERRAIN_SCALARS, TERRAIN_STATS, family_inputs
-from .joins import salted_join
 from .rasters import bilinear_neighbours, image_window_valid, normalize_bands, summarize_topo, valid_fraction
 
 NODATA = -9999.0
@@ -106,20 +105,15 @@ def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float)
     Target pixels are generated per tile over its projected bounds; each looks up its 2 x 2 source
     pixels through the square they fall in. Target pixels without a valid neighbour are left out.
     """
-    d = tiles
-    for k, (r, c) in enumerate((("0", "0"), ("0", "width"), ("height", "0"), ("height", "width"))):
-        px, py = pixel_to_map(F.expr(r), F.expr(c), F.col("x0"), F.col("y0"), F.col("px_size"), F.col("px_size"))
-        lat, lon = utm_inverse(px, py, F.col("zone"))
-        ax, ay = albers_xy(lat, lon)
-        d = d.withColumn(f"_x{k}", ax).withColumn(f"_y{k}", ay)
-    xs, ys = [F.col(f"_x{k}") for k in range(4)], [F.col(f"_y{k}") for k in range(4)]
-
-    def span(vs: list[Column]) -> Column:
-        return F.sequence(F.floor(F.least(*vs) / res), F.floor(F.greatest(*vs) / res))
-
-    t = d.withColumn("gx", span(xs)).withColumn("gy", span(ys))
-    t = t.select("tile_id", "height", "width", "x0", "y0", "px_size", "zone", F.explode("gy").alias("gy"), "gx")
-    t = t.select(*[c for c in t.columns if c != "gx"], F.explode("gx").alias("gx"))
+    corner = F.explode(F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c")) for r in ("_zero", "height") for c in ("_zero", "width")]))
+    d = tiles.withColumn("_zero", F.lit(0).cast("long")).withColumn("_k", corner)
+    px, py = pixel_to_map(F.col("_k.r"), F.col("_k.c"), F.col("x0"), F.col("y0"), F.col("px_size"), F.col("px_size"))
+    lat, lon = utm_inverse(px, py, F.col("zone"))
+    ax, ay = albers_xy(F.col("_lat"), F.col("_lon"))
+    d = d.withColumn("_lat", lat).withColumn("_lon", lon).withColumn("_ax", F.floor(ax / res)).withColumn("_ay", F.floor(ay / res))
+    info = ["tile_id", "height", "width", "x0", "y0", "px_size", "zone"]
+    t = d.groupBy(*info).agg(*[f(c).alias(n) for n, f, c in (("_x1", F.min, "_ax"), ("_x2", F.max, "_ax"), ("_y1", F.min, "_ay"), ("_y2", F.max, "_ay"))])
+    t = t.withColumn("gy", F.explode(F.sequence("_y1", "_y2"))).withColumn("gx", F.explode(F.sequence("_x1", "_x2")))
     lat, lon = albers_inverse((F.col("gx") + 0.5) * res, (F.col("gy") + 0.5) * res)
     t = t.withColumn("_lat", lat).withColumn("_lon", lon)
     ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"))
@@ -129,7 +123,8 @@ def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float)
     n = n.withColumn("cell_row", F.floor(F.col("r") / cell)).withColumn("cell_col", F.floor(F.col("c") / cell))
     # Neighbours in the same square add up before the join.
     n = n.groupBy("tile_id", "gx", "gy", "cell_row", "cell_col").agg(F.sum("weight").alias("weight"))
-    j = salted_join(n, mosaic.select("tile_id", "cell_row", "cell_col", "prediction", "uncertainty"), ["tile_id", "cell_row", "cell_col"], "inner")
+    # A square meets at most (cell / res + 1)^2 targets, so no key is crowded.
+    j = n.join(mosaic.select("tile_id", "cell_row", "cell_col", "prediction", "uncertainty"), ["tile_id", "cell_row", "cell_col"])
     w = F.col("weight")
     return j.groupBy("tile_id", "gx", "gy").agg(
         (F.sum(w * F.col("prediction")) / F.sum(w)).alias("prediction"), (F.sum(w * F.col("uncertainty")) / F.sum(w)).alias("uncertainty")

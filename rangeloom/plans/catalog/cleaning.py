@@ -57,14 +57,14 @@ def valid_env(i: Inputs):
 @query(
     "P6_topo_coverage", ["chip_pixel"],
     """WITH p AS (SELECT vec_id, y, x, count(v) AS k FROM chip_pixel GROUP BY 1, 2, 3)
- SELECT vec_id, round(avg(CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END), 6) AS topo_valid_frac FROM p GROUP BY vec_id HAVING avg(CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END) >= 0.9""",
+ SELECT vec_id, round(avg(CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END), 6) AS topo_valid_frac FROM p GROUP BY vec_id HAVING avg(CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END) >= 0.5""",
 )
 def topo_coverage(i: Inputs):
     from .rasters import chip_rows
     from ...operators.rasters import valid_fraction
 
     d = chip_rows(i).withColumn("topo_valid_frac", valid_fraction(F.col("px"), 4, 16))
-    return clean.topo_coverage(d, 0.9).select("vec_id", rnd("topo_valid_frac"))
+    return clean.topo_coverage(d, 0.5).select("vec_id", rnd("topo_valid_frac"))
 
 
 @query(

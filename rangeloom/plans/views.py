@@ -49,7 +49,7 @@ SELECT r, c, count(*) AS n
 FROM (SELECT CAST(floor((50 - lat) * 8) AS BIGINT) AS r, CAST(floor((lon + 130) * 8) AS BIGINT) AS c FROM {occ}) s
 GROUP BY r, c""",
     "env_pixel": """
-SELECT layer, r, c, CASE WHEN (r + c + layer) % 53 = 0 THEN NULL
+SELECT CAST(layer AS BIGINT) AS layer, r, c, CASE WHEN (r + c + layer) % 53 = 0 THEN NULL
   ELSE CAST((r*31 + c*17 + layer*101 + n*7) % 1009 AS DOUBLE)/8 END AS v
 FROM (SELECT r, c, n, @each(0, 19) AS layer FROM {env_cell}) s""",
     # Scores with heavy ties.
