@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import finite, scale_255, zero_fill
 from ..functions.geo import albers_inverse, albers_xy, pixel_to_map, utm_inverse, utm_xy
 from ..functions.names import COORD_STATS, TERRAIN_BANDS, TERRAIN_SCALARS, TERRAIN_STATS, family_inputs
+from ..session import materialize
 from .rasters import bilinear_neighbours, image_window_valid, normalize_bands, summarize_topo, valid_fraction
 
 NODATA = -9999.0
@@ -118,7 +119,8 @@ def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float)
     t = t.withColumn("_lat", lat).withColumn("_lon", lon)
     ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"))
     t = t.withColumn("u", (ux - F.col("x0")) / F.col("px_size") - 0.5).withColumn("v", (F.col("y0") - uy) / F.col("px_size") - 0.5)
-    t = t.select("tile_id", "height", "width", "gx", "gy", "u", "v")
+    # Stored, so that the filters below are not pushed into (and repeat) the projection arithmetic.
+    t = materialize(t.select("tile_id", "height", "width", "gx", "gy", "u", "v"), "targets")
     n = bilinear_neighbours(t).filter("weight > 0 AND r >= 0 AND c >= 0 AND r < height AND c < width")
     n = n.withColumn("cell_row", F.floor(F.col("r") / cell)).withColumn("cell_col", F.floor(F.col("c") / cell))
     # Neighbours in the same square add up before the join.

@@ -1,3 +1,3 @@
 """Registered queries, one module per part of the operator inventory."""
 
-from . import cleaning, evaluation, rasters, sampling, trials  # noqa: F401
+from . import cleaning, evaluation, flows, rasters, sampling, trials  # noqa: F401

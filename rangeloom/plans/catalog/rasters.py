@@ -208,16 +208,16 @@ def normalize_topo(i: Inputs):
 
 
 @query(
-    "R9_summarize_topo", ["chip_pixel"],
+    "R9_summarize_topo", ["chip_pixel", "embeddings"],
     f"""WITH n AS (SELECT vec_id, band, y, x, {_STATS_SQL} AS v FROM chip_pixel), ok AS (SELECT vec_id, y, x FROM n GROUP BY 1, 2, 3 HAVING count(v) = 4), m AS (SELECT n.* FROM n JOIN ok USING (vec_id, y, x))
  SELECT vec_id, round(avg(v) FILTER (band = 0), 6) AS elev_mean, round(stddev_pop(v) FILTER (band = 0), 6) AS elev_sd, round(min(v) FILTER (band = 0), 6) AS elev_min, round(max(v) FILTER (band = 0), 6) AS elev_max,
  round(avg(v) FILTER (band = 1), 6) AS slope_mean, round(stddev_pop(v) FILTER (band = 1), 6) AS slope_sd, round(min(v) FILTER (band = 1), 6) AS slope_min, round(max(v) FILTER (band = 1), 6) AS slope_max,
- round(avg(v) FILTER (band = 2), 6) AS northness_mean, round(avg(v) FILTER (band = 3), 6) AS eastness_mean, round(count(*) / 64.0, 6) AS topo_valid_frac FROM m GROUP BY vec_id""",
+ round(avg(v) FILTER (band = 2), 6) AS northness_mean, round(avg(v) FILTER (band = 3), 6) AS eastness_mean, round(count(v) / 64.0, 6) AS topo_valid_frac FROM embeddings LEFT JOIN m USING (vec_id) GROUP BY vec_id""",
 )
 def summarize_topo(i: Inputs):
     d = r.summarize_topo(chip_rows(i).withColumn("px", r.normalize_bands(F.col("px"), 16, _NORM)), "px", 16)
     cols = [c for c in d.columns if c not in ("vec_id", "px")]
-    return d.filter("topo_valid_frac > 0").select("vec_id", *[rnd(c) for c in cols])
+    return d.select("vec_id", *[rnd(c) for c in cols])
 
 
 @query(
