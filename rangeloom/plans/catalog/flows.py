@@ -219,7 +219,7 @@ def _env_stats(i: Inputs):
 def build_dataset(i: Inputs):
     pts = materialize(sampling.with_albers(_points(i)), "points")
     norm = rasters.normalize_bands(F.col("px"), 16, [TERRAIN_STATS[b] for b in TERRAIN_BANDS])
-    terrain = rasters.summarize_topo(chip_rows(i).withColumn("px", norm), "px", 16).drop("px")
+    terrain = materialize(rasters.summarize_topo(chip_rows(i).withColumn("px", norm), "px", 16).drop("px"), "terrain")
     topo = pts.select("point_id", F.col("user_id").alias("vec_id")).join(terrain, "vec_id").drop("vec_id")
     chips = pts.join(i.embeddings.select(F.col("vec_id").alias("user_id")), "user_id", "left_semi").select("point_id")
     rows = species.designs(pts, 0.70, 0.15, 200000.0, 5)
