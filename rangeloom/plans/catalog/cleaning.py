@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import arrays, geo, text
-from ...functions.names import CLIMATE
 from ...operators import clean, sampling, splits
 from ..registry import Inputs, query
 from .common import CELL_SQL, GRID, albers_sql, rnd
 
-_OK = "regexp_full_match(trim({c}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
-
-
 @query(
     "P1_clean_coords", ["occ_raw"],
     """SELECT occ_id, species, try_cast(lat_text AS DOUBLE) AS lat, try_cast(lon_text AS DOUBLE) AS lon FROM occ_raw
@@ -132,20 +128,24 @@ def albers_inverse(i: Inputs):
     return d.select("occ_id", rnd(lat, 7, "lat"), rnd(lon, 7, "lon"))
 
 
-def _utm_sql() -> str:
+def utm_forward_sql(src: str) -> str:
+    """CTEs adding UTM metres `ux`, `uy` to `src` (columns lat, lon, zone); the last one is named uf."""
     k = geo.krueger_constants()
     e, r = k["e"], k["radius"] * 0.9996
     s = "sin(radians(lat))"
     east = " + ".join(["eta", *[f"{a!r} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(k["alpha"], 1)]])
     north = " + ".join(["xi", *[f"{a!r} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(k["alpha"], 1)]])
-    return f"""WITH z AS (SELECT occ_id, lat, lon, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone FROM occ),
- a AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, ln((1 + {s}) / (1 - {s})) / 2 - {e} * ln((1 + {e} * {s}) / (1 - {e} * {s})) / 2 AS q FROM z),
- b AS (SELECT *, (exp(q) - exp(-q)) / 2 AS t FROM a),
- c AS (SELECT *, atan2(t, cos(dl)) AS xi, ln((1 + sin(dl) / sqrt(1 + t * t)) / (1 - sin(dl) / sqrt(1 + t * t))) / 2 AS eta FROM b)
- SELECT occ_id, zone, round(500000 + {r!r} * ({east}), 3) AS x, round({r!r} * ({north}), 3) AS y FROM c"""
+    return f"""ua AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, ln((1 + {s}) / (1 - {s})) / 2 - {e} * ln((1 + {e} * {s}) / (1 - {e} * {s})) / 2 AS qq FROM {src}),
+ ub AS (SELECT *, (exp(qq) - exp(-qq)) / 2 AS tt FROM ua),
+ uc AS (SELECT *, atan2(tt, cos(dl)) AS xi, ln((1 + sin(dl) / sqrt(1 + tt * tt)) / (1 - sin(dl) / sqrt(1 + tt * tt))) / 2 AS eta FROM ub),
+ uf AS (SELECT *, 500000 + {r!r} * ({east}) AS ux, {r!r} * ({north}) AS uy FROM uc)"""
+
 
+_UTM = f"""WITH z AS (SELECT occ_id, lat, lon, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone FROM occ), {utm_forward_sql('z')}
+ SELECT occ_id, zone, round(ux, 3) AS x, round(uy, 3) AS y FROM uf"""
 
-@query("G3_utm_xy", ["occ"], _utm_sql())
+
+@query("G3_utm_xy", ["occ"], _UTM)
 def utm(i: Inputs):
     d = i.occ.withColumn("zone", geo.utm_zone(F.col("lon")))
     x, y = geo.utm_xy(F.col("lat"), F.col("lon"), F.col("zone"))
@@ -231,6 +231,3 @@ def text_functions(i: Inputs):
 def general_number_text(i: Inputs):
     v = F.col("value")
     return i.events.select("event_id", text.general_number(v * 1000, 6).alias("wide"), text.general_number(v / 100000, 2).alias("small"))
-
-
-assert len(CLIMATE) == 19

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.keys import order_key
 from ...functions.names import TERRAIN_BANDS, TERRAIN_STATS
 from ...operators import clean, metrics, models, rasters, sampling, spatial, splits
 from ...session import materialize, scratch_path
@@ -14,7 +15,7 @@ from ...streaming import landing
 from .. import species
 from ..registry import Inputs, query
 from .common import CELL_SQL, GRID, SEED, rnd
-from .rasters import _ENV_AT, ENV_GRID, chip_rows, env_blocks, mosaic
+from .rasters import _ENV_AT, _SCORED, ENV_GRID, chip_rows, env_blocks, mosaic
 from .sampling import _BLOCK, SP, folded
 
 _CELL = CELL_SQL.format(a="")
@@ -123,7 +124,10 @@ def append_trial(i: Inputs):
     return r.join(f, "run_id", "left").withColumn("n_folds", F.coalesce("n_folds", F.lit(0)).cast("long"))
 
 
-@query("K6_write_mosaic", ["tile_dims"])
+@query(
+    "K6_write_mosaic", ["tile_dims"],
+    f"WITH {_SCORED.replace('{t}', 'tile_dims')} SELECT tile_id, count(*) AS n, round(avg(prediction), 6) AS prediction FROM mos GROUP BY tile_id",
+)
 def write_mosaic(i: Inputs):
     path = scratch_path(i.spark, "mosaic")
     tables.write_mosaic(mosaic(i.tile_dims), path)
@@ -190,7 +194,8 @@ def model_families(i: Inputs):
     d = d.withColumn("presence", (F.col("presence") % 2).cast("int")).withColumn("env1", F.col("embedding")[0].cast("double")).withColumn("env2", F.col("embedding")[1].cast("double"))
     d = materialize(d.select("vec_id", "presence", "image_mean", "elev_mean", "slope_mean", "env1", "env2"), "family_rows")
     inputs = {"image": ["image_mean"], "topo": ["elev_mean", "slope_mean"], "tabular": ["env1", "env2"]}
-    train, test = d.filter("vec_id % 5 <> 0"), d.filter("vec_id % 5 = 0")
+    d = splits.stratified_split(d.withColumn("key", order_key(SEED, F.col("vec_id"))), [], "key", 0.8, 0.0)
+    train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
     p = models.compare_families(train, test, inputs, ["vec_id", "presence"]).withColumnRenamed("presence", "true_label")
     return metrics.summary(p, ["model_type"]).select("model_type", "n_samples", rnd("brier", 3))
 

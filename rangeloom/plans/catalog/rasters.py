@@ -9,7 +9,8 @@ from ...functions.names import TERRAIN_BANDS, TERRAIN_STATS
 from ...operators import rasters as r
 from ...operators import tiles as t
 from ..registry import Inputs, query
-from .common import _A, _C, _E, _N, _RHO0, albers_inverse_sql, rnd
+from .cleaning import utm_forward_sql
+from .common import albers_inverse_sql, albers_sql, rnd
 
 ENV_GRID = (-130.0, 50.0, 1 / 8, 1 / 8)
 TOPO_GRID = (0.0, 0.0, 0.8, 1.0)
@@ -352,9 +353,23 @@ def overlap_mosaic(i: Inputs):
     return mosaic(i.tile_dims).select("tile_id", "cell_row", "cell_col", rnd("prediction"), rnd("uncertainty"), "n_chips")
 
 
-@query(
-    "T6_mosaic_reproject", ["utm_tile"],
-)
+def _reproject_sql(res: float = 60.0) -> str:
+    corners = " UNION ALL ".join(
+        f"SELECT tile_id, height, width, x0, y0, zone, x0 + {c} AS mx, y0 - {r} AS my FROM utm_tile" for r in ("0", "height") for c in ("0", "width")
+    )
+    return f"""WITH cn AS ({corners}), {_utm_inverse_sql('mx', 'my', 'cn')},
+ al AS (SELECT tile_id, height, width, x0, y0, zone, {albers_sql('lat', 'lon', 'ax', 'ay')} FROM ll),
+ bx AS (SELECT tile_id, height, width, x0, y0, zone, CAST(min(floor(ax / {res})) AS BIGINT) AS x1, CAST(max(floor(ax / {res})) AS BIGINT) AS x2, CAST(min(floor(ay / {res})) AS BIGINT) AS y1, CAST(max(floor(ay / {res})) AS BIGINT) AS y2 FROM al GROUP BY ALL),
+ gy AS (SELECT *, unnest(generate_series(y1, y2)) AS gy FROM bx), gg AS (SELECT *, unnest(generate_series(x1, x2)) AS gx FROM gy),
+ tl AS (SELECT tile_id, height, width, x0, y0, zone, gx, gy, (gx + 0.5) * {res} AS tx, (gy + 0.5) * {res} AS ty FROM gg), tg AS (SELECT *, {albers_inverse_sql('tx', 'ty')} FROM tl), {utm_forward_sql('tg')},
+ uv AS (SELECT tile_id, height, width, gx, gy, ux - x0 - 0.5 AS u, y0 - uy - 0.5 AS v FROM uf),
+ nb AS (SELECT *, CAST(floor(v) AS BIGINT) + oy AS r, CAST(floor(u) AS BIGINT) + ox AS c FROM uv, (VALUES (0),(1)) o(ox), (VALUES (0),(1)) q(oy)),
+ wt AS (SELECT tile_id, gx, gy, CAST(floor(r / 128) AS BIGINT) AS cell_row, CAST(floor(c / 128) AS BIGINT) AS cell_col, (1 - abs(u - c)) * (1 - abs(v - r)) AS w FROM nb WHERE r >= 0 AND c >= 0 AND r < height AND c < width),
+ {_SCORED.replace('{t}', 'utm_tile')}
+ SELECT tile_id, gx, gy, round(sum(w * prediction) / sum(w), 4) AS prediction, round(sum(w * uncertainty) / sum(w), 4) AS uncertainty FROM wt JOIN mos USING (tile_id, cell_row, cell_col) WHERE w > 0 GROUP BY 1, 2, 3"""
+
+
+@query("T6_mosaic_reproject", ["utm_tile"], _reproject_sql())
 def mosaic_reproject(i: Inputs):
     d = t.mosaic_reproject(mosaic(i.utm_tile), i.utm_tile, 128, 60.0)
     return d.select("tile_id", "gx", "gy", rnd("prediction", 4), rnd("uncertainty", 4))
@@ -369,5 +384,3 @@ def tile_summary(i: Inputs):
     d = _score_inputs(i, "image_topo").withColumn("tile_id", F.floor(F.col("vec_id") / 25))
     return t.tile_summary(d, i.img_tile).drop("error")
 
-
-assert (_A, _C, _E, _N, _RHO0) and albers_inverse_sql
