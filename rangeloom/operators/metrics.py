@@ -122,8 +122,7 @@ def score_groups(df: DataFrame, by: list[str]) -> DataFrame:
     """Positives and negatives per distinct score, with the counts scored higher and the set's totals."""
     y = F.col("true_label").cast("long")
     g = df.groupBy(*by, "probability").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    total = g.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return prefix_sum(g, by, "probability", ["pos", "neg"]).join(total, by)
+    return prefix_sum(g, by, "probability", ["pos", "neg"]).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
 
 
 def _two_class(g: DataFrame) -> DataFrame:

@@ -7,20 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def exact_rank(df: DataFrame, by: list[str], key: str, out: str = "rank", digits: int = 3) -> DataFrame:
-    """0-based rank by the md5 column `key` inside each `by` group.
+def exact_rank(
+    df: DataFrame, by: list[str], key: str, out: str = "rank", digits: int = 3, total: str | None = None
+) -> DataFrame:
+    """0-based rank by the md5 column `key` inside each `by` group; `total` names a group size column.
 
     The leading hex digits split every group into 16^digits even buckets, so a group that holds most
     of the rows still spreads over all tasks; only bucket counts are summed in order.
     """
     d = df.withColumn("_kb", F.substring(F.col(key), 1, digits))
-    counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        before = W.partitionBy(*by).orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    else:
-        # At most 16^digits bucket rows reach this window.
-        before = W.partitionBy(F.lit(0)).orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_cnt"))
+    # At most 16^digits bucket rows of a group reach these windows.
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_cnt").over(group))
+    offsets = offsets.drop("_cnt")
     inside = W.partitionBy(*by, "_kb").orderBy(key)
     return (
         d.join(offsets, [*by, "_kb"])
@@ -50,11 +53,13 @@ def before(
     sums: list[str] | None = None,
     maxes: list[str] | None = None,
     suffix: str = "_before",
+    totals: bool = False,
 ) -> DataFrame:
     """Sums and maxima of columns over the rows of the group that come strictly earlier in `order`.
 
     (`coarse`, `fine`) are ordered like `order`, rows of one bucket being adjacent. Bucket totals are
-    carried forward first, so a group that holds most rows is spread over its buckets.
+    carried forward first, so a group that holds most rows is spread over its buckets. `totals` adds
+    each column's value over the whole group as `<column>_total`.
     """
     fns = {v: F.sum for v in sums or []} | {v: F.max for v in maxes or []}
     d = df.withColumn("_c", coarse).withColumn("_f", fine)
@@ -64,7 +69,9 @@ def before(
     def prior(part: list, cols: list) -> W:
         return W.partitionBy(*part).orderBy(*cols).rowsBetween(W.unboundedPreceding, -1)
 
-    large = large.select(*by, "_c", *[fn(v).over(prior(by, ["_c"])).alias(f"_c_{v}") for v, fn in fns.items()])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    whole = [fn(v).over(group).alias(f"{v}_total") for v, fn in fns.items()] if totals else []
+    large = large.select(*by, "_c", *whole, *[fn(v).over(prior(by or [F.lit(0)], ["_c"])).alias(f"_c_{v}") for v, fn in fns.items()])
     small = small.select(*by, "_c", "_f", *[fn(v).over(prior([*by, "_c"], ["_f"])).alias(f"_f_{v}") for v, fn in fns.items()])
     out = d.join(small.join(large, [*by, "_c"]), [*by, "_c", "_f"])
     inside = prior([*by, "_c", "_f"], order)
@@ -79,9 +86,9 @@ def before(
 
 
 def prefix_sum(df: DataFrame, by: list[str], key: str, vals: list[str], suffix: str = "_above") -> DataFrame:
-    """For each row, sums of `vals` over rows of the group with a strictly greater number `key`."""
+    """For each row, sums of `vals` over rows of the group with a strictly greater number `key`, and over the group."""
     c, f = value_buckets(F.col(key))
-    return before(df, by, -c, -f, [F.desc(key)], sums=vals, suffix=suffix)
+    return before(df, by, -c, -f, [F.desc(key)], sums=vals, suffix=suffix, totals=True)
 
 
 def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -> DataFrame:
@@ -91,12 +98,10 @@ def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -
     """
     g = df.filter(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     c, f = value_buckets(F.col("_v"))
-    placed = before(g, by, c, f, [F.col("_v")], sums=["_n"]).join(
-        g.groupBy(*by).agg(F.sum("_n").alias("_total")), by
-    )
+    placed = before(g, by, c, f, [F.col("_v")], sums=["_n"], totals=True)
     aggs = []
     for name, p in probs.items():
-        h = (F.col("_total") - 1) * F.lit(p)
+        h = (F.col("_n_total") - 1) * F.lit(p)
         low, high = F.floor(h), F.ceil(h)
 
         def at(pos: Column) -> Column:

@@ -11,6 +11,7 @@ from .ranks import exact_rank, quantiles
 
 def split_label(rank: Column, n: Column, train: float, val: float, leftover_to_test: bool) -> Column:
     """train / val / test by rank; counts are rounded half to even, leftovers go to test or to val."""
+    n = n.cast("double")
     n_train = F.bround(n * F.lit(train))
     n_val = F.bround(n * F.lit(val))
     rest = F.lit("test") if leftover_to_test else F.lit("val")
@@ -21,9 +22,7 @@ def stratified_split(
     df: DataFrame, by: list[str], key: str, train: float, val: float, leftover_to_test: bool = True
 ) -> DataFrame:
     """Seeded split inside every (by, presence) group."""
-    g = [*by, "presence"]
-    n = df.groupBy(*g).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    ranked = exact_rank(df, g, key, "_rk").join(n, g)
+    ranked = exact_rank(df, [*by, "presence"], key, "_rk", total="_n")
     return ranked.withColumn("split", split_label(F.col("_rk"), F.col("_n"), train, val, leftover_to_test)).drop("_rk", "_n")
 
 
@@ -63,8 +62,7 @@ def cv_rounds(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder:
     held = F.col("fold") == F.col("cv_round")
     g = [*by, "cv_round", "presence", "_held"]
     d = d.withColumn("_held", held)
-    n = d.groupBy(*g).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    ranked = exact_rank(d, g, key, "_rk").join(n, g)
+    ranked = exact_rank(d, g, key, "_rk", total="_n")
     label = split_label(F.col("_rk"), F.col("_n"), 0.70, 0.30, legacy_remainder)
     return ranked.withColumn("split", F.when(F.col("_held"), "test").otherwise(label)).drop("_rk", "_n", "_held")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import species_slug_from_path, title_case, to_number
+from ..functions.text import blank_to_null, species_slug_from_path, title_case, to_number
 from ..operators.clean import clean_coords, fill_defaults, uncertainty_filter
 
 # Accepted column names, first hit wins, exact case.
@@ -71,7 +71,8 @@ def read_occurrences(
     """(clean occurrences, files left out with the reason, rows left out) of a folder or file.
 
     Files are grouped by header; each group is one scan by column position, all species in one job.
-    A file without coordinates is reported and the others continue.
+    A file without coordinates is reported and the others continue. Species is a key everywhere, so a
+    missing value takes the file's species.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f, h in headers(spark, list_files(spark, path)).items():
@@ -96,7 +97,7 @@ def read_occurrences(
         parts.append(
             d.select(
                 text(lat).alias("lat"), text(lon).alias("lon"), text(unc).alias("uncertainty_text"), text(src).alias("source_text"),
-                (file_species if sp is None else text(sp)).alias("species"), F.lit(unc is not None).alias("_has_unc"),
+                (file_species if sp is None else F.coalesce(blank_to_null(text(sp)), file_species)).alias("species"), F.lit(unc is not None).alias("_has_unc"),
                 F.col("_metadata.file_path").alias("file_path"),
             )
         )
