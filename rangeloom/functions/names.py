@@ -14,9 +14,9 @@ TERRAIN_SCALARS = [
 ]
 # Design and bookkeeping columns that would leak the label.
 NEVER_PREDICTORS = [
-    "background_sampling_rule", "block_id", "block_id_x", "block_id_y", "block_x", "block_y", "cell_id",
-    "chip_path", "cv_round", "filename", "fold", "lat", "lon", "nearest_presence_km", "presence",
-    "sample_id", "source", "split", "topo_chip_path", "topo_normalized", "topo_valid_frac", "url",
+    "sample_id", "chip_path", "topo_chip_path", "split", "presence", "lat", "lon", "source", "filename", "url", "cell_id",
+    "nearest_presence_km", "background_sampling_rule", "block_x", "block_y", "block_id", "block_id_x", "block_id_y",
+    "fold", "cv_round", "topo_valid_frac", "topo_normalized",
 ]
 # Other spellings of the seven model families.
 FAMILY_ALIASES = {
