@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import arrays, geo, text
 from ...operators import clean, sampling, splits
 from ..registry import Inputs, query
-from .common import CELL_SQL, GRID, albers_sql, rnd
+from .common import CELL_SQL, GRID, albers_sql, rnd, uniform_sql
 
 @query(
     "P1_clean_coords", ["occ_raw"],
@@ -178,6 +178,25 @@ def affine_xy(i: Inputs):
     return i.tile_dims.select("tile_id", x.alias("cx"), y.alias("cy"))
 
 
+@query(
+    "G7_annulus_offset", ["occ"],
+    f"""SELECT occ_id, round(dist * cos(ang), 3) AS ox, round(dist * sin(ang), 3) AS oy FROM (SELECT occ_id, {uniform_sql('order_key', 1)} * 6.283185307179586 AS ang,
+ sqrt({uniform_sql('order_key', 2)} * (2500000000.0 - 25000000.0) + 25000000.0) AS dist FROM occ) s""",
+)
+def annulus_offset(i: Inputs):
+    ox, oy = geo.annulus_offset(F.col("order_key"), 5000.0, 50000.0)
+    return i.occ.select("occ_id", rnd(ox, 3, "ox"), rnd(oy, 3, "oy"))
+
+
+@query(
+    "G9_planar_distance", ["occ"],
+    f"SELECT occ_id, round(sqrt(power(x, 2) + power(y - 1000000, 2)), 3) AS metres FROM (SELECT occ_id, {albers_sql()} FROM occ) s",
+)
+def planar_distance(i: Inputs):
+    d = sampling.with_albers(i.occ)
+    return d.select("occ_id", rnd(geo.planar_distance(F.col("x"), F.col("y"), F.lit(0.0), F.lit(1000000.0)), 3, "metres"))
+
+
 @query(
     "G8_point_in_ring", ["occ"],
     "SELECT occ_id, (lat - 30) > 0 AND (lon + 120) > 0 AND (lat - 30) / 10 + (lon + 120) / 30 < 1 AS inside FROM occ",

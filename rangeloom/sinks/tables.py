@@ -12,7 +12,6 @@ PARTITIONS = {
     "points": ["species"],
     "folds": ["species", "cv_round"],
     "dataset": ["species", "design", "cv_round", "split"],
-    "mosaic": ["tile_id"],
     "eval": ["eval_set"],
 }
 
@@ -20,12 +19,15 @@ PARTITIONS = {
 def write_table(df: DataFrame, path: str, kind: str, allow_existing: bool = False) -> None:
     """Write by the kind's partition columns; an existing target is refused unless allowed."""
     parts = [c for c in PARTITIONS[kind] if c in df.columns]
+    # Rows of one folder come together, large folders are split, small ones share a task.
+    df = df.hint("rebalance", *[F.col(c) for c in parts])
     df.write.mode("append" if allow_existing else "errorifexists").partitionBy(*parts).parquet(path)
 
 
 def write_mosaic(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Mosaic squares; tiles are many, so they share a bounded number of partition folders."""
     d = df.withColumn("tile_bucket", F.pmod(F.xxhash64("tile_id"), F.lit(buckets)).cast("int"))
+    d = d.hint("rebalance", F.col("tile_bucket"))
     d.write.mode("errorifexists").partitionBy("tile_bucket").parquet(path)
 
 
@@ -42,7 +44,7 @@ def trial_key(config_json, stamp):
 def append_trial(result: DataFrame, folds: DataFrame, path: str) -> None:
     """Append the trial row and its fold metrics."""
     result.write.mode("append").parquet(f"{path}/results")
-    folds.write.mode("append").partitionBy("run_id").parquet(f"{path}/fold_metrics")
+    folds.write.mode("append").parquet(f"{path}/fold_metrics")
 
 
 def training_batches(df: DataFrame, by: list[str], ident: str, seed: int, epoch: int, batch_size: int) -> DataFrame:

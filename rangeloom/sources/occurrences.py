@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,16 +47,19 @@ def list_files(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str
 
 def headers(spark: SparkSession, files: list[str], sep: str = ",") -> dict[str, list[str]]:
     """Header of each file, from its first line only, as Spark's own CSV inference does."""
-    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), {}
-    for f in files:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(f: str) -> list[str]:
         p = jvm.org.apache.hadoop.fs.Path(f)
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
         try:
             line = reader.readLine() or ""
         finally:
             reader.close()
-        out[f] = [c.strip().strip('"') for c in line.lstrip("﻿").split(sep)]
-    return out
+        return [c.strip().strip('"') for c in line.lstrip("\ufeff").split(sep)]
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(files, pool.map(first_line, files)))
 
 
 def read_occurrences(
