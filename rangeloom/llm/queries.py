@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import read_documents, scratch
+from .packing import pack
 from .token_counts import count_tokens
+from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +27,22 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op2_token_files")
+def op2_token_files(docs: DataFrame) -> DataFrame:
+    """Ids of every document, written as Simple-8b files in id order and read back."""
+    path = scratch(docs.sparkSession, "token_files")
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(docs.sparkSession, path, with_ids=False)
+
+
 @query("op6_token_counts")
 def op6_token_counts(docs: DataFrame) -> DataFrame:
     """Token counts of every document."""
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_packing")
+def op9_packing(docs: DataFrame) -> DataFrame:
+    """All documents packed into sequences of 4096 ids."""
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -8,6 +8,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         for b in slices(batches):
             col = b.column("text")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.compute.binary_length(col).cast(pa.int64()), pa.array(c.counts(col.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
+                [b.column("doc_id"), pc.binary_length(col).cast(pa.int64()), pa.array(c.counts(col.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
