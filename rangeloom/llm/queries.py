@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import read_documents, scratch
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -46,3 +47,10 @@ def op9_packing(docs: DataFrame) -> DataFrame:
     """All documents packed into sequences of 4096 ids."""
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_simhash")
+def op10_simhash(docs: DataFrame) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, 2 bits."""
+    rows = near_duplicates(docs, words=3, bits=2)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
