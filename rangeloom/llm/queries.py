@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents, scratch
+from .common import read_documents, scratch, stored
+from .media import encode_media, feature_digest, media_features
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -42,6 +43,13 @@ def op6_token_counts(docs: DataFrame) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_media")
+def op7_media(docs: DataFrame) -> DataFrame:
+    """Every document as a stored WAV file, with what is read back from it."""
+    rows = media_features(stored(encode_media(docs), "media"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_digest().alias("feature"))
+
+
 @query("op9_packing")
 def op9_packing(docs: DataFrame) -> DataFrame:
     """All documents packed into sequences of 4096 ids."""
