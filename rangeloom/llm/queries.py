@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import read_documents, scratch, stored
 from .media import encode_media, feature_digest, media_features
 from .packing import pack
+from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -50,6 +51,12 @@ def op7_media(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_digest().alias("feature"))
 
 
+@query("op8_quality_rules")
+def op8_quality_rules(docs: DataFrame) -> DataFrame:
+    """Quality verdict on every document."""
+    return quality_rules(docs).drop("distance2")
+
+
 @query("op9_packing")
 def op9_packing(docs: DataFrame) -> DataFrame:
     """All documents packed into sequences of 4096 ids."""
