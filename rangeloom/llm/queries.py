@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_documents, scratch, stored
+from .langmix import identify
 from .media import encode_media, feature_digest, media_features
 from .packing import pack
 from .quality import quality_rules
@@ -38,6 +39,12 @@ def op2_token_files(docs: DataFrame) -> DataFrame:
     return read_token_files(docs.sparkSession, path, with_ids=False)
 
 
+@query("op3_language_mixture")
+def op3_language_mixture(docs: DataFrame) -> DataFrame:
+    """Language of every document, from a mixture of languages."""
+    return identify(docs)
+
+
 @query("op6_token_counts")
 def op6_token_counts(docs: DataFrame) -> DataFrame:
     """Token counts of every document."""

@@ -33,7 +33,7 @@ class Table(dict):
     forgotten chunks are computed again.
     """
 
-    def __init__(self, fill: Callable[[list[str]], Iterable], limit: int = 300_000, keep: int = 60_000):
+    def __init__(self, fill: Callable[[list[str]], Iterable], limit: int = 800_000, keep: int = 200_000):
         super().__init__()
         self.fill, self.limit, self.keep, self.new = fill, limit, keep, []
 
