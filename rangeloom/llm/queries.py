@@ -14,6 +14,7 @@ from .media import encode_media, feature_digest, media_features
 from .packing import pack
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffixes import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -45,6 +46,12 @@ def op3_language_mixture(docs: DataFrame) -> DataFrame:
     return identify(docs)
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """Every document without its repeats of 200 bytes."""
+    return remove_repeats(docs).drop("spans")
+
+
 @query("op6_token_counts")
 def op6_token_counts(docs: DataFrame) -> DataFrame:
     """Token counts of every document."""
