@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import read_documents, scratch, stored
 from .langmix import identify
+from .lm import score_documents
 from .media import encode_media, feature_digest, media_features
 from .packing import pack
 from .quality import quality_rules
@@ -46,6 +47,12 @@ def op3_language_mixture(docs: DataFrame) -> DataFrame:
     return identify(docs)
 
 
+@query("op4_gru_scores")
+def op4_gru_scores(docs: DataFrame) -> DataFrame:
+    """Unigram and recurrent log-likelihood of every document."""
+    return score_documents(docs)
+
+
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
     """Every document without its repeats of 200 bytes."""
