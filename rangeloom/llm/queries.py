@@ -13,6 +13,7 @@ from .langmix import identify
 from .lm import score_documents
 from .media import encode_media, feature_digest, media_features
 from .packing import pack
+from .pieces import decode, encode
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .suffixes import remove_repeats
@@ -33,6 +34,14 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(docs: DataFrame) -> DataFrame:
+    """Every document encoded into pieces and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode(encode(docs, model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query("op2_token_files")
 def op2_token_files(docs: DataFrame) -> DataFrame:
     """Ids of every document, written as Simple-8b files in id order and read back."""
