@@ -12,7 +12,7 @@ from .common import read_documents, scratch, stored
 from .langmix import identify
 from .lm import score_documents
 from .media import encode_media, feature_digest, media_features
-from .packing import pack
+from .packing import digest, pack
 from .pieces import decode, encode
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -90,8 +90,8 @@ def op8_quality_rules(docs: DataFrame) -> DataFrame:
 @query("op9_packing")
 def op9_packing(docs: DataFrame) -> DataFrame:
     """All documents packed into sequences of 4096 ids."""
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
 
 
 @query("op10_simhash")

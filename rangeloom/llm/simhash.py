@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, stored
@@ -238,3 +239,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, seed: int =
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.select("fp", "root").join(component, "root").select("fp", "component_id")
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 6) -> DataFrame:
+    """The rows of `docs` (columns `doc_id, text` and any others) without near-duplicates: of each component the smallest id stays.
+
+    Of repeated ids one row stays (the one with the smallest hash of its text). A row without an id can't stand
+    for a component; it stays only if nothing in its component has an id, and then once for each text.
+    """
+    rows = near_duplicates(docs, words, bits)
+    keep = rows.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    first = W.partitionBy("doc_id").orderBy("_hash")
+    named = named.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row", "_hash")
+    # Rows without an id, if there are any: those whose text's component has no id either.
+    lone = rows.filter("component_id IS NULL").limit(1).count()
+    if not lone:
+        return named
+    nameless = docs.filter("doc_id IS NULL").withColumn("_hash", F.xxhash64("text"))
+    prints = fingerprints(nameless.select(F.col("_hash").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("_hash"), "fp").distinct()
+    free = rows.filter("component_id IS NULL").select("fp").distinct()
+    nameless = nameless.join(prints.join(free, "fp", "left_semi").select("_hash"), "_hash", "left_semi")
+    return named.unionByName(nameless.dropDuplicates(["_hash"]).select(*[f"`{c}`" for c in docs.columns]))
