@@ -8,7 +8,6 @@ accuracy of a few nanometers" (2011).
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -211,8 +210,3 @@ def padded_extent_aggs(x: Column, y: Column, share: float = 0.05, floor_m: float
         (y1 - pad).alias("ymin"),
         (y2 + pad).alias("ymax"),
     ]
-
-
-def all_of(conds: list[Column]) -> Column:
-    """Conjunction of a list of predicates."""
-    return reduce(lambda a, b: a & b, conds)

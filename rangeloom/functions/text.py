@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Spellings read as missing in occurrence tables.
-MISSING_TOKENS = ["", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+MISSING_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+]
 # Spellings of true in flag columns.
 TRUE_TOKENS = ["true", "1", "yes", "y", "t"]
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -32,11 +35,6 @@ def to_bool(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(TRUE_TOKENS), F.lit(False))
 
 
-def first_filled(*cs: Column) -> Column:
-    """First value that is neither NULL nor empty text."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
-
-
 def slug(c: Column) -> Column:
     """File-safe name: lower case, runs of other characters become one underscore."""
     return F.trim(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), F.lit("_"))
@@ -48,7 +46,7 @@ def species_slug_from_path(path: Column) -> Column:
 
 
 def _cap(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def display_name(s: Column) -> Column:
@@ -59,7 +57,7 @@ def display_name(s: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Capital after every non-letter (so `2b` becomes `2B`), unlike `initcap`."""
-    runs = F.regexp_extract_all(c, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
     return F.array_join(F.transform(runs, _cap), "")
 
 

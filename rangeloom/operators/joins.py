@@ -10,10 +10,24 @@ MAX_HOT_KEYS = 4096
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys above `hot_rows`, with the number of salts each needs; at most 4096 rows."""
-    n = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    top = n.orderBy(F.desc("_n"), *on).limit(MAX_HOT_KEYS)
-    return top.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    """All keys with more than `hot_rows` rows and more than 1/4096 of all rows, with the number of salts each needs.
+
+    Fewer than 4096 keys can have such a share, so the table is bounded without leaving a key out.
+    """
+    n = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    bound = F.greatest(F.lit(hot_rows), F.coalesce(n.agg(F.sum("_n")).scalar(), F.lit(0)) / MAX_HOT_KEYS)
+    hot = n.withColumn("_bound", bound).filter(F.col("_n") > F.col("_bound"))
+    return hot.select(*on, F.ceil(F.col("_n") / F.col("_bound")).cast("int").alias("_salts"))
+
+
+def same_keys_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys of which NULL is a value like any other; the left side's key columns stay."""
+    names = {k: f"_k_{k}" for k in on}
+    r = right.withColumnsRenamed(names)
+    test = F.lit(True)
+    for k, other in names.items():
+        test = test & F.col(k).eqNullSafe(F.col(other))
+    return (left.join(r, test, how) if on else left.crossJoin(F.broadcast(r))).drop(*names.values())
 
 
 def salted_join(

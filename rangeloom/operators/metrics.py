@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import finite_or_null
+from .joins import same_keys_join
 from .ranks import prefix_sum
 
 
@@ -119,9 +120,13 @@ def class_report(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def score_groups(df: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score, with the counts scored higher and the set's totals."""
+    """Positives and negatives per distinct score, with the counts scored higher and the set's totals.
+
+    Rows without a score (NULL or NaN) can't be ranked and count nowhere.
+    """
     y = F.col("true_label").cast("long")
-    g = df.groupBy(*by, "probability").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    scored = df.filter(F.col("probability").isNotNull() & ~F.isnan("probability"))
+    g = scored.groupBy(*by, "probability").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     return prefix_sum(g, by, "probability", ["pos", "neg"]).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
 
 
@@ -197,7 +202,7 @@ def full_summary(df: DataFrame, by: list[str]) -> DataFrame:
         *by, _ratio(F.col("_auc"), F.col("_p").cast("double") * F.col("_n").cast("double")).alias("roc_auc"),
         F.when(F.col("_n") > 0, _ratio(F.col("_ap"), F.col("_p"))).alias("average_precision"),
     )
-    return summary(df, by).join(areas, by)
+    return same_keys_join(summary(df, by), areas, by, "left")
 
 
 def fold_nanmean(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:

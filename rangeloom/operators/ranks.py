@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import same_keys_join
+
+#: Rows that a bucket of a rank should have at most.
+BUCKET_ROWS = 65_536
+
 
 def exact_rank(
-    df: DataFrame, by: list[str], key: str, out: str = "rank", digits: int = 3, total: str | None = None
+    df: DataFrame, by: list[str], key: str, out: str = "rank", total: str | None = None
 ) -> DataFrame:
     """0-based rank by the md5 column `key` inside each `by` group; `total` names a group size column.
 
-    The leading hex digits split every group into 16^digits even buckets, so a group that holds most
-    of the rows still spreads over all tasks; only bucket counts are summed in order.
+    The leading hex digits split every group into even buckets, as many digits as its size asks for, so a
+    group that holds most of the rows still spreads over all tasks; only bucket counts are summed in order.
+    A NULL group is a group of its own.
     """
-    d = df.withColumn("_kb", F.substring(F.col(key), 1, digits))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    digits = F.greatest(F.lit(1), F.ceil(F.log(F.col("_size") / float(BUCKET_ROWS)) / F.log(F.lit(16.0)))).cast("int")
+    d = same_keys_join(df, sizes.select(*by, digits.alias("_digits")), by)
+    d = d.withColumn("_kb", F.substr(F.col(key), F.lit(1), F.col("_digits"))).drop("_digits")
     counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_cnt"))
-    # At most 16^digits bucket rows of a group reach these windows.
+    # Bucket rows reach these windows, not rows.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
@@ -26,7 +35,7 @@ def exact_rank(
     offsets = offsets.drop("_cnt")
     inside = W.partitionBy(*by, "_kb").orderBy(key)
     return (
-        d.join(offsets, [*by, "_kb"])
+        same_keys_join(d, offsets, [*by, "_kb"])
         .withColumn(out, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
         .drop("_kb", "_off")
     )
@@ -73,7 +82,7 @@ def before(
     whole = [fn(v).over(group).alias(f"{v}_total") for v, fn in fns.items()] if totals else []
     large = large.select(*by, "_c", *whole, *[fn(v).over(prior(by or [F.lit(0)], ["_c"])).alias(f"_c_{v}") for v, fn in fns.items()])
     small = small.select(*by, "_c", "_f", *[fn(v).over(prior([*by, "_c"], ["_f"])).alias(f"_f_{v}") for v, fn in fns.items()])
-    out = d.join(small.join(large, [*by, "_c"]), [*by, "_c", "_f"])
+    out = same_keys_join(d, same_keys_join(small, large, [*by, "_c"]), [*by, "_c", "_f"])
     inside = prior([*by, "_c", "_f"], order)
     for v, fn in fns.items():
         parts = [fn(v).over(inside), F.col(f"_c_{v}"), F.col(f"_f_{v}")]

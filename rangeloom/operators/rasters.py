@@ -64,15 +64,21 @@ def sample_rasters(points: DataFrame, blocks: DataFrame, grid: tuple[float, floa
     return j.withColumn("values", vals).drop("px", "block_row", "block_col", "_r", "_c", "_o")
 
 
-def stats_arrays(stats: DataFrame) -> Column:
-    """Layer statistics (one row per layer) as one scalar subquery: array of (layer, mean, std)."""
-    return stats.agg(F.array_sort(F.collect_list(F.struct("layer", "mean", "std"))).alias("s")).scalar()
+def stats_by_layer(stats: DataFrame) -> Column:
+    """Layer statistics (one row per layer) as one scalar subquery: map of layer to (mean, std)."""
+    entry = F.struct(F.col("layer").cast("int"), F.struct("mean", "std"))
+    return stats.agg(F.map_from_entries(F.collect_list(entry)).alias("s")).scalar()
 
 
 def zscore_values(df: DataFrame, stats: DataFrame, column: str = "values") -> DataFrame:
-    """Sampled layer values as z-scores, layer by layer."""
-    pairs = F.zip_with(F.col(column), F.col("_stats"), lambda v, s: (v - s["mean"]) / s["std"])
-    return df.withColumn("_stats", stats_arrays(stats)).withColumn(column, pairs).drop("_stats")
+    """Sampled layer values as z-scores; value k is layer k. A layer without usable statistics raises."""
+
+    def score(v: Column, k: Column) -> Column:
+        s = F.try_element_at(F.col("_stats"), k)
+        bad = s.isNull() | F.coalesce(s["std"] <= 0, F.lit(True))
+        return F.when(bad, F.raise_error(F.concat(F.lit("no usable statistics for layer "), k.cast("string"))).cast("double")).otherwise((v - s["mean"]) / s["std"])
+
+    return df.withColumn("_stats", stats_by_layer(stats)).withColumn(column, F.transform(column, score)).drop("_stats")
 
 
 # --- chips held as arrays -------------------------------------------------------------------

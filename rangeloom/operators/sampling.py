@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import albers_inverse, albers_xy, annulus_offset, cell_row_col
 from ..functions.keys import order_key, uniform
 from ..session import materialize
-from .joins import grid_join, salted_join
+from .joins import grid_join, salted_join, same_keys_join
 from .ranks import exact_rank
 
 Grid = tuple[float, float, float, float]
@@ -119,6 +119,7 @@ def _draws(ranked: DataFrame, sizes: DataFrame, by: list[str], factor: float, se
 
 
 def _pool_until(
+    short: list[DataFrame] | None,
     presences: DataFrame,
     sizes: DataFrame,
     by: list[str],
@@ -130,6 +131,9 @@ def _pool_until(
 ) -> DataFrame:
     """Pool candidate rounds, one point per free cell, until every group has as many cells as presences.
 
+    Groups that stay short after `max_rounds` raise, or, where a list is given, go to it as a table
+    (`wanted`, `found`) while the others finish.
+
     Proposals are stored once per round; the acceptance joins count their crowded keys on that table.
     """
     pool, open_groups = None, sizes
@@ -143,8 +147,11 @@ def _pool_until(
         open_groups = materialize(left, "open_groups")
         if open_groups.isEmpty():
             return pool
-    short = [tuple(r) for r in open_groups.limit(20).collect()]
-    raise RuntimeError(f"not enough free background cells after {max_rounds} rounds; short groups (first 20): {short}")
+    if short is None:
+        first = [tuple(r) for r in open_groups.limit(20).collect()]
+        raise RuntimeError(f"not enough free background cells after {max_rounds} rounds; short groups (first 20): {first}")
+    short.append(same_keys_join(open_groups, have, by, "left").withColumnsRenamed({"_n": "wanted", "_have": "found"}))
+    return pool.join(open_groups.select(*by), by, "left_anti")
 
 
 def _finish(pool: DataFrame, sizes: DataFrame, presences: DataFrame, by: list[str], seed: int, start_m: float, outer_m: float, rule: str) -> DataFrame:
@@ -175,6 +182,7 @@ def background_radial(
     multiplier: float = 3.0,
     max_rounds: int = 25,
     seed: int = 42,
+    short: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Background around random presences of the same group, area-uniform between two radii.
 
@@ -201,7 +209,7 @@ def background_radial(
         # A draw is within the outer radius of its own origin, so only the inner bound can fail.
         return outside(drawn, as_centres(ranked, by), by, "draw_key", inner, drawn)
 
-    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose, accept)
+    pool = _pool_until(short, ranked, sizes, by, grid, seed, max_rounds, propose, accept)
     rule = f"radial_doughnut_{_km(inner_km)}_{_km(outer_km)}_km"
     return _finish(pool, sizes, ranked, by, seed, max(inner * 2, outer / 16), outer, rule)
 
@@ -218,6 +226,7 @@ def background_polygon(
     max_rounds: int = 25,
     seed: int = 42,
     footprint: Callable[[DataFrame], DataFrame] | None = None,
+    short: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Background drawn uniformly in degrees from the zone between two radii around the presences.
 
@@ -242,32 +251,49 @@ def background_polygon(
         kept = drawn if footprint is None else footprint(drawn)
         return in_annulus(kept, as_centres(ranked, by), by, "draw_key", inner, outer, drawn)
 
-    pool = _pool_until(ranked, sizes, by, grid, seed, max_rounds, propose, accept)
+    pool = _pool_until(short, ranked, sizes, by, grid, seed, max_rounds, propose, accept)
     rule = f"doughnut_{_km(inner_km)}_{_km(outer_km)}_km"
     return _finish(pool, sizes, ranked, by, seed, max(inner * 2, outer / 16), outer, rule)
 
 
-# Metres per degree used only to widen a bounding box generously.
-_DEG_LAT_M, _DEG_LON_M = 110000.0, 55000.0
+# Metres per degree of latitude, rounded down, used only to widen a bounding box.
+_DEG_M = 110000.0
 
 
 def zone_box(presences: DataFrame, by: list[str], outer_m: float) -> DataFrame:
-    """Bounding box in degrees of all points within `outer_m` of a presence (valid up to 60 degrees latitude)."""
-    py, px = outer_m / _DEG_LAT_M, outer_m / _DEG_LON_M
+    """Bounding box in degrees of all points within `outer_m` of a presence.
+
+    A degree of longitude shrinks with the cosine of the latitude farthest out; two simple lower bounds of the
+    cosine keep the box wide enough everywhere.
+    """
+    py = outer_m / _DEG_M
+    m = F.greatest(F.abs(F.max("lat")), F.abs(F.min("lat"))) + py
+    px = outer_m / (_DEG_M * F.greatest(1.0 - 0.00015231 * m * m, 1.0 - m / 90.0, F.lit(0.001)))
     return presences.groupBy(*by).agg(
         (F.min("lon") - px).alias("x1"), (F.max("lon") + px).alias("x2"),
         (F.min("lat") - py).alias("y1"), (F.max("lat") + py).alias("y2"),
     )
 
 
-def random_points(seeds: DataFrame, ident: str, per_row: int, box: tuple[float, float, float, float], inside: Callable[[Column, Column], Column], seed: int) -> DataFrame:
-    """Uniform points in a polygon by rejection: `per_row` draws for every row of `seeds`, `inside` keeps hits."""
+def random_points(
+    seeds: DataFrame, ident: str, per_row: int, box: tuple[float, float, float, float], inside: Callable[[Column, Column], Column], seed: int, n: int,
+    max_rounds: int = 8,
+) -> DataFrame:
+    """Exactly `n` uniform points in a polygon by rejection, or an error.
+
+    Every row of `seeds` makes `per_row` draws, twice as many in each further round, until `inside` accepts `n`;
+    the first of them in order of their keys are taken.
+    """
     x1, y1, x2, y2 = box
-    d = seeds.select(ident).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
-    d = d.withColumn("draw_key", order_key(seed, F.concat_ws(":", F.col(ident), F.col("draw"))))
-    d = d.withColumn("px", F.lit(x1) + uniform(F.col("draw_key"), 0) * (x2 - x1))
-    d = d.withColumn("py", F.lit(y1) + uniform(F.col("draw_key"), 1) * (y2 - y1))
-    return d.filter(inside(F.col("px"), F.col("py")))
+    for i in range(max_rounds):
+        d = seeds.select(ident).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit((per_row << i) - 1))))
+        d = d.withColumn("draw_key", order_key(seed, F.concat_ws(":", F.col(ident), F.col("draw"))))
+        d = d.withColumn("px", F.lit(x1) + uniform(F.col("draw_key"), 0) * (x2 - x1))
+        d = d.withColumn("py", F.lit(y1) + uniform(F.col("draw_key"), 1) * (y2 - y1))
+        hits = materialize(d.filter(inside(F.col("px"), F.col("py"))), "hits")
+        if hits.count() >= n:
+            return exact_rank(hits, [], "draw_key", "_rk").filter(F.col("_rk") < n).drop("_rk")
+    raise RuntimeError(f"fewer than {n} points fell into the polygon")
 
 
 def spatial_thin(points: DataFrame, by: list[str], ident: str, key: str, distance_m: float, max_rounds: int = 200) -> DataFrame:

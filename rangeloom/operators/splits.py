@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
+from .joins import same_keys_join
 from .ranks import exact_rank, quantiles
 
 
@@ -29,7 +30,7 @@ def stratified_split(
 def spatial_blocks(df: DataFrame, by: list[str], size_m: float) -> DataFrame:
     """Square blocks counted from the group's lower left corner; input has projected `x, y`."""
     low = df.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
-    d = df.join(low, by)
+    d = same_keys_join(df, low, by)
     d = d.withColumn("block_x", F.floor((F.col("x") - F.col("_x0")) / size_m).cast("int"))
     d = d.withColumn("block_y", F.floor((F.col("y") - F.col("_y0")) / size_m).cast("int"))
     return d.withColumn("block_id", F.concat_ws("_", "block_x", "block_y")).drop("_x0", "_y0")
@@ -44,7 +45,7 @@ def fold_map(df: DataFrame, by: list[str], k: int, seed: int) -> DataFrame:
 
 def assign_folds(df: DataFrame, by: list[str], k: int, seed: int) -> DataFrame:
     """Attach the fold of each point's block; a few rows per group, joined under the planner's size check."""
-    return df.join(fold_map(df, by, k, seed), [*by, "block_id"])
+    return same_keys_join(df, fold_map(df, by, k, seed), [*by, "block_id"])
 
 
 def reattach_fold(df: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def coord_stats(df: DataFrame, by: list[str]) -> DataFrame:
 
 def norm_latlon(df: DataFrame, by: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Z-scores of the coordinates per data set; 0 where the deviation is 0 or undefined."""
-    d = df.join(coord_stats(df, by) if stats is None else stats, by)
+    d = same_keys_join(df, coord_stats(df, by) if stats is None else stats, by)
     for c in ("lat", "lon"):
         sd = F.nullif(F.col(f"{c}_std"), F.lit(0.0))
         d = d.withColumn(f"{c}_norm", F.coalesce((F.col(c) - F.col(f"{c}_mean")) / sd, F.lit(0.0)))
@@ -110,7 +111,7 @@ def occurrence_qa(df: DataFrame, by: list[str]) -> DataFrame:
     rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
     places = df.select(*by, "lat", "lon").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_places"))
     q = quantiles(df, by, "coordinate_uncertainty_m", {"unc_min": 0.0, "unc_median": 0.5, "unc_max": 1.0})
-    return rows.join(places, by).join(q, by, "left")
+    return same_keys_join(same_keys_join(rows, places, by), q, by, "left")
 
 
 def source_counts(df: DataFrame, by: list[str]) -> DataFrame:

@@ -235,13 +235,13 @@ def source_counts(i: Inputs):
 
 @query(
     "text_functions", ["documents"],
-    """SELECT doc_id, trim(regexp_replace(lower(trim(substr(text, 1, 60))), '[^a-z0-9]+', '_', 'g'), '_') AS slug, lower(source) IN ('true', '1', 'yes', 'y', 't') AS flag,
+    """SELECT doc_id, trim(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '_') AS slug, lower(source) IN ('true', '1', 'yes', 'y', 't') AS flag,
  regexp_extract(concat('d/', source, '\\', lang, '.csv'), '[^/\\\\]+$') AS base, sha1(concat(source, lang))[1:10] AS short_hash FROM documents""",
 )
 def text_functions(i: Inputs):
     path = F.concat(F.lit("d/"), F.col("source"), F.lit("\\"), F.col("lang"), F.lit(".csv"))
     return i.documents.select(
-        "doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"), text.to_bool(F.col("source")).alias("flag"),
+        "doc_id", text.slug(F.col("text")).alias("slug"), text.to_bool(F.col("source")).alias("flag"),
         text.base_name(path).alias("base"), F.substring(F.sha1(F.concat("source", "lang")), 1, 10).alias("short_hash"),
     )
 

@@ -218,7 +218,9 @@ def _background_out(d):
     )
 
 
-_POLY_PLACE = f"""zb AS (SELECT species, min(lon) - 50000.0 / 55000.0 AS x1, max(lon) + 50000.0 / 55000.0 AS x2, min(lat) - 50000.0 / 110000.0 AS y1, max(lat) + 50000.0 / 110000.0 AS y2 FROM pres GROUP BY species),
+_POLY_PLACE = f"""zm AS (SELECT species, min(lon) AS lon1, max(lon) AS lon2, min(lat) AS lat1, max(lat) AS lat2, greatest(abs(max(lat)), abs(min(lat))) + CAST(50000.0 AS DOUBLE) / 110000.0 AS m FROM pres GROUP BY species),
+ zw AS (SELECT *, CAST(50000.0 AS DOUBLE) / (CAST(110000.0 AS DOUBLE) * greatest(CAST(1.0 AS DOUBLE) - CAST(0.00015231 AS DOUBLE) * m * m, CAST(1.0 AS DOUBLE) - m / 90.0, CAST(0.001 AS DOUBLE))) AS px FROM zm),
+ zb AS (SELECT species, lon1 - px AS x1, lon2 + px AS x2, lat1 - 50000.0 / 110000.0 AS y1, lat2 + 50000.0 / 110000.0 AS y2 FROM zw),
  c0 AS (SELECT d.round, d.species, d.dk, zb.x1 + {uniform_sql('d.dk', 0)} * (zb.x2 - zb.x1) AS lon, zb.y1 + {uniform_sql('d.dk', 1)} * (zb.y2 - zb.y1) AS lat FROM d JOIN zb USING (species)),
  c1 AS (SELECT *, {albers_sql()} FROM c0 WHERE EXISTS (SELECT 1 FROM tile_idx t WHERE t.downloaded AND c0.lon >= t.minx AND c0.lon <= t.maxx AND c0.lat >= t.miny AND c0.lat <= t.maxy)),
  bp AS (SELECT species, x, y, CAST(floor(x / 50000) AS BIGINT) + ux AS bx, CAST(floor(y / 50000) AS BIGINT) + uy AS by FROM pres, (VALUES (-1),(0),(1)) o(ux), (VALUES (-1),(0),(1)) q(uy)),
@@ -228,7 +230,7 @@ _POLY_PLACE = f"""zb AS (SELECT species, min(lon) - 50000.0 / 55000.0 AS x1, max
 
 @query(
     "D5_background_polygon", ["occ", "tile_idx"],
-    _background_sql(_POLY_PLACE, "SELECT c1.* FROM c1 JOIN nn USING (dk) WHERE d2 <= 2500000000 AND d2 >= 25000000", 15.0, "doughnut_5_50_km"),
+    _background_sql(_POLY_PLACE, "SELECT c1.* FROM c1 JOIN nn USING (dk) WHERE d2 <= 2500000000 AND d2 >= 25000000", 15.0, "doughnut_5_50_km", 10),
 )
 def background_polygon(i: Inputs):
     tiles = i.tile_idx.filter("downloaded")
@@ -253,13 +255,14 @@ def background_exact_n(i: Inputs):
     "D9_random_points", ["supplier"],
     f"""WITH d AS (SELECT s_suppkey, unnest(range(40)) AS draw FROM supplier), k AS (SELECT *, md5(concat('42:', s_suppkey, ':', draw)) AS dk FROM d),
  p AS (SELECT s_suppkey, dk AS draw_key, -120.0 + {uniform_sql('dk', 0)} * 30.0 AS px, 30.0 + {uniform_sql('dk', 1)} * 10.0 AS py FROM k)
- SELECT s_suppkey, draw_key, round(px, 6) AS px, round(py, 6) AS py FROM p WHERE (py - 30) / 10 + (px + 120) / 30 < 1""",
+ SELECT s_suppkey, draw_key, round(px, 6) AS px, round(py, 6) AS py FROM p WHERE (py - 30) / 10 + (px + 120) / 30 < 1
+ QUALIFY row_number() OVER (ORDER BY draw_key) <= 15 * (SELECT count(*) FROM supplier)""",
 )
 def random_points(i: Inputs):
     from ...functions.geo import point_in_ring
 
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-120.0, 30.0), (-90.0, 30.0), (-120.0, 40.0))])
-    d = s.random_points(i.supplier, "s_suppkey", 40, (-120.0, 30.0, -90.0, 40.0), lambda x, y: point_in_ring(x, y, ring), SEED)
+    d = s.random_points(i.supplier, "s_suppkey", 40, (-120.0, 30.0, -90.0, 40.0), lambda x, y: point_in_ring(x, y, ring), SEED, 15 * i.supplier.count())
     return d.select("s_suppkey", "draw_key", rnd("px"), rnd("py"))
 
 

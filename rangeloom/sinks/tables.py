@@ -17,11 +17,16 @@ PARTITIONS = {
 
 
 def write_table(df: DataFrame, path: str, kind: str, allow_existing: bool = False) -> None:
-    """Write by the kind's partition columns; an existing target is refused unless allowed."""
+    """Write by the kind's partition columns; an existing target is refused unless allowed.
+
+    Where it is allowed, the folders that `df` has rows for are replaced and the others stay, so a job that runs
+    again gives the same table.
+    """
     parts = [c for c in PARTITIONS[kind] if c in df.columns]
     # Rows of one folder come together, large folders are split, small ones share a task.
     df = df.hint("rebalance", *[F.col(c) for c in parts])
-    df.write.mode("append" if allow_existing else "errorifexists").partitionBy(*parts).parquet(path)
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if allow_existing else df.write.mode("errorifexists")
+    w.partitionBy(*parts).parquet(path)
 
 
 def write_mosaic(df: DataFrame, path: str, buckets: int = 64) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,20 +46,13 @@ def list_files(spark: SparkSession, path: str, suffix: str = ".csv") -> list[str
 
 
 def headers(spark: SparkSession, files: list[str], sep: str = ",") -> dict[str, list[str]]:
-    """Header of each file, from its first line only, as Spark's own CSV inference does."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def first_line(f: str) -> list[str]:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
-        try:
-            line = reader.readLine() or ""
-        finally:
-            reader.close()
-        return [c.strip().strip('"') for c in line.lstrip("\ufeff").split(sep)]
-
-    with ThreadPoolExecutor(16) as pool:
-        return dict(zip(files, pool.map(first_line, files)))
+    """Header of each file: one distributed read takes the first line of every first block; quoted names are understood."""
+    if not files:
+        return {}
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id())
+    first = lines.groupBy("f").agg(F.min_by("value", "n").alias("line")).collect()  # one row per file
+    return {r["f"]: [c.strip() for c in next(csv.reader([r["line"].lstrip("\ufeff")], delimiter=sep), [""])] for r in first}
 
 
 def read_occurrences(
@@ -71,12 +64,14 @@ def read_occurrences(
     source_col: str = "Source",
     species_col: str = "species",
     max_uncertainty_m: float | None = None,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, list[tuple[str, str]], DataFrame]:
     """(clean occurrences, files left out with the reason, rows left out) of a folder or file.
 
     Files are grouped by header; each group is one scan by column position, all species in one job.
     A file without coordinates is reported and the others continue. Species is a key everywhere, so a
-    missing value takes the file's species.
+    missing value takes the file's species. Quoted fields may hold doubled quotes and line breaks; where files
+    are known to have no line breaks in fields, `multi_line=False` lets large files be split.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f, h in headers(spark, list_files(spark, path)).items():
@@ -95,7 +90,7 @@ def read_occurrences(
         sp = pick_column(names, species_col, [], "species", False)
         # Names that differ only in case collide in Spark, so columns are read by position.
         schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-        d = spark.read.csv(files, schema=schema, header=True, enforceSchema=True)
+        d = spark.read.csv(files, schema=schema, header=True, enforceSchema=True, quote='"', escape='"', multiLine=multi_line)
         file_species = title_case(F.regexp_replace(species_slug_from_path(F.col("_metadata.file_path")), "_", " "))
         text = lambda i: F.lit(None).cast("string") if i is None else F.col(f"c{i}")
         parts.append(

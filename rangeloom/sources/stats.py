@@ -20,14 +20,17 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_stats(stats: DataFrame, names: list[str]) -> DataFrame:
-    """The statistics unchanged; raises when a variable is absent, a mean is not finite or a deviation not positive."""
-    have = stats.filter(F.col("var").isin(names)).limit(len(names) + 1).collect()
-    missing = sorted(set(names) - {r["var"] for r in have})
+    """The statistics unchanged; raises when an asked variable is absent, a mean is not finite or a deviation not positive."""
+    asked = stats.filter(F.col("var").isin(names))
+    usable = F.coalesce(finite(F.col("mean")) & finite(F.col("std")) & (F.col("std") > 0), F.lit(False))
+    # One row per asked name, however often the table repeats it.
+    have = {r["var"]: r["ok"] for r in asked.groupBy("var").agg(F.bool_and(usable).alias("ok")).collect()}
+    missing = sorted(set(names) - set(have))
     if missing:
         raise ValueError(f"no statistics for {missing}")
-    bad = stats.filter(~(finite(F.col("mean")) & finite(F.col("std")) & (F.col("std") > 0))).limit(20).collect()
+    bad = sorted(v for v, ok in have.items() if not ok)
     if bad:
-        raise ValueError(f"unusable statistics: {[r['var'] for r in bad]}")
+        raise ValueError(f"unusable statistics: {bad}")
     return stats
 
 

@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB on the smallest data; the slow ones only with RANGELOOM_FULL=1."""
+"""Every registered query against DuckDB on the smallest data."""
 
 import os
 
@@ -7,12 +7,6 @@ import pytest
 from tests.oracle_check import ORACLES, QUERIES, compare, connect
 
 SF = os.environ.get("RANGELOOM_SF", "/root/testdata/sf0.001")
-SLOW = {
-    "A20_distance_summary", "D4_background_radial", "D5_background_polygon", "D6_background_exact_n", "D7_spatial_thin", "F7_build_dataset",
-    "F8_species_flow", "M1_fit_tabular", "M9_model_families", "T6_mosaic_reproject", "K2_write_folds", "R9_summarize_topo",
-    "W4_changes_vs_baseline_best", "L5_seed_runs", "F4_cv_rounds_legacy", "U2_union_rounds", "R6_resample_by_pixel",
-}
-FULL = os.environ.get("RANGELOOM_FULL") == "1"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if FULL or n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     state, detail = compare(spark, con, SF, name)
     assert state in ("ok", "rows"), f"{name}: {detail}"

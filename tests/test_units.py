@@ -346,3 +346,86 @@ def test_predicates_on_bad_numbers(spark):
     assert rows(clean.env_vector(d, ["a", "b"]).filter("usable"), "id") == [(1,), (5,)]
     assert rows(clean.fill_vector(d, ["a", "b"]).filter("id in (2, 3)"), "features") == [([0.0, 2.0],), ([1.0, 0.0],)]
     assert rows(clean.uncertainty_filter(d, None, 10.0), "id") == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_statistics_of_repeated_and_unasked_names(spark):
+    d = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 2.0), ("a", 1.5, 2.0), ("b", 0.0, 1.0), ("c", 0.0, 0.0)], "var string, mean double, std double")
+    assert stats.check_stats(d, ["a", "b"]).count() == 5
+    with pytest.raises(ValueError, match=r"no statistics for \['d'\]"):
+        stats.check_stats(d, ["a", "d"])
+
+
+def test_zscores_pair_by_layer_number(spark):
+    d = spark.createDataFrame([(1, [5.0, 7.0])], "id int, values array<double>")
+    s = spark.createDataFrame([(1, 1.0, 2.0), (0, 3.0, 4.0)], "layer long, mean double, std double")
+    assert rows(rasters.zscore_values(d, s), "values") == [([0.5, 3.0],)]
+    with pytest.raises(Exception, match="no usable statistics for layer 1"):
+        rasters.zscore_values(d, s.filter("layer = 0")).collect()
+    with pytest.raises(Exception, match="no usable statistics for layer 0"):
+        rasters.zscore_values(d, s.withColumn("std", F.lit(0.0))).collect()
+
+
+def test_scores_that_are_missing_count_nowhere(spark):
+    d = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.1), (None, 1, None), (None, 0, float("nan"))], "eval_set int, true_label int, probability double")
+    assert rows(metrics.roc_auc(d, ["eval_set"])) == [(None, 1.0)]
+    assert rows(metrics.average_precision(d, ["eval_set"])) == [(None, 1.0)]
+
+
+def test_null_groups_are_groups(spark):
+    d = spark.createDataFrame([(None, 1, "b"), (None, 2, "a"), ("x", 3, "c")], "g string, i int, k string")
+    assert sorted((r.i, r["rank"]) for r in ranks.exact_rank(d, ["g"], "k").collect()) == [(1, 1), (2, 0), (3, 0)]
+    p = spark.createDataFrame([(None, 0.0, 0.0), (None, 25.0, 5.0)], "g string, x double, y double")
+    assert rows(splits.spatial_blocks(p, ["g"], 10.0), "block_id") == [("0_0",), ("2_0",)]
+    q = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 5.0)], "g string, v double")
+    assert {r.g: r.m for r in ranks.quantiles(q, ["g"], "v", {"m": 0.5}).collect()} == {None: 2.0, "x": 5.0}
+
+
+def test_hot_keys_are_relative_and_complete(spark):
+    d = spark.createDataFrame([(i % 3 if i < 90 else i,) for i in range(120)], "k long")
+    assert rows(joins.hot_keys(d, ["k"], hot_rows=10), "k", "_salts") == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_zone_box_is_wide_enough_in_the_north(spark):
+    d = spark.createDataFrame([(1, 68.0, 20.0), (2, 10.0, 20.0), (3, 85.0, 20.0)], "g int, lat double, lon double")
+    box = {r.g: r for r in sampling.zone_box(d, ["g"], 50_000.0).collect()}
+    for g, lat in ((1, 68.0), (2, 10.0), (3, 85.0)):
+        assert box[g].x2 - 20.0 >= 50.0 / (111.4 * math.cos(math.radians(lat + 0.44)))
+
+
+def test_title_case_beyond_ascii(spark):
+    d = spark.createDataFrame([("são tomé-príncipe 2b " + "x" * 1_100_000,)], "s string")
+    got = d.select(text.title_case(F.col("s"))).first()[0]
+    assert got.startswith("São Tomé-Príncipe 2B X") and len(got) == len("são tomé-príncipe 2b ") + 1_100_000
+
+
+def test_csv_with_quotes_line_breaks_and_header_commas(spark, tmp_path):
+    (tmp_path / "quercus_alba.csv").write_text('"note, free",lat,lon\n"He said ""oak"", tall",40.0,-80.0\n"two\nlines",41.0,-81.0\nplain,42.0,-82.0\nbad,#N/A N/A,-83\n')
+    got, failed, rejected = occurrences.read_occurrences(spark, str(tmp_path))
+    assert rows(got, "lat", "lon") == [(40.0, -80.0), (41.0, -81.0), (42.0, -82.0)] and not failed and rejected.count() == 1
+
+
+def test_writing_again_replaces_folders(spark):
+    path = scratch_path(spark, "t")
+    d = spark.createDataFrame([("a", 1), ("b", 2)], "species string, v int")
+    tables.write_table(d, path, "points")
+    tables.write_table(d.filter("species = 'a'").withColumn("v", F.lit(3)), path, "points", allow_existing=True)
+    assert rows(tables.read_partition(spark, path), "species", "v") == [("a", 3), ("b", 2)]
+
+
+def test_random_points_are_exactly_as_many_as_asked(spark):
+    seeds = spark.range(10).withColumnRenamed("id", "s")
+    got = sampling.random_points(seeds, "s", 4, (0.0, 0.0, 1.0, 1.0), lambda x, y: x + y < 0.5, 1, 30)
+    assert got.count() == 30
+    with pytest.raises(RuntimeError, match="fewer than"):
+        sampling.random_points(seeds, "s", 1, (0.0, 0.0, 1.0, 1.0), lambda x, y: x > 2, 1, 1, 2)
+
+
+def test_short_species_do_not_stop_the_others(spark):
+    grid = (-180.0, 90.0, 0.5, 0.5)
+    d = spark.createDataFrame([("ok", 40.0, -100.0), ("crowd", 41.0, -90.0)] + [("crowd", 41.0 + 0.5 * a, -90.0 + 0.5 * b) for a in range(-2, 3) for b in range(-2, 3) if a or b], "species string, lat double, lon double")
+    d = sampling.with_cell(d, grid).withColumn("k", order_key(1, F.concat_ws(":", "lat", "lon")))
+    short: list = []
+    got = sampling.background_radial(d, ["species"], "k", grid, 60.0, 0.0, max_rounds=1, multiplier=3.0, short=short)
+    done = {r.species for r in got.select("species").distinct().collect()}
+    missing = {r.species for r in short[0].collect()} if short else set()
+    assert done.isdisjoint(missing) and done | missing == {"ok", "crowd"}
