@@ -88,19 +88,19 @@ def trial_log(i: Inputs):
     return datasets.read_trials(i.spark, path, "run_id string, benchmark_name string, mean_val_mcc double, search_space_json string")
 
 
-@query("K1_write_points", ["occ"], "SELECT occ_id, presence, species FROM occ WHERE species = 'view'")
+@query("K1_write_points", ["occ"], "SELECT occ_id, presence, species FROM occ")
 def write_points(i: Inputs):
     path = scratch_path(i.spark, "points")
     tables.write_table(i.occ, path, "points")
-    return tables.read_partition(i.spark, path, species="view").select("occ_id", "presence", "species")
+    return tables.read_partition(i.spark, path).select("occ_id", "presence", "species")
 
 
-@query("K2_write_folds", ["occ"], _BLOCK + "SELECT species, count(*) FILTER (fold = 2) AS n_test, count(*) AS n FROM k JOIN f USING (species, block_id) GROUP BY species")
+@query("K2_write_folds", ["occ"], _BLOCK + "SELECT species, CAST(cv_round AS INTEGER) AS cv_round, count(*) FILTER (fold = cv_round) AS n_test, count(*) AS n FROM k JOIN f USING (species, block_id), (SELECT unnest([1, 2, 3, 4, 5]) AS cv_round) r GROUP BY 1, 2")
 def write_folds(i: Inputs):
     path = scratch_path(i.spark, "folds")
     tables.write_table(splits.cv_rounds(folded(i), SP, "order_key", 5), path, "folds")
-    d = tables.read_partition(i.spark, path, cv_round=2)
-    return d.groupBy("species").agg(F.count_if(F.col("split") == "test").alias("n_test"), F.count(F.lit(1)).alias("n"))
+    d = tables.read_partition(i.spark, path)
+    return d.groupBy("species", F.col("cv_round").cast("int").alias("cv_round")).agg(F.count_if(F.col("split") == "test").alias("n_test"), F.count(F.lit(1)).alias("n"))
 
 
 @query("K3_write_dataset", ["occ"], "SELECT species, split, count(*) AS n FROM (SELECT species, CASE WHEN user_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM occ) s GROUP BY 1, 2")
@@ -139,14 +139,16 @@ def skip_finished(i: Inputs):
     return tables.skip_finished(i.tile_dims, mosaic(i.tile_dims)).select("tile_id")
 
 
-@query("K9_write_eval", ["pred_class"], "SELECT eval_set, count(*) AS n, count(*) FILTER (true_label = predicted_label) AS n_right FROM pred_class WHERE eval_set = 3 GROUP BY eval_set")
+@query("K9_write_eval", ["pred_class"], "SELECT eval_set, count(*) AS n, count(*) FILTER (true_label = predicted_label) AS n_right, CAST(1 AS BIGINT) AS n_summary, CAST(5 AS BIGINT) AS n_report, count(DISTINCT probability) + 1 AS n_pr, true AS has_roc FROM pred_class GROUP BY eval_set")
 def write_eval(i: Inputs):
     path = scratch_path(i.spark, "eval")
-    tables.write_table(i.pred_class, f"{path}/predictions", "eval")
-    tables.write_table(metrics.full_summary(i.pred_class, ["eval_set"]), f"{path}/summary", "eval")
-    d = tables.read_partition(i.spark, f"{path}/predictions", eval_set=3)
-    ok = F.count_if(F.col("true_label") == F.col("predicted_label"))
-    return d.groupBy(F.col("eval_set").cast("long").alias("eval_set")).agg(F.count(F.lit(1)).alias("n"), ok.alias("n_right"))
+    tables.write_evaluation(i.pred_class, ["eval_set"], path)
+    eval_set = F.col("eval_set").cast("long").alias("eval_set")
+    d = tables.read_partition(i.spark, f"{path}/predictions")
+    out = d.groupBy(eval_set).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("true_label") == F.col("predicted_label")).alias("n_right"))
+    for name in ("summary", "class_report", "pr_curve", "roc_curve"):
+        out = out.join(tables.read_partition(i.spark, f"{path}/{name}").groupBy(eval_set).agg(F.count(F.lit(1)).alias(name)), "eval_set")
+    return out.select("eval_set", "n", "n_right", F.col("summary").alias("n_summary"), F.col("class_report").alias("n_report"), F.col("pr_curve").alias("n_pr"), (F.col("roc_curve") > 1).alias("has_roc"))
 
 
 @query(

@@ -90,12 +90,12 @@ def mask_pixels(i: Inputs):
 @query(
     "J14_apply_stats", ["occ", "env_pixel"],
     f"""WITH {_ENV_AT}, s AS (SELECT layer, avg(v) AS m, stddev_pop(v) AS d FROM env_pixel GROUP BY layer)
- SELECT occ_id, round(max((v - m) / d) FILTER (layer = 0), 6) AS z0, round(max((v - m) / d) FILTER (layer = 19), 6) AS z19 FROM e JOIN s USING (layer) GROUP BY occ_id""",
+ SELECT occ_id, CAST(layer AS INTEGER) AS layer, round((v - m) / d, 6) AS z FROM e JOIN s USING (layer) WHERE v IS NOT NULL""",
 )
 def apply_stats(i: Inputs):
     d = r.sample_rasters(i.occ, env_blocks(i), ENV_GRID, 20, 16, "occ_id")
     z = r.zscore_values(d, r.layer_stats(i.env_pixel))
-    return z.select("occ_id", rnd(F.col("values")[0], 6, "z0"), rnd(F.col("values")[19], 6, "z19"))
+    return z.select("occ_id", F.posexplode("values").alias("layer", "z")).filter("z IS NOT NULL").select("occ_id", "layer", rnd("z"))
 
 
 @query("R2_zscore_layer", ["chip_pixel"], "SELECT vec_id, band, y, x, round((v - 100) / 40.0, 6) AS v FROM chip_pixel")
@@ -182,12 +182,12 @@ def resample_topo(i: Inputs):
     return d.select("sample_id", F.col("i").cast("long").alias("i"), rnd("v", 5))
 
 
-@query("R6_resample_by_pixel", ["img_tile", "site", "topo_pixel"], _RESAMPLED + "SELECT sample_id, CAST(i AS INTEGER) AS i, round(max(v) FILTER (band = 0), 5) AS b0, round(max(v) FILTER (band = 3), 5) AS b3 FROM m GROUP BY 1, 2")
+@query("R6_resample_by_pixel", ["img_tile", "site", "topo_pixel"], _RESAMPLED + "SELECT sample_id, CAST(i AS INTEGER) AS i, round(max(v) FILTER (band = 0), 5) AS b0, round(max(v) FILTER (band = 1), 5) AS b1, round(max(v) FILTER (band = 2), 5) AS b2, round(max(v) FILTER (band = 3), 5) AS b3 FROM m GROUP BY 1, 2")
 def resample_by_pixel(i: Inputs):
     blocks = r.to_blocks(i.topo_pixel, [], "band", 4, 4)
     d = r.bilinear(r.target_pixels(windows(i), TOPO_GRID, 4), blocks, 4, 4)
     inside = d.filter("b0 IS NOT NULL OR b1 IS NOT NULL OR b2 IS NOT NULL OR b3 IS NOT NULL")
-    return inside.select("sample_id", "i", rnd("b0", 5), rnd("b3", 5))
+    return inside.select("sample_id", "i", *[rnd(f"b{k}", 5) for k in range(4)])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
+from ..operators import metrics
 from ..operators.ranks import exact_rank
 
 PARTITIONS = {
@@ -29,6 +30,19 @@ def write_table(df: DataFrame, path: str, kind: str, allow_existing: bool = Fals
     w.partitionBy(*parts).parquet(path)
 
 
+def write_evaluation(scored: DataFrame, by: list[str], path: str, allow_existing: bool = False) -> None:
+    """The five tables of an evaluation: predictions, summary, class report, ROC and precision-recall curves."""
+    parts = {
+        "predictions": scored,
+        "summary": metrics.full_summary(scored, by),
+        "class_report": metrics.class_report(scored, by),
+        "roc_curve": metrics.roc_curve(scored, by),
+        "pr_curve": metrics.pr_curve(scored, by),
+    }
+    for name, df in parts.items():
+        write_table(df, f"{path}/{name}", "eval", allow_existing)
+
+
 def write_mosaic(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Mosaic squares; tiles are many, so they share a bounded number of partition folders."""
     d = df.withColumn("tile_bucket", F.pmod(F.xxhash64("tile_id"), F.lit(buckets)).cast("int"))
