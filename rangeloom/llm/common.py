@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
