@@ -23,8 +23,8 @@ from .common import ragged, slices, stored
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes to the left of an anchor that a window through it can have
 #: Anchors with more distinct contexts are settled by their windows' hashes instead of in one task.
-CROWD = 5000
-PIECE = 4 << 20
+CROWD = 20_000
+PIECE = 1 << 20
 _POS = np.uint64((1 << 28) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -114,13 +114,39 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
+_FOUND = "_k long, _h long, pos int, l int, r int, n int, a long, c long"
+
+
 def _anchor_rows(batches):
+    """Anchors of each text; a context that a text has twice or more is settled here.
+
+    Such a context is covered wherever it stands: its stretches go out as rows without `a` (from `pos`, `r` bytes),
+    and one row with `n` = 2 stands for all of it. Periodic texts, whose anchors lie dense, shrink to few rows.
+    """
     for b in slices(batches, "text", PIECE):
         data, ends = _bytes(b.column("text"))
         text, pos, gram, context, left, right = long_anchors(data) if len(ends) == 1 and len(data) > PIECE else anchors(data, ends)
-        cols = [b.column("_k").take(pa.array(text)), b.column("_h").take(pa.array(text))]
-        cols += [pa.array(x.astype(np.int32)) for x in (pos, left, right)] + [pa.array(x.view(np.int64)) for x in (gram, context)]
-        yield pa.RecordBatch.from_arrays(cols, ["_k", "_h", "pos", "l", "r", "a", "c"])
+        order = np.lexsort((context, gram, text))
+        text, pos, gram, context, left, right = (x[order] for x in (text, pos, gram, context, left, right))
+        fresh = np.append(True, (np.diff(text) != 0) | (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))[: len(text)]
+        size = np.diff(np.append(np.flatnonzero(fresh), len(text)))
+        often = np.repeat(size > 1, size) & (left + right >= LENGTH)
+        lo, hi, of = (pos - left)[often], (pos + right)[often], text[often]
+        order = np.lexsort((lo, of))
+        lo, hi, of = lo[order], hi[order], of[order]
+        if len(lo):
+            # Stretches of one text are merged where they touch (all have a context's length, so ends are in order too).
+            reach = np.maximum.accumulate(hi + of * (int(hi.max()) + 1)) - of * (int(hi.max()) + 1)
+            head = np.append(True, (of[1:] != of[:-1]) | (lo[1:] > reach[:-1]))
+            first = np.flatnonzero(head)
+            lo, hi, of = lo[first], np.maximum.reduceat(hi, first), of[first]
+        none = [None] * len(lo)
+        text, pos, gram, context, left, right = (x[fresh] for x in (text, pos, gram, context, left, right))
+        for rows, where in (((pos, left, right, np.minimum(size, 2)), text), ((lo, 0 * lo, hi - lo, 0 * lo), of)):
+            cols = [b.column(x).take(pa.array(where)) for x in ("_k", "_h")] + [pa.array(x.astype(np.int32)) for x in rows]
+            cols += [pa.array(x.view(np.int64)) for x in (gram, context)] if where is text else [pa.array(none, pa.int64())] * 2
+            if len(where):
+                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def intervals(lcp: np.ndarray):
@@ -202,7 +228,7 @@ class Contexts:
 _MOVED = "kind int, key long, a long, c long, l int, r int, ctx binary"
 
 
-def _context_rows(batches):
+def _context_rows(batches, text_col):
     """Contexts of the wanted anchors of each text; those of crowded anchors as hashed windows.
 
     Kinds: 0 a context (l, r: its bytes left and right), 1 a window (l, r: of the anchor), 2 a verdict. A crowded
@@ -210,8 +236,8 @@ def _context_rows(batches):
     """
     names = [x.split()[0] for x in _MOVED.split(", ")]
     for batch in batches:
-        for b in slices(iter([batch]), "text", PIECE):
-            data, ends = _bytes(b.column("text"))
+        for b in slices(iter([batch]), text_col, PIECE):
+            data, ends = _bytes(b.column(text_col).cast(pa.string()))
             starts = ends - np.append(ends[:1], np.diff(ends))
             want = b.column("_want")
             flat, count = want.flatten(), pc.list_value_length(want).to_numpy()
@@ -281,24 +307,26 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("_h")]
-    found = docs.select(*key, text.alias("text")).mapInArrow(_anchor_rows, "_k long, _h long, pos int, l int, r int, a long, c long")
-    found = stored(found, "anchors")
-    again = found.groupBy("a").count().filter("count > 1").select("a")
-    again = stored(found.join(again, "a", "left_semi"), "repeated")
-    classes = again.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("_k", "_h", "pos", "l", "r")])
-    per_anchor = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    classes = stored(classes.join(per_anchor, "a"), "contexts")
+    found = stored(docs.select(*key, text.alias("text")).mapInArrow(_anchor_rows, _FOUND), "anchors")
+    local = found.filter("a IS NULL").select("_k", "_h", F.struct(F.col("pos").cast("long").alias("lo"), (F.col("pos") + F.col("r")).cast("long").alias("hi")).alias("s"))
+    found = found.filter("a IS NOT NULL")
+    # A second key column keeps the aggregation's partitioning from serving the join, whose hot keys can then be split.
+    more = found.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a", F.bitwise_not("a").alias("a2"))
+    again = stored(found.withColumn("a2", F.bitwise_not("a")).join(more, ["a", "a2"], "left_semi").drop("a2"), "repeated")
+    classes = again.groupBy("a", "c").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("_k", "_h", "pos", "l", "r")])
+    per_anchor = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).withColumn("a2", F.bitwise_not("a"))
+    classes = stored(classes.withColumn("a2", F.bitwise_not("a")).join(per_anchor, ["a", "a2"]).drop("a2"), "contexts")
 
     base = docs.select("*", *key)
     want = classes.filter("m > 1").select("_k", "_h", F.struct("a", "c", "pos", "l", "r", (F.col("m") > crowd).alias("big")).alias("w"))
     want = want.groupBy("_k", "_h").agg(F.collect_list("w").alias("_want"))  # at most the anchors of one text
-    fetched = base.join(want, ["_k", "_h"]).withColumn("text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    moved = fetched.select("text", "_want").mapInArrow(_context_rows, _MOVED)
+    # All columns go to Python, so that both joins with the texts can use one shuffle of them.
+    moved = base.join(want, ["_k", "_h"]).mapInArrow(lambda batches: _context_rows(batches, text_col), _MOVED)
     tree = moved.repartition("key").mapInArrow(_verdict_rows, "a long, c long, l long, r long")
     whole = classes.filter((F.col("n") > 1) & (F.col("l") + F.col("r") >= LENGTH)).select("a", "c", F.col("l").cast("long"), F.col("r").cast("long"))
-    verdict = whole.unionAll(tree).groupBy("a", "c").agg(F.max("l").alias("vl"), F.max("r").alias("vr"))
-    spans = again.join(verdict, ["a", "c"]).select("_k", "_h", F.struct((F.col("pos") - F.col("vl")).alias("lo"), (F.col("pos") + F.col("vr")).alias("hi")).alias("s"))
-    spans = spans.groupBy("_k", "_h").agg(F.collect_list("s").alias("_spans"))  # at most the anchors of one text
+    verdict = whole.unionAll(tree).groupBy("a", "c").agg(F.max("l").alias("vl"), F.max("r").alias("vr")).withColumn("a2", F.bitwise_not("a"))
+    spans = again.withColumn("a2", F.bitwise_not("a")).join(verdict, ["a", "c", "a2"]).select("_k", "_h", F.struct((F.col("pos") - F.col("vl")).alias("lo"), (F.col("pos") + F.col("vr")).alias("hi")).alias("s"))
+    spans = spans.unionAll(local).groupBy("_k", "_h").agg(F.collect_list("s").alias("_spans"))  # at most the anchors of one text
     return base.join(spans, ["_k", "_h"], "left").drop("_k", "_h")
 
 
