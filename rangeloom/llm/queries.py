@@ -12,6 +12,7 @@ from .common import read_documents, scratch, stored
 from .langmix import identify
 from .lm import score_documents
 from .media import encode_media, feature_digest, media_features
+from .oracles import REPEATS, quality_sql
 from .packing import digest, pack
 from .pieces import decode, encode
 from .quality import quality_rules
@@ -62,7 +63,7 @@ def op4_gru_scores(docs: DataFrame) -> DataFrame:
     return score_documents(docs)
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", REPEATS)
 def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
     """Every document without its repeats of 200 bytes."""
     return remove_repeats(docs).drop("spans")
@@ -81,7 +82,7 @@ def op7_media(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_digest().alias("feature"))
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", quality_sql())
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
     """Quality verdict on every document."""
     return quality_rules(docs).drop("distance2")
