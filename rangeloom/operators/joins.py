@@ -27,7 +27,7 @@ def same_keys_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     test = F.lit(True)
     for k, other in names.items():
         test = test & F.col(k).eqNullSafe(F.col(other))
-    return (left.join(r, test, how) if on else left.crossJoin(F.broadcast(r))).drop(*names.values())
+    return left.join(r, test, how).drop(*names.values())
 
 
 def salted_join(

@@ -23,7 +23,8 @@ def exact_rank(
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     digits = F.greatest(F.lit(1), F.ceil(F.log(F.col("_size") / float(BUCKET_ROWS)) / F.log(F.lit(16.0)))).cast("int")
-    d = same_keys_join(df, sizes.select(*by, digits.alias("_digits")), by)
+    needed = sizes.select(*by, digits.alias("_digits"))
+    d = same_keys_join(df, needed, by) if by else df.withColumn("_digits", needed.scalar())
     d = d.withColumn("_kb", F.substr(F.col(key), F.lit(1), F.col("_digits"))).drop("_digits")
     counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_cnt"))
     # Bucket rows reach these windows, not rows.
