@@ -147,6 +147,12 @@ def _start(medians: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(SPREADS[i] if i == j else 0.0).alias(f"l{i}{j}") for i, j in _PAIRS])
 
 
+def _numbers(one: DataFrame) -> dict[str, Column]:
+    """The means and factors of a one-row table as named constants."""
+    row = one.select(*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS]).first().asDict()
+    return {k: F.lit(v).cast("double").alias(k) for k, v in row.items()}
+
+
 _KEYS = ["g_lang", "g_source"]
 
 
@@ -159,19 +165,19 @@ def _keyed(df: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame) -> DataFrame:
     """Rows `g_lang, g_source, m_i, l_ij` of rows `lang, source, x_i` (those that the fixed rules accept)."""
     rows = _keyed(rows).select(*_KEYS, *[f"x{i}" for i in range(P)])
-    whole = _start(_medians(rows, []))
+    # The whole corpus's estimate is one row, whose numbers go into the next step's plan.
+    whole = _numbers(_start(_medians(rows, [])))
     for _ in range(STEPS):
-        whole = stored(_estimate(_concentrate(rows.crossJoin(F.broadcast(whole)), [])), "whole", "snappy")  # one row
+        whole = _numbers(_estimate(_concentrate(rows.select("*", *whole.values()), [])))
     own = stored(_start(_medians(rows, _KEYS)), "groups", "snappy")
     for step in range(STEPS):
         sums = _concentrate(rows.join(own, _KEYS), _KEYS)
         if step == STEPS - 1:
             # Mix with PRIOR documents at the whole corpus's location.
-            one = whole.select(*[F.col(f"m{i}").alias(f"p{i}") for i in range(P)])
-            sums = sums.crossJoin(F.broadcast(one)).withColumn("n_own", F.col("n"))
+            sums = sums.withColumn("n_own", F.col("n"))
         est = _estimate(sums)
         if step == STEPS - 1:
-            est = est.select(*_KEYS, *[((F.col(f"m{i}") * F.col("n_own") + F.col(f"p{i}") * float(PRIOR)) / (F.col("n_own") + float(PRIOR))).alias(f"m{i}") for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS])
+            est = est.select(*_KEYS, *[((F.col(f"m{i}") * F.col("n_own") + whole[f"m{i}"] * float(PRIOR)) / (F.col("n_own") + float(PRIOR))).alias(f"m{i}") for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS])
         own = stored(est, "groups", "snappy")
     return own
 
