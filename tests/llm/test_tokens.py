@@ -84,7 +84,7 @@ def test_knapsack_and_cutting_stock():
     assert best == pytest.approx(10.5) and pattern[4] == 1 and pattern[3] == 2
     rng = np.random.default_rng(2)
     demand = np.zeros(65, np.int64)
-    demand[1:64] = rng.integers(0, 400, 63)
+    demand[1:33] = rng.integers(0, 400, 32)
     patterns, times = packing.cutting_stock(demand, 64)
     made = times @ patterns
     assert (made <= demand).all() and (patterns @ np.arange(65) <= 64).all()
