@@ -24,7 +24,8 @@ from .words import Ids
 MARK = "▁"
 UNKNOWN_COST = 10.0  # below the least score, as in the library
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-ROWS_AT_ONCE = 1 << 15
+#: Bounds of a search step (words, and cells of their table) and of a decoding step.
+ROWS_AT_ONCE, CELLS_AT_ONCE, IDS_AT_ONCE = 1 << 15, 1 << 20, 1 << 19
 
 
 class Pieces:
@@ -104,7 +105,7 @@ class Pieces:
         order = np.argsort(size, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
             length = int(size[part[0]]) if len(part) else 0
-            rows = max(1, min(ROWS_AT_ONCE, (1 << 22) // max(1, length)))
+            rows = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // max(1, length)))
             for a in range(0, len(part), rows):
                 own = part[a : a + rows]
                 codes = np.frombuffer("".join([new[i] for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), length).astype(np.uint64)
@@ -170,7 +171,11 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
         for b in batches:
             col = b.column("ids")
             sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = p.decode(col.flatten().to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), col, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+            group = (np.cumsum(sizes) - sizes) // IDS_AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own = col.slice(lo, hi - lo)
+                text = p.decode(own.flatten().to_numpy(zero_copy_only=False), sizes[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), own, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
