@@ -58,6 +58,18 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(total, dtype=np.int64)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back, since the worker lives on for tasks of other operators."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def fork_safe() -> None:
     """Keep the tokenizers library single-threaded inside a Python worker."""
     import os

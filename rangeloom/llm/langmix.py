@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 from .words import Ids, Numbers
 
 BUCKETS = 1 << 16
@@ -58,7 +58,7 @@ def _grams() -> Ids:
             code, size = trigrams(new)
             return np.split(code, np.cumsum(size)[:-1])
 
-        _GRAMS.append(Ids(fill, limit=300_000, keep=100_000))
+        _GRAMS.append(Ids(fill, limit=150_000, keep=60_000))
     return _GRAMS[0]
 
 
@@ -83,6 +83,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang in set(langs):
                 own = np.concatenate([codes[ends[i] : ends[i + 1]] for i in np.flatnonzero(langs == lang)])
                 total[lang] = total.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
+        _GRAMS.clear()
+        table = None
+        release()
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
@@ -164,7 +167,7 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
             like = np.add.reduceat(table[:, code].T, np.cumsum(size) - size, axis=0)
             return np.exp(like - like.max(axis=1, keepdims=True))
 
-        known = Numbers(fill, np.float32, width=len(langs), limit=400_000, keep=100_000) if langs else None
+        known = Numbers(fill, np.float32, width=len(langs), limit=250_000, keep=100_000) if langs else None
         for b in slices(batches, text_col, limit):
             pieces = [words_of(t) if langs else [] for t in b.column(text_col).cast(pa.string()).to_pylist()]
             sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -179,6 +182,8 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
                 order = order[s[order] > 0]
                 rows.append({"lang_pred": langs[order[0]] if len(order) else "und", "score": min(1.0, float(s[order[0]])) if len(order) else 0.0, "languages": [langs[i] for i in order], "shares": [float(s[i]) for i in order]})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _ARROW)], [*b.schema.names, out])
+        known = None
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, _RESULT)]))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, stored
+from .common import id_text, release, slices, stored
 
 BITS = 64
 HOT_BUCKET = 4096
@@ -46,6 +46,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             hashes = np.fromiter((h for hs in own for h in hs), np.uint64, int(sizes.sum()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(majority(hashes, sizes).view(np.int64))], ["doc_id", "fp"])
+            del own, hashes
+        release()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 

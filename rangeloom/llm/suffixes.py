@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, slices, stored
+from .common import ragged, release, slices, stored
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes to the left of an anchor that a window through it can have
@@ -147,6 +147,7 @@ def _anchor_rows(batches):
             cols += [pa.array(x.view(np.int64)) for x in (gram, context)] if where is text else [pa.array(none, pa.int64())] * 2
             if len(where):
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _FOUND.split(", ")])
+    release()
 
 
 def intervals(lcp: np.ndarray):
