@@ -11,15 +11,16 @@ from .common import ragged
 
 # Characters on which Python and the tokenizer libraries differ about white space: such texts are taken whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_WORD = re.compile(r"\S+")
+# A full stop or comma at a word's end stands alone, so the word is known without it.
+_CHUNK = re.compile(r"\s*[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\s*\S+|\s+")
+_WORD = re.compile(r"[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\S+")
 
 
 def chunks(text: str, spaces: bool = True) -> list[str]:
-    """Pieces of `text`, each from a run of white space to the end of the word after it.
+    """Pieces of `text`, each from a run of white space to the end of the word after it, or of its letters.
 
-    No pre-token of a byte-pair tokenizer reaches from a word into the white space after it, so the ids of
-    the text are those of its pieces in turn. `spaces=False` leaves white space out, for tokenizers that drop it.
+    No pre-token of a byte-pair tokenizer reaches from a word into the white space after it, or from letters into
+    a full stop or comma, so the ids of the text are those of its pieces in turn. `spaces=False` leaves white space out, for tokenizers that drop it.
     """
     if _UNSURE.search(text):
         return [text]
