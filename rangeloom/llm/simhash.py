@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: majority fingerprints of word shingles, linked through a Gray-ordered hierarchical index."""
+"""SimHash near-duplicates: majority fingerprints of word shingles, linked through a Gray-ordered hierarchical index.
+
+`one_of_each` takes the index and bands of least hashes for candidates and confirms them by exact shingle similarity.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +9,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, release, slices, stored
 
 BITS = 64
 HOT_BUCKET = 4096
+#: Shingle similarity of near-duplicates, and bands of least hashes: a pair at 0.8 shares none once in 17,000 times.
+SIMILAR, BANDS, BAND_ROWS = 0.8, 32, 6
+#: Buckets of a band with more sets are compared by nearest fingerprints instead of all pairs.
+CROWD, NEAREST = 64, 32
+_FACTOR, _SHIFT = np.random.default_rng(10).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+_FACTOR |= np.uint32(1)
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -243,23 +251,156 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, seed: int =
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 6) -> DataFrame:
-    """The rows of `docs` (columns `doc_id, text` and any others) without near-duplicates: of each component the smallest id stays.
+def _set_of(text: bytes, words: int, seed: int) -> tuple[list[int], np.ndarray]:
+    """Hashes of a text's shingles, and the distinct ones in order."""
+    own = [xxhash.xxh64_intdigest(s, seed) for s in shingles(text, words)]
+    return own, np.unique(np.array(own, np.uint64))
+
+
+def profiles(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
+    """Rows `doc_id, hash, node, fp, n, bands` of every row of `docs`: text hash, hash of the shingle set, fingerprint, shingles in the set, band hashes."""
+    schema = "doc_id long, hash long, node long, fp long, n int, bands array<long>"
+
+    def run(batches):
+        for b in slices(batches):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            both = [_set_of(t, words, seed) for t in texts]
+            sizes = np.fromiter((len(x) for x, _ in both), np.int64, len(both))
+            fps = majority(np.fromiter((h for x, _ in both for h in x), np.uint64, int(sizes.sum())), sizes)
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for _, s in both], np.uint64)
+            bands = [band_keys(s).tolist() if len(s) else [] for _, s in both]
+            cols = [b.column("doc_id"), b.column("hash"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([len(s) for _, s in both], pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "node", "fp", "n", "bands"])
+        release()
+
+    return hashed(docs).mapInArrow(run, schema)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def band_keys(shingle_set: np.ndarray) -> np.ndarray:
+    """A hash of each band's least values of the set."""
+    low = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    x = (shingle_set >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(x), 512):
+        np.minimum(low, (x[a : a + 512, None] * _FACTOR + _SHIFT).min(axis=0), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def bucket_pairs(n: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's members that are compared; sizes too far apart can't be similar.
 
-    Of repeated ids one row stays (the one with the smallest hash of its text). A row without an id can't stand
-    for a component; it stays only if nothing in its component has an id, and then once for each text.
+    All pairs of up to CROWD members. In a larger bucket each is compared with the NEAREST by fingerprint of
+    its stretch in Gray order, and with the members nearest to the majority of all fingerprints.
+    """
+    if len(n) <= CROWD:
+        i, j = np.triu_indices(len(n), 1)
+    else:
+        order, parts = np.argsort(gray_rank(fp), kind="stable"), []
+        middle = majority(fp, np.array([len(fp)]))[0]
+        for c in np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:4]:
+            parts.append((np.full(len(n), c), np.arange(len(n))))
+        for a in range(0, len(n), 1024):
+            own = order[a : a + 1536]  # stretches overlap
+            far = np.bitwise_count(fp[own][:, None] ^ fp[own][None, :]).astype(np.int16)
+            np.fill_diagonal(far, 99)
+            k = min(NEAREST, len(own) - 1)
+            if k > 0:
+                near = np.argpartition(far, k - 1, axis=1)[:, :k]
+                parts.append((np.repeat(own, k), own[near.ravel()]))
+        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ok = (i != j) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+    return i[ok], j[ok]
+
+
+def candidates(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs `a, b` (a < b) of sets (rows `node, fp, n, bands`) that share a band."""
+
+    def run(batches):
+        got = [[b.column(c).to_numpy() for c in ("key", "node", "fp", "n")] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, node, fp, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((node, key))
+        key, node, fp, n = key[order], node[order], fp[order].view(np.uint64), n[order]
+        seen = []
+        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+            if len(at) > 1:
+                i, j = bucket_pairs(n[at], fp[at], least)
+                seen.append(np.stack([np.minimum(node[at[i]], node[at[j]]), np.maximum(node[at[i]], node[at[j]])]))
+        if seen:
+            a, b = np.unique(np.concatenate(seen, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = sets.select(F.explode("bands").alias("key"), "node", "fp", "n")
+    return rows.repartition("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, seed: int, least: float) -> DataFrame:
+    """Those of the pairs `a, b` of nodes whose shingle sets have a Jaccard similarity of at least `least`, as edges `u, v`."""
+
+    def sets(batches):
+        seen = set()
+        for b in slices(batches):
+            own = [_set_of(t, words, seed)[1].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(s, seed) for s in own], np.uint64).view(np.int64).tolist()
+            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fresh], pa.int64()), pa.array([own[i] for i in fresh], pa.binary())], ["node", "set"])
+        release()
+
+    def confirm(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("b").filter(keep), b.column("a").filter(keep)], ["u", "v"])
+        release()
+
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = rows.join(need, "node", "left_semi").groupBy("node").agg(F.min("hash").alias("hash")).select("hash").distinct()
+    own = hashed(docs).join(texts, "hash", "left_semi").select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    own = stored(own, "sets", "snappy")
+    x = own.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    y = own.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 42, least: float = SIMILAR) -> DataFrame:
+    """Rows `doc_id, hash, root` of every row of `docs` (columns `doc_id, text`): groups reachable over shingle similarities of at least `least`.
+
+    Candidates share a band of least shingle hashes or lie within `bits` bits of one another; each is
+    confirmed on the whole shingle sets. Equal sets (texts without words too) are one node from the start.
+    """
+    rows = stored(profiles(docs, words, seed), "profiles", "snappy")
+    sets = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = stored(sets.filter("n > 0"), "shingle_sets", "snappy")
+    first = sets.groupBy("fp").agg(F.min("node").alias("first"))
+    same = sets.join(first, "fp").filter("node != first").select("first", "node")
+    links = near_links(first.select("fp"), bits)
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    close = links.join(of("u"), "u").join(of("v"), "v").select(F.least("u_node", "v_node"), F.greatest("u_node", "v_node"))
+    pairs = stored(candidates(sets, least).unionAll(same).unionAll(close).distinct(), "pairs", "snappy")
+    roots = components(similar(docs, rows, pairs, words, seed, least))
+    return rows.select("doc_id", "hash", "node").join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 6, least: float = SIMILAR) -> DataFrame:
+    """The rows of `docs` (columns `doc_id, text` and any others) without near-duplicates: of each group one row stays.
+
+    Groups are those of `similar_groups`. The row with the smallest id stands for its group, of rows with that
+    id the one with the smallest hash of its text; a row without an id only if nothing in its group has one.
+    Of an id that stands for several groups one row stays (the one with the smallest hash of its text).
     """
-    rows = near_duplicates(docs, words, bits)
-    keep = rows.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    first = W.partitionBy("doc_id").orderBy("_hash")
-    named = named.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row", "_hash")
-    # Rows without an id, if there are any: those whose text's component has no id either.
-    lone = rows.filter("component_id IS NULL").limit(1).count()
-    if not lone:
-        return named
-    nameless = docs.filter("doc_id IS NULL").withColumn("_hash", F.xxhash64("text"))
-    prints = fingerprints(nameless.select(F.col("_hash").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("_hash"), "fp").distinct()
-    free = rows.filter("component_id IS NULL").select("fp").distinct()
-    nameless = nameless.join(prints.join(free, "fp", "left_semi").select("_hash"), "_hash", "left_semi")
-    return named.unionByName(nameless.dropDuplicates(["_hash"]).select(*[f"`{c}`" for c in docs.columns]))
+    rows = similar_groups(docs, words, bits, least=least)
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select("k.doc_id", "k.hash")
+    named = chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    chosen = named.unionByName(chosen.filter("doc_id IS NULL")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    own = docs.withColumn("_text", F.xxhash64("text"))
+    kept = own.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -75,6 +75,38 @@ def test_one_of_each(edge):
     assert len({str(c) for c in component(fps, list(range(len(fps))), 6)}) == len(fps)
 
 
+def shingle_groups(texts, least=0.8):
+    """Group of every text by brute-force Jaccard similarity of five-word shingles, and the number of similar pairs."""
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (k := len(sets[i] & sets[j])) and k >= least * len(sets[i] | sets[j])]
+    f = simhash.Forest(len(texts))
+    f.link(np.array([i for i, _ in pairs], np.int64), np.array([j for _, j in pairs], np.int64))
+    return f.label.tolist(), len(pairs)
+
+
+def near_copies(families, copies, words, seed=11):
+    """Texts with copies in which one to three words in a hundred are others."""
+    rng, out = random.Random(seed), []
+    for _ in range(families):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice(words))]
+        out.append(" ".join(base))
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(max(1, len(base) * rng.randint(1, 3) // 100)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**9)}"
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("families", "copies", "words"), [(60, 4, [50, 80, 200, 600]), (1, 300, [50])])
+def test_one_of_each_links_what_is_similar(spark, families, copies, words):
+    texts = near_copies(families, copies, words)
+    want, pairs = shingle_groups(texts)
+    assert pairs > 100
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want))
+
+
 def test_components_of_a_chain(spark):
     rows = simhash.components(spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")).collect()
     assert {(r.node, r.root) for r in rows} == {(i, 0) for i in range(41)}
