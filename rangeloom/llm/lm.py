@@ -21,10 +21,10 @@ from .common import id_text, scratch, slices
 from .langmix import held_out
 
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
-#: One of so many training documents (by hash of the id) also trains the recurrent weights; counts take all of them.
-TRAIN_SHARE = 32
 #: Tokens of one training task; there are more tasks when the input is larger, and their weights are averaged.
 TASK_TOKENS = 1_000_000
+#: The training documents are dealt to so many rounds (by hash of id and place), each starting from the mean of the one before.
+ROUNDS = 4
 MODULUS, REST = 7, 2
 _END = b""  # no word is empty
 _CHUNK = 1024
@@ -117,9 +117,17 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
 
 
 def fit(texts: DataFrame, start: dict, frequent: dict[bytes, int], n_tokens: int) -> dict:
-    """Recurrent weights: training tasks start from the same weights, and the mean of what they reach is taken."""
-    share = texts.filter(~F.col("held") & (F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(TRAIN_SHARE)) == 0))
-    tasks = max(1, round(n_tokens / TRAIN_SHARE / TASK_TOKENS))
+    """Recurrent weights from all documents that are not held out, each of them in one round."""
+    rounds = min(ROUNDS, max(1, round(n_tokens / TASK_TOKENS)))
+    tasks = max(1, round(n_tokens / rounds / TASK_TOKENS))
+    for k in range(rounds):
+        share = F.pmod(F.xxhash64("doc_id", "block", "at", F.lit("train")), F.lit(rounds)) == k
+        start = _fit_round(texts.filter(~F.col("held") & share), start, frequent, tasks)
+    return start
+
+
+def _fit_round(share: DataFrame, start: dict, frequent: dict[bytes, int], tasks: int) -> dict:
+    """Training tasks start from the same weights, and the mean of what they reach is taken."""
 
     def run(batches):
         symbols, sizes = [], []

@@ -107,6 +107,14 @@ def test_one_of_each_links_what_is_similar(spark, families, copies, words):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def test_every_training_document_reaches_the_recurrent_weights(spark):
+    start = gru.initial(np.array([40, 40, 40]), 1, 1)
+    for i in range(4):
+        texts = spark.createDataFrame([(0, 0, i, False, bytearray(b"a b c " * 40))], "block long, at int, doc_id long, held boolean, data binary")
+        model = lm.fit(texts, start, {b"a": 0, b"b": 1, b"c": 2}, 121)
+        assert not np.array_equal(model["wo"], start["wo"])
+
+
 def test_components_of_a_chain(spark):
     rows = simhash.components(spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")).collect()
     assert {(r.node, r.root) for r in rows} == {(i, 0) for i in range(41)}
