@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classifier import quality_scores
 from .common import read_documents, scratch, stored
 from .langmix import identify
 from .lm import score_documents
@@ -15,8 +16,10 @@ from .media import encode_media, feature_digest, media_features
 from .oracles import REPEATS, quality_sql
 from .packing import digest, pack
 from .pieces import decode, encode
+from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .spelling import variants
 from .suffixes import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -94,9 +97,27 @@ def op9_packing(docs: DataFrame) -> DataFrame:
     return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
-
 @query("op10_simhash")
 def op10_simhash(docs: DataFrame) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, 2 bits."""
     rows = near_duplicates(docs, words=3, bits=2)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(docs: DataFrame) -> DataFrame:
+    """Every word of the corpus with its near words' number, its form and the root of its forms."""
+    return variants(docs)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels table."""
+    return quality_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {"op12_prefix_trie": op12_prefix_trie, "op13_quality_scores": op13_quality_scores}
