@@ -27,6 +27,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"))
 
 
+def apart(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """`docs` with all columns but the `used` ones named by their place, so that no name can clash with a helper's.
+
+    Give the result of an operator that keeps the columns its names back with `toDF(*docs.columns)`.
+    """
+    return docs.toDF(*[c if c in used else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
     return f"{shared_dir(spark)}/rangeloom/llm-{uuid.uuid4().hex}/{name}"

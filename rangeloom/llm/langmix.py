@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, slices
+from .common import apart, release, slices
 from .words import Ids, Numbers
 
 BUCKETS = 1 << 16
@@ -203,5 +203,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` (columns `doc_id, text, lang` and any others) of which one language has a share of `least` or more."""
-    rows = with_language(docs, learn(docs))
-    return rows.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    own = apart(docs, ("doc_id", "text", "lang"))
+    rows = with_language(own, learn(own))
+    return rows.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= least)).select(*own.columns).toDF(*docs.columns)

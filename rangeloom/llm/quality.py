@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, stored
 
 GRID = 1024
 STEPS = 3
@@ -214,5 +214,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (columns `text, lang, source` and any others) that the rules keep, with their columns."""
-    stats = stored(with_statistics(docs, "text", "lang", "source"), "documents")
-    return judged(stats).filter("_kept").select(*[f"`{c}`" for c in docs.columns])
+    rows = apart(docs, ("text", "lang", "source"))
+    stats = stored(with_statistics(rows, "text", "lang", "source"), "documents")
+    return judged(stats).filter("_kept").select(*rows.columns).toDF(*docs.columns)

@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, release, slices, stored
+from .common import apart, id_text, release, slices, stored
 
 BITS = 64
-HOT_BUCKET = 4096
+HOT_BUCKET, SPLITS = 4096, 4
 #: Shingle similarity of near-duplicates, and bands of least hashes: a pair at 0.8 shares none once in 17,000 times.
 SIMILAR, BANDS, BAND_ROWS = 0.8, 32, 6
-#: Buckets of a band with more sets are compared by nearest fingerprints instead of all pairs.
-CROWD, NEAREST = 64, 32
+#: Rounds of comparing bucket members with a leader, and members that a task compares with each other twice over.
+LEADERS, BLOCK = 2, 256
 _FACTOR, _SHIFT = np.random.default_rng(10).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
 _FACTOR |= np.uint32(1)
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -151,8 +151,8 @@ def bucket_keys(fps: DataFrame, bits: int, hot: int = HOT_BUCKET) -> DataFrame:
     """Rows `key, fp`: any two fingerprints within `bits` bits share a key.
 
     The 64 bits are cut into bits + 1 fields, one of which two such fingerprints share. A bucket of more than
-    `hot` fingerprints is split again by the fields of its other bits, twice at most: then so few bits are
-    free that the bucket is bounded by their patterns.
+    `hot` fingerprints is split again by the fields of its other bits, SPLITS - 1 times at most. What is crowded
+    even then agrees in most bits; its task holds 8 bytes a fingerprint and a few times that for the index.
     """
     everything = [(0, BITS)]
 
@@ -170,8 +170,8 @@ def bucket_keys(fps: DataFrame, bits: int, hot: int = HOT_BUCKET) -> DataFrame:
 
     done: list[DataFrame] = []
     level = explode(fps, everything, [])
-    for depth in range(3):
-        if depth == 2:
+    for depth in range(SPLITS + 1):
+        if depth == SPLITS:
             done += [df for df, _ in level]
             break
         counts = None
@@ -290,67 +290,101 @@ def band_keys(shingle_set: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
-def bucket_pairs(n: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket's members that are compared; sizes too far apart can't be similar.
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of rows `key, node, n` those whose bucket holds nodes of several components (`comp`, by `labels`)."""
+    rows = members.join(labels.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    torn = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    return rows.join(torn, "key", "left_semi").select("key", "node", "n", "comp")
 
-    All pairs of up to CROWD members. In a larger bucket each is compared with the NEAREST by fingerprint of
-    its stretch in Gray order, and with the members nearest to the majority of all fingerprints.
+
+def leader_pairs(members: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs `a, b` of every member of an open bucket with its bucket's leader, a row for each member at most in each bucket.
+
+    The leader is the node of least hash, the same in all buckets that hold it, so a family meets few leaders.
     """
-    if len(n) <= CROWD:
-        i, j = np.triu_indices(len(n), 1)
-    else:
-        order, parts = np.argsort(gray_rank(fp), kind="stable"), []
-        middle = majority(fp, np.array([len(fp)]))[0]
-        for c in np.argsort(np.bitwise_count(fp ^ middle), kind="stable")[:4]:
-            parts.append((np.full(len(n), c), np.arange(len(n))))
-        for a in range(0, len(n), 1024):
-            own = order[a : a + 1536]  # stretches overlap
-            far = np.bitwise_count(fp[own][:, None] ^ fp[own][None, :]).astype(np.int16)
-            np.fill_diagonal(far, 99)
-            k = min(NEAREST, len(own) - 1)
-            if k > 0:
-                near = np.argpartition(far, k - 1, axis=1)[:, :k]
-                parts.append((np.repeat(own, k), own[near.ravel()]))
-        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
-    ok = (i != j) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
-    return i[ok], j[ok]
-
-
-def candidates(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs `a, b` (a < b) of sets (rows `node, fp, n, bands`) that share a band."""
+    order = F.xxhash64("node", F.lit(turn))
+    leader = members.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x")).select("key", "x.b", "x.m", "x.other")
+    pairs = members.join(leader, "key").filter((F.col("comp") != F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
-    def run(batches):
-        got = [[b.column(c).to_numpy() for c in ("key", "node", "fp", "n")] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, node, fp, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((node, key))
-        key, node, fp, n = key[order], node[order], fp[order].view(np.uint64), n[order]
-        seen = []
-        for at in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
-            if len(at) > 1:
-                i, j = bucket_pairs(n[at], fp[at], least)
-                seen.append(np.stack([np.minimum(node[at[i]], node[at[j]]), np.maximum(node[at[i]], node[at[j]])]))
-        if seen:
-            a, b = np.unique(np.concatenate(seen, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = sets.select(F.explode("bands").alias("key"), "node", "fp", "n")
-    return rows.repartition("key").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, seed: int, least: float) -> DataFrame:
-    """Those of the pairs `a, b` of nodes whose shingle sets have a Jaccard similarity of at least `least`, as edges `u, v`."""
+
+def torn_pairs(members: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Edges `u, v` among all pairs of members of a bucket that lie in different components.
+
+    A bucket's members are dealt to blocks of about `block`, any two of which meet in one task with their sets, so a
+    task holds two blocks whatever the bucket's size; of buckets with the same members one is looked at.
+    """
+    seen = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    seen = seen.dropDuplicates(["m", "x", "y"]).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = members.join(seen, "key").withColumn("own", own).withColumn("other", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "comp")
+
+    def compare(batches):
+        def links(node, comp, sets):
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            _, token = np.unique(np.concatenate(sets), return_inverse=True)
+            owner, often = np.repeat(np.arange(len(sets)), sizes), np.bincount(token) > 1
+            token, owner = token[often[token]], owner[often[token]]
+            token = np.unique(token, return_inverse=True)[1]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            for lo in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+                a, b = np.searchsorted(token, [lo, lo + 4096])
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[owner[a:b], token[a:b] - lo] = 1
+                both += part @ part.T
+            i, j = np.nonzero(np.triu(both >= least * (sizes[:, None] + sizes[None] - both), 1))
+            apart = comp[i] != comp[j]
+            forest = Forest(len(sets))
+            forest.link(i[apart], j[apart])
+            moved = np.flatnonzero(forest.label != np.arange(len(sets)))
+            return node[moved], node[forest.label[moved]]
+
+        def groups():
+            rest: list = []
+            for b in batches:
+                task = b.column("task").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if rest and task[lo] != rest[0].column("task")[0].as_py():
+                        yield rest
+                        rest = []
+                    rest.append(b.slice(lo, hi - lo))
+            if rest:
+                yield rest
+
+        for group in groups():
+            t = pa.Table.from_batches(group)
+            if t.num_rows > 1:
+                u, v = links(t.column("node").to_numpy(), t.column("comp").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        release()
+
+    return rows.join(sets, "node").select("task", "node", "comp", "set").repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long").distinct()
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
+    """Rows `node, set` (distinct shingle hashes in order) of the `nodes`, made again from one text of each."""
 
     def sets(batches):
         seen = set()
         for b in slices(batches):
             own = [_set_of(t, words, seed)[1].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s, seed) for s in own], np.uint64).view(np.int64).tolist()
-            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in fresh], pa.int64()), pa.array([own[i] for i in fresh], pa.binary())], ["node", "set"])
+            named = np.array([xxhash.xxh64_intdigest(s, seed) for s in own], np.uint64).view(np.int64).tolist()
+            fresh = [i for i, x in enumerate(named) if not (x in seen or seen.add(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([named[i] for i in fresh], pa.int64()), pa.array([own[i] for i in fresh], pa.binary())], ["node", "set"])
         release()
 
+    texts = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("hash").alias("hash")).select("hash").distinct()
+    return hashed(docs).join(texts, "hash", "left_semi").select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs `a, b` of nodes whose shingle sets have a Jaccard similarity of at least `least`, as edges `u, v`."""
+
     def confirm(batches):
         for b in batches:
             keep = []
@@ -359,35 +393,53 @@ def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, seed
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("b").filter(keep), b.column("a").filter(keep)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["u", "v"])
         release()
 
-    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = rows.join(need, "node", "left_semi").groupBy("node").agg(F.min("hash").alias("hash")).select("hash").distinct()
-    own = hashed(docs).join(texts, "hash", "left_semi").select("text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
-    own = stored(own, "sets", "snappy")
-    x = own.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    y = own.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 42, least: float = SIMILAR) -> DataFrame:
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (`node, root`) after more edges `u, v` between nodes: only roots of different components are linked anew."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("x"), F.coalesce("v_root", "v").alias("y"))
+    moved = components(ends.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    moved = stored(moved, "moved", "snappy")
+    known = labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(known.unionAll(moved.join(labels.select("node"), "node", "left_anti")), "labels", "snappy")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 42, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """Rows `doc_id, hash, root` of every row of `docs` (columns `doc_id, text`): groups reachable over shingle similarities of at least `least`.
 
     Candidates share a band of least shingle hashes or lie within `bits` bits of one another; each is
     confirmed on the whole shingle sets. Equal sets (texts without words too) are one node from the start.
+    What the index finds is linked first. Then every member of a band's bucket is compared with the bucket's leader,
+    as long as it lies in another component, in LEADERS rounds; that joins a family in rows as many as it has members.
+    Of buckets still torn all pairs in different components are compared, block by block: none is left out.
     """
     rows = stored(profiles(docs, words, seed), "profiles", "snappy")
     sets = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = stored(sets.filter("n > 0"), "shingle_sets", "snappy")
     first = sets.groupBy("fp").agg(F.min("node").alias("first"))
-    same = sets.join(first, "fp").filter("node != first").select("first", "node")
-    links = near_links(first.select("fp"), bits)
+    same = sets.join(first, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
-    close = links.join(of("u"), "u").join(of("v"), "v").select(F.least("u_node", "v_node"), F.greatest("u_node", "v_node"))
-    pairs = stored(candidates(sets, least).unionAll(same).unionAll(close).distinct(), "pairs", "snappy")
-    roots = components(similar(docs, rows, pairs, words, seed, least))
-    return rows.select("doc_id", "hash", "node").join(roots, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
+    close = near_links(first.select("fp"), bits).join(of("u"), "u").join(of("v"), "v").select("u_node", "v_node")
+    pairs = stored(same.unionAll(close), "pairs", "snappy")
+    spread = sets.select(F.explode("bands").alias("key"), "node", "n")
+    many = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    members = stored(spread.join(many, "key", "left_semi"), "buckets", "snappy")
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(members.select("node")).distinct()
+    sets = stored(shingle_sets(docs, rows, need, words, seed), "sets", "snappy")
+    labels = stored(components(similar(pairs, sets, least)), "labels", "snappy")
+    for turn in range(LEADERS):
+        members = stored(open_buckets(members.select("key", "node", "n"), labels), "buckets", "snappy")
+        labels = merge(labels, similar(leader_pairs(members, least, turn), sets, least))
+    members = stored(open_buckets(members.select("key", "node", "n"), labels), "buckets", "snappy")
+    labels = merge(labels, torn_pairs(members, sets, least, block))
+    return rows.select("doc_id", "hash", "node").join(labels, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 6, least: float = SIMILAR) -> DataFrame:
@@ -395,12 +447,13 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 6, least: float = S
 
     Groups are those of `similar_groups`. The row with the smallest id stands for its group, of rows with that
     id the one with the smallest hash of its text; a row without an id only if nothing in its group has one.
-    Of an id that stands for several groups one row stays (the one with the smallest hash of its text).
+    Unrelated texts under one id stand for their own groups and all stay; of rows equal in id and text one
+    stays. Null and empty texts are one group, texts of any length are compared whole, other columns of any
+    name pass through, an empty table gives no rows.
     """
-    rows = similar_groups(docs, words, bits, least=least)
-    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select("k.doc_id", "k.hash")
-    named = chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("hash"))
-    chosen = named.unionByName(chosen.filter("doc_id IS NULL")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    docs_in, docs = docs.columns, apart(docs, ("doc_id", "text"))
+    rows = similar_groups(docs.select("doc_id", "text"), words, bits, least=least)
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
     own = docs.withColumn("_text", F.xxhash64("text"))
     kept = own.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text").toDF(*docs_in)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, release, slices, stored
+from .common import apart, ragged, release, slices, stored
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes to the left of an anchor that a window through it can have
@@ -374,8 +374,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with repeats cut out of `text` (half-cut characters go too), and `n_chars`, if there, counted again."""
-    df = with_spans(docs)
-    names = docs.columns
+    own = apart(docs, ("doc_id", "text", "n_chars"))
+    df = with_spans(own)
+    names = own.columns
 
     def run(batches):
         for b in slices(batches):
@@ -385,5 +386,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             cols = [pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    cut = df.mapInArrow(run, T.StructType(docs.schema.fields))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
+    cut = df.mapInArrow(run, T.StructType(own.schema.fields))
+    cut = cut.withColumn("n_chars", F.length("text").cast(own.schema["n_chars"].dataType)) if "n_chars" in names else cut
+    return cut.toDF(*docs.columns)
