@@ -67,12 +67,11 @@ def states(p: dict, table: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, h:
     return out, h, gates
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log of the normaliser."""
-    top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities. States are within -1..1 and weights are small, so the exponentials need no shift."""
+    np.exp(logits, out=logits)
+    logits /= (logits @ _ONES[: logits.shape[1]])[:, None]
+    return logits
 
 
 def class_of(symbols: np.ndarray) -> np.ndarray:
@@ -85,7 +84,7 @@ def log_probs(p: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     # States are within -1..1 and weights are small, so the exponentials need no shift.
     logits = h @ p["wc"] + p["bc"]
     out = logits[np.arange(len(k)), k] - np.log(np.exp(logits) @ _ONES[: logits.shape[1]])
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k.astype(np.uint8), kind="stable")
     edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(edges)):
         at = order[edges[c] : edges[c + 1]]
@@ -119,7 +118,7 @@ class Grid:
         #: place of every symbol: step * width + lane
         self.place = step * self.width + np.repeat(lane, sizes)
         cells = self.steps * self.width
-        self.target, self.input = np.full(cells, -1, np.int32), np.full(cells, END, np.int32)
+        self.target, self.input = np.full(cells, -1, np.int16), np.full(cells, END, np.int16)
         self.fresh = np.zeros(cells, bool)
         self.target[self.place] = symbols
         self.input[self.place] = np.append(END, symbols[:-1])
@@ -150,47 +149,53 @@ def gradients(p: dict, table: np.ndarray, inputs: np.ndarray, targets: np.ndarra
     g = {k: np.zeros_like(v) for k, v in p.items()}
     hs, h_next, gates = states(p, table, inputs, fresh, h, keep=True)
     flat, target = hs.reshape(-1, STATE), targets.ravel()
+    # Targets by class, so that every class is one slice.
     live = np.flatnonzero(target >= 0)
+    k = class_of(target[live]).astype(np.uint8)
+    order = np.argsort(k, kind="stable")
+    live, k = live[order], k[order]
     scale = _F(1.0 / max(1, len(live)))
-    hl, tl = flat[live], target[live]
-    k = class_of(tl)
-    probs, _ = _softmax(hl @ p["wc"] + p["bc"])
-    probs[np.arange(len(k)), k] -= 1
+    hl, tl, row = flat[live], target[live], np.arange(len(live))
+    probs = _softmax(hl @ p["wc"] + p["bc"])
+    probs[row, k] -= 1
     probs *= scale
     g["wc"], g["bc"] = hl.T @ probs, probs.sum(axis=0)
     dh = probs @ p["wc"].T
-    order = np.argsort(k, kind="stable")
-    edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(k, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(edges)):
-        at, w = order[edges[c] : edges[c + 1]], slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        q, _ = _softmax(hl[at] @ p["wo"][w].T + p["bo"][w])
-        q[np.arange(len(at)), tl[at] - w.start] -= 1
+        at, w = slice(edges[c], edges[c + 1]), slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+        q = _softmax(hl[at] @ p["wo"][w].T + p["bo"][w])
+        q[row[: len(q)], tl[at] - w.start] -= 1
         q *= scale
         g["wo"][w], g["bo"][w] = q.T @ hl[at], q.sum(axis=0)
         dh[at] += q @ p["wo"][w]
     dall = np.zeros_like(flat)
     dall[live] = dh
     dall = dall.reshape(hs.shape)
-    carry, dx = np.zeros_like(h), np.empty((*inputs.shape, 3 * STATE), _F)
+    carry, dx, back = np.zeros_like(h), np.empty((*inputs.shape, 3 * STATE), _F), p["wh"].T.copy()
     for t in range(len(inputs) - 1, -1, -1):
         h0, z, r, n, u = gates[t]
-        d = dall[t] + carry
+        d, du = dall[t] + carry, dx[t]
         dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h0 - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
+        du[:, :STATE] = d * (h0 - n) * z * (1 - z)
+        du[:, STATE : 2 * STATE] = dn * u * r * (1 - r)
+        du[:, 2 * STATE :] = dn * r
         g["wh"] += h0.T @ du
-        carry = (d * z + du @ p["wh"].T) * ~fresh[t][:, None]
-    x = inputs.ravel()
-    dx = dx.reshape(-1, 3 * STATE)
-    g["b"] = dx.sum(axis=0)
-    g["wx"] = p["embed"][x].T @ dx
-    np.add.at(g["embed"], x, dx @ p["wx"].T)
+        carry = d * z + du @ back
+        carry *= ~fresh[t][:, None]
+        du[:, 2 * STATE :] = dn
+    # Inputs of one symbol share a row of `embed`: their sums come first, products after.
+    x, dx = inputs.ravel(), dx.reshape(-1, 3 * STATE)
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.diff(x[order], prepend=-1))
+    own, sums = x[order[first]], np.add.reduceat(dx[order], first, axis=0)
+    g["b"] = sums.sum(axis=0)
+    g["wx"] = p["embed"][own].T @ sums
+    g["embed"][own] = sums @ p["wx"].T
     return g, h_next
 
 
-def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, width: int = 128, rate: float = 0.015, clip: float = 1.0) -> dict:
+def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, width: int = 1024, rate: float = 0.015, clip: float = 1.0) -> dict:
     """One pass over the sequences in mixed order by truncated backpropagation (`WINDOW` steps), with Adam and a falling rate."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))

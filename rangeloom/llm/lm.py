@@ -143,14 +143,24 @@ def _fit_round(share: DataFrame, start: dict, frequent: dict[bytes, int], tasks:
         parts = [flat[i : i + _CHUNK] * total for i in range(0, len(flat), _CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([total] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["chunk", "tokens", "x"])
 
+    def add(batches):
+        # One sum for each chunk of weights, however many tasks sent it.
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, n, x in zip(b.column("chunk").to_pylist(), b.column("tokens").to_pylist(), b.column("x"), strict=True):
+                x = x.values.to_numpy()
+                sums[k] = [sums[k][0] + n, sums[k][1] + x] if k in sums else [n, x]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v / n for n, v in sums.values()], pa.list_(pa.float64()))], ["chunk", "x"])
+
     # Rows in a fixed order, so a task that is run again gives the same weights.
     rows = share.repartition(tasks, "block", "at").sortWithinPartitions("block", "at").select("data")
-    got = rows.mapInArrow(run, "chunk int, tokens long, x array<double>").select("chunk", "tokens", F.posexplode("x").alias("i", "x"))
-    mean = got.groupBy("chunk", "i").agg((F.sum("x") / F.sum("tokens")).alias("x")).toArrow()
+    got = rows.mapInArrow(run, "chunk int, tokens long, x array<double>")
+    mean = got.repartition("chunk").mapInArrow(add, "chunk int, x array<double>").toArrow()
     if not mean.num_rows:
         return start
-    flat = np.empty(mean.num_rows)
-    flat[mean.column("chunk").to_numpy().astype(np.int64) * _CHUNK + mean.column("i").to_numpy()] = mean.column("x").to_numpy()
+    mean = mean.sort_by("chunk")
+    flat = np.concatenate([x.values.to_numpy() for x in mean.column("x")])
     out = gru.unflatten(flat, start)
     out["embed"][gru.UNKNOWN] = out["embed"][gru.RARE]
     return out
