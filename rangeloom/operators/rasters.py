@@ -5,10 +5,13 @@ A block row holds the pixels of one square, band-major: index = band * side^2 +
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.arrays import finite, zscore
 from ..functions.keys import order_key, uniform
@@ -16,6 +19,9 @@ from ..session import materialize
 from .joins import salted_join
 from .spatial import in_footprint
 
+#: Pixels that a task pastes or resamples in one go.
+CHIP_CELLS = 1 << 21
+
 
 def to_blocks(pixels: DataFrame, by: list[str], band: str, n_bands: int, side: int) -> DataFrame:
     """Pixel rows (`r`, `c`, band, `v`) to dense blocks; absent pixels are NULL. A block is a bounded group."""
@@ -244,28 +250,75 @@ def chip_window_blocks(windows: DataFrame, tiles: DataFrame, size: int, block: i
     return materialize(d.select("sample_id", "tile_id", "row_off", "col_off", "block_row", "block_col"), "window_blocks")
 
 
-def paste_kernel(rows: pd.DataFrame, size: int, block: int, bands: int) -> np.ndarray:
-    """Chip from its blocks: tiles in id order, the first non-zero value of a pixel stays."""
-    chip = np.zeros((bands, size, size))
-    for r in rows.sort_values("tile_id").itertuples():
-        px = np.nan_to_num(np.asarray(r.px, dtype=float)).reshape(bands, block, block)
-        y, x = int(r.block_row * block - r.row_off), int(r.block_col * block - r.col_off)
-        y1, y2, x1, x2 = max(y, 0), min(y + block, size), max(x, 0), min(x + block, size)
-        if y1 < y2 and x1 < x2:
-            part, here = px[:, y1 - y : y2 - y, x1 - x : x2 - x], chip[:, y1:y2, x1:x2]
-            chip[:, y1:y2, x1:x2] = np.where(here == 0, part, here)
-    return chip
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about `rows` rows that hold all rows of their keys."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        keys = t.column(key).to_numpy()
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pixels of an array column in one run (missing ones NaN), each row's first place, and whether the row has pixels."""
+    rows = column.combine_chunks()
+    return rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()[:-1].astype(np.int64), rows.is_valid().to_numpy(zero_copy_only=False)
+
+
+def paste_batch(t: pa.Table, size: int, block: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples and their chips (one row each) from all their blocks: of overlapping tiles the first non-zero value by id stays."""
+    flat, start, _ = _flat(t.column("px"))
+    sample, tile, ro, co, br, bc = (t.column(c).to_numpy().astype(np.int64) for c in ("sample_id", "tile_id", "row_off", "col_off", "block_row", "block_col"))
+    ids, chip = np.unique(sample, return_inverse=True)
+    y, x = br * block - ro, bc * block - co
+    y1, x1 = np.maximum(y, 0), np.maximum(x, 0)
+    h, w = (np.maximum(np.minimum(p + block, size) - q, 0) for p, q in ((y, y1), (x, x1)))
+    # Later writes win, so tiles come in falling order and zeros are not written.
+    order = np.argsort(-tile, kind="stable")
+    cells = (h * w)[order]
+    at = np.repeat(order, cells)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+    yy, xx = y1[at] + k // w[at], x1[at] + k % w[at]
+    src = start[at] + (yy - y[at]) * block + (xx - x[at])
+    dst = chip[at] * (bands * size * size) + yy * size + xx
+    out = np.zeros(len(ids) * bands * size * size, flat.dtype)
+    for b in range(bands):
+        v = np.nan_to_num(flat[src + b * block * block])
+        on = v != 0
+        out[dst[on] + b * size * size] = v[on]
+    return ids, out.reshape(len(ids), -1)
+
+
+def _chip_rows(ids: np.ndarray, chips: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    values = pa.array(chips.ravel(), mask=np.isnan(chips.ravel()) if chips.dtype.kind == "f" else None).cast(kind)
+    offsets = np.arange(len(ids) + 1, dtype=np.int32) * chips.shape[1]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sample_id", "px"])
 
 
 def assemble_chips(needed: DataFrame, blocks: DataFrame, size: int, block: int, bands: int) -> DataFrame:
-    """Chips pasted from the blocks they need; a chip's blocks are a bounded group. Uncovered pixels are 0."""
+    """Chips pasted from the blocks they need, many in one go, pixels in the blocks' own type. Uncovered pixels are 0.
+
+    A task sorts its rows by sample and pastes about CHIP_CELLS cells at a time.
+    """
     j = salted_join(needed, blocks, ["tile_id", "block_row", "block_col"], "inner", "sample_id")
+    cols = ["sample_id", "tile_id", "row_off", "col_off", "block_row", "block_col", "px"]
+    kind = blocks.schema["px"].dataType
+    rows = max(16, CHIP_CELLS // (bands * block * block))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        chip = paste_kernel(rows, size, block, bands)
-        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "px": [chip.ravel()]})
+    def run(batches):
+        for t in whole_groups(batches, "sample_id", rows):
+            yield _chip_rows(*paste_batch(t, size, block, bands), to_arrow_type(kind.elementType))
 
-    return j.groupBy("sample_id").applyInPandas(run, "sample_id long, px array<double>")
+    return j.select(*cols).repartition("sample_id").sortWithinPartitions("sample_id").mapInArrow(run, f"sample_id long, px {kind.simpleString()}")
 
 
 def target_pixels(windows: DataFrame, grid: tuple[float, float, float, float], size: int) -> DataFrame:
@@ -301,37 +354,44 @@ def bilinear(targets: DataFrame, blocks: DataFrame, bands: int, side: int) -> Da
     return j.groupBy("sample_id", "i").agg(*aggs)
 
 
-def resample_kernel(rows: pd.DataFrame, size: int, side: int, bands: int) -> np.ndarray:
-    """Bilinear grid over the window from its source blocks; u, v run linearly between the window corners."""
-    f = rows.iloc[0]
-    r0, c0 = int(rows["block_row"].min()), int(rows["block_col"].min())
-    nr, nc = int(rows["block_row"].max()) - r0 + 1, int(rows["block_col"].max()) - c0 + 1
-    src = np.full((bands, nr * side, nc * side), np.nan)
-    for r in rows.itertuples():
-        if r.px is not None:
-            y, x = int(r.block_row - r0) * side, int(r.block_col - c0) * side
-            src[:, y : y + side, x : x + side] = np.asarray(r.px, dtype=float).reshape(bands, side, side)
-    t = (np.arange(size) + 0.5) / size
-    u = f.u1 + t * (f.u2 - f.u1) - 0.5 - c0 * side
-    v = f.v1 + t * (f.v2 - f.v1) - 0.5 - r0 * side
-    vv, uu = np.meshgrid(v, u, indexing="ij")
-    ys, xs = np.floor(vv).astype(int), np.floor(uu).astype(int)
-    num, den = np.zeros((bands, size, size)), np.zeros((bands, size, size))
+def resample_batch(t: pa.Table, size: int, side: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples and their bilinear grids from the rectangles of source blocks they need.
+
+    Rows are sorted by sample, block row and block column, so a pixel's block is found by arithmetic; u, v run
+    linearly between the corners of a window. Weights are shared among valid neighbours; NaN where there is none.
+    """
+    flat, start, there = _flat(t.column("px"))
+    flat = np.append(flat.astype(np.float64), np.nan)
+    sample, br, bc = (t.column(c).to_numpy() for c in ("sample_id", "block_row", "block_col"))
+    first = np.flatnonzero(np.diff(sample, prepend=sample[0] - 1))
+    r0, c0 = br[first], bc[first]
+    nr, nc = np.maximum.reduceat(br, first) - r0 + 1, np.maximum.reduceat(bc, first) - c0 + 1
+    u1, u2, v1, v2 = (t.column(c).to_numpy()[first][:, None] for c in ("u1", "u2", "v1", "v2"))
+    step = (np.arange(size) + 0.5) / size
+    u, v = u1 + step * (u2 - u1) - 0.5, v1 + step * (v2 - v1) - 0.5
+    num, den = (np.zeros((len(first), bands, size, size)) for _ in range(2))
     for oy in (0, 1):
+        y = np.floor(v).astype(np.int64) + oy
+        row = y // side - r0[:, None]
         for ox in (0, 1):
-            y, x = ys + oy, xs + ox
-            w = (1 - np.abs(uu - x)) * (1 - np.abs(vv - y))
-            on = (y >= 0) & (y < nr * side) & (x >= 0) & (x < nc * side) & (w > 0)
-            val = src[:, y.clip(0, nr * side - 1), x.clip(0, nc * side - 1)]
-            good = np.isfinite(val) & on
-            num += np.where(good, w * np.nan_to_num(val), 0.0)
-            den += np.where(good, w, 0.0)
+            x = np.floor(u).astype(np.int64) + ox
+            col = x // side - c0[:, None]
+            w = (1 - np.abs(v - y))[:, :, None] * (1 - np.abs(u - x))[:, None, :]
+            on = ((row >= 0) & (row < nr[:, None]))[:, :, None] & ((col >= 0) & (col < nc[:, None]))[:, None, :] & (w > 0)
+            at = np.where(on, first[:, None, None] + (row * nc[:, None])[:, :, None] + col[:, None, :], 0)
+            on &= there[at]
+            src = start[at] + ((y % side) * side)[:, :, None] + (x % side)[:, None, :]
+            for b in range(bands):
+                val = flat[np.where(on, src + b * side * side, -1)]
+                good = np.isfinite(val)
+                num[:, b] += np.where(good, w * val, 0.0)
+                den[:, b] += np.where(good, w, 0.0)
     with np.errstate(invalid="ignore"):
-        return np.where(den > 0, num / den, np.nan)
+        return sample[first], np.where(den > 0, num / den, np.nan).reshape(len(first), -1)
 
 
 def resample_topo(windows: DataFrame, blocks: DataFrame, grid: tuple[float, float, float, float], size: int, side: int, bands: int = 4) -> DataFrame:
-    """Terrain chip of `size` x `size` over each window, cut block-wise; the few blocks of a window are a bounded group."""
+    """Terrain chip of `size` x `size` over each window, many in one go from their few source blocks."""
     x0, y0, dx, dy = grid
     d = windows.withColumn("u1", (F.col("left") - x0) / dx).withColumn("u2", (F.col("right") - x0) / dx)
     d = d.withColumn("v1", (F.lit(y0) - F.col("top")) / dy).withColumn("v2", (F.lit(y0) - F.col("bottom")) / dy)
@@ -343,8 +403,10 @@ def resample_topo(windows: DataFrame, blocks: DataFrame, grid: tuple[float, floa
     d = d.select("sample_id", "u1", "u2", "v1", "v2", "block_row", "block_col")
     j = salted_join(d, blocks, ["block_row", "block_col"], "left", "sample_id")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        chip = resample_kernel(rows, size, side, bands).ravel()
-        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "px": [[None if np.isnan(v) else v for v in chip]]})
+    rows = max(16, min(CHIP_CELLS // (bands * side * side), CHIP_CELLS // (bands * size * size)))
+
+    def run(batches):
+        for t in whole_groups(batches, "sample_id", rows):
+            yield _chip_rows(*resample_batch(t, size, side, bands), pa.float64())
 
-    return j.groupBy("sample_id").applyInPandas(run, "sample_id long, px array<double>")
+    return j.repartition("sample_id").sortWithinPartitions("sample_id", "block_row", "block_col").mapInArrow(run, "sample_id long, px array<double>")

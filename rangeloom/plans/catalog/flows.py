@@ -15,7 +15,7 @@ from ...streaming import landing
 from .. import species
 from ..registry import Inputs, query
 from .common import CELL_SQL, GRID, SEED, rnd
-from .rasters import _ENV_AT, _SCORED, ENV_GRID, chip_rows, env_blocks, mosaic
+from .rasters import _ENV_AT, _SCORED, _TOPO, _WIN, ENV_GRID, TOPO_GRID, chip_rows, env_blocks, image_blocks, mosaic, topo_blocks
 from .sampling import _BLOCK, SP, folded
 
 _CELL = CELL_SQL.format(a="")
@@ -202,18 +202,35 @@ def model_families(i: Inputs):
     return metrics.summary(p, ["model_type"]).select("model_type", "n_samples", rnd("brier", 3))
 
 
+#: Windows of 8 x 8 pixels cut from image blocks of 4 x 4, terrain chips of 4 x 4 from blocks of 4 x 4.
+CHIPS = species.ChipPlan(8, 4, 4, 16.0, TOPO_GRID, 4, 4)
+
+
 def _points(i: Inputs):
-    return i.occ.withColumn("point_id", F.col("occ_id").cast("string")).withColumn("point_key", F.col("order_key"))
+    """Occurrences at the image sites of their users; a user without a site has none and gets no chip."""
+    at = i.occ.join(i.site.withColumnRenamed("sample_id", "user_id"), "user_id", "left").withColumn("site_id", F.col("user_id"))
+    return at.withColumnsRenamed({"x": "site_x", "y": "site_y"}).withColumn("point_id", F.col("occ_id").cast("string")).withColumn("point_key", F.col("order_key"))
+
+
+def _sites(points):
+    return points.filter("site_x IS NOT NULL").select("site_id", F.col("site_x").alias("x"), F.col("site_y").alias("y"))
 
 
 def _env_stats(i: Inputs):
     return rasters.layer_stats(i.env_pixel.filter("layer < 19"))
 
 
+_ELEV = TERRAIN_STATS[TERRAIN_BANDS[0]]
+
+
 @query(
-    "F7_build_dataset", ["occ", "env_pixel", "chip_pixel"],
-    _BLOCK + f""", {_ENV_AT}, pv AS (SELECT vec_id, y, x, count(v) AS c4 FROM chip_pixel GROUP BY 1, 2, 3),
- tv AS (SELECT vec_id FROM pv GROUP BY vec_id HAVING avg(CASE WHEN c4 = 4 THEN 1.0 ELSE 0.0 END) >= 0.5),
+    "F7_build_dataset", ["occ", "env_pixel", "img_tile", "img_pixel", "site", "topo_pixel"],
+    _BLOCK + ", " + (_WIN + _TOPO).removeprefix("WITH ") + f""", {_ENV_AT},
+ hx AS (SELECT sample_id, band, r - ro AS y, c - co AS x, first(v ORDER BY tile_id) FILTER (v <> 0) AS v FROM pair JOIN img_pixel USING (tile_id) WHERE r >= ro AND r < ro + 8 AND c >= co AND c < co + 8 GROUP BY 1, 2, 3, 4),
+ chip AS (SELECT sample_id, coalesce(sum(v), 0) AS chip_sum FROM hx GROUP BY sample_id),
+ tm AS (SELECT sample_id, i, band, sum(w * q.v) / sum(w) FILTER (q.v IS NOT NULL) AS v FROM wt JOIN topo_pixel q ON q.r = wt.r AND q.c = wt.c WHERE w > 0 GROUP BY 1, 2, 3),
+ tok AS (SELECT sample_id, i, max(v) FILTER (band = 0) AS elev FROM tm GROUP BY 1, 2 HAVING count(v) = 4),
+ tv AS (SELECT sample_id, avg((elev - ({_ELEV[0]!r})) / {_ELEV[1]!r}) AS elev_mean FROM tok GROUP BY sample_id HAVING count(*) >= 8),
  ready AS (SELECT occ_id FROM e GROUP BY occ_id HAVING count(v) = 20),
  u AS (SELECT occ_id, user_id, species, presence, 'uniform' AS design, 0 AS cv_round, CASE WHEN rk < round_even(n * 0.7, 0) THEN 'train' WHEN rk < round_even(n * 0.7, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split
    FROM (SELECT *, row_number() OVER (PARTITION BY species, presence ORDER BY order_key) - 1 AS rk, CAST(count(*) OVER (PARTITION BY species, presence) AS DOUBLE) AS n FROM occ) a),
@@ -221,24 +238,33 @@ def _env_stats(i: Inputs):
  n AS (SELECT *, row_number() OVER w - 1 AS rk, CAST(count(*) OVER (PARTITION BY species, cv_round, presence, fold = cv_round) AS DOUBLE) AS n FROM r WINDOW w AS (PARTITION BY species, cv_round, presence, fold = cv_round ORDER BY order_key)),
  cv AS (SELECT occ_id, user_id, species, presence, 'spatial_cv' AS design, cv_round, CASE WHEN fold = cv_round THEN 'test' WHEN rk < round_even(n * 0.7, 0) THEN 'train' ELSE 'val' END AS split FROM n),
  al AS (SELECT * FROM u UNION ALL SELECT * FROM cv)
- SELECT species, design, CAST(cv_round AS INTEGER) AS cv_round, split, count(*) AS n, CAST(sum(presence) AS BIGINT) AS n_presence FROM al JOIN ready USING (occ_id) WHERE user_id IN (SELECT vec_id FROM tv) GROUP BY 1, 2, 3, 4""",
+ SELECT species, design, CAST(cv_round AS INTEGER) AS cv_round, split, count(*) AS n, CAST(sum(presence) AS BIGINT) AS n_presence, CAST(sum(chip_sum) AS BIGINT) AS chip_sum, round(avg(elev_mean), 4) AS elev_mean
+ FROM al JOIN ready USING (occ_id) JOIN chip ON chip.sample_id = user_id JOIN tv ON tv.sample_id = user_id GROUP BY 1, 2, 3, 4""",
 )
 def build_dataset(i: Inputs):
     pts = materialize(sampling.with_albers(_points(i)), "points")
-    norm = rasters.normalize_bands(F.col("px"), 16, [TERRAIN_STATS[b] for b in TERRAIN_BANDS])
-    terrain = materialize(rasters.summarize_topo(chip_rows(i).withColumn("px", norm), "px", 16).drop("px"), "terrain")
-    topo = pts.select("point_id", F.col("user_id").alias("vec_id")).join(terrain, "vec_id").drop("vec_id")
-    chips = pts.join(i.embeddings.select(F.col("vec_id").alias("user_id")), "user_id", "left_semi").select("point_id")
+    chips, topo = species.extract_chips(_sites(pts), i.img_tile, image_blocks(i), topo_blocks(i), CHIPS)
     rows = species.designs(pts, 0.70, 0.15, 200000.0, 5)
     d = species.build_dataset(pts, rows, chips, topo, env_blocks(i), ENV_GRID, 16, _env_stats(i), 0.5)
-    return d.groupBy("species", "design", "cv_round", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_presence"))
+    light = chips.select("site_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("chip_sum"))
+    d = d.join(light, "site_id").groupBy("species", "design", "cv_round", "split")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_presence"), F.sum("chip_sum").alias("chip_sum"), rnd(F.avg("elev_mean"), 4, "elev_mean"))
 
 
-@query("F8_species_flow", ["occ", "tile_idx"])
+@query("F8_species_flow", ["occ", "tile_idx", "img_tile", "img_pixel", "topo_pixel", "env_pixel"])
 def species_flow(i: Inputs):
+    """From occurrences to the written dataset of every species; sites lie on the image strip in proportion to the coordinates."""
     pts = species.presence_background(i.occ, i.tile_idx, GRID, 50.0, 5.0, 800.0)
-    d = species.designs(pts, 0.70, 0.15, 200000.0, 5)
-    return d.groupBy("species", "design", "cv_round", "split", "presence").agg(F.count(F.lit(1)).alias("n"))
+    x, y = F.floor((F.col("lon") + 121) * 6) + 0.5, -F.floor((F.col("lat") - 29) * 1.2) - 0.5
+    pts = pts.withColumn("site_id", F.xxhash64(x, y)).withColumn("site_x", x).withColumn("site_y", y)
+    path = scratch_path(i.spark, "species")
+    rows = species.designs(pts, 0.70, 0.15, 200000.0, 5)
+    sites = pts.select("point_id", "lat", "lon", "site_id", F.col("site_x").alias("x"), F.col("site_y").alias("y"))
+    species.write_species(sites, rows, i.img_tile, image_blocks(i), topo_blocks(i), CHIPS, env_blocks(i), ENV_GRID, 16, _env_stats(i), path, 0.5)
+    d = tables.read_partition(i.spark, f"{path}/dataset")
+    cut = i.spark.read.parquet(f"{path}/images").join(i.spark.read.parquet(f"{path}/topo_chips").select("site_id"), "site_id").select("site_id")
+    d = clean.chip_exists(d, cut, ["site_id"])
+    return d.groupBy("species", "design", F.col("cv_round").cast("int").alias("cv_round"), "split", "presence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("V1_stream_occurrences", ["occ"], f"SELECT species, cell_row, cell_col, occ_id FROM (SELECT *, {_CELL} FROM occ) c QUALIFY row_number() OVER (PARTITION BY species, cell_row, cell_col ORDER BY order_key) = 1")

@@ -127,6 +127,16 @@ def windows(i: Inputs):
     return r.chip_windows(i.site, i.img_tile, 8, 16.0)
 
 
+def image_blocks(i: Inputs):
+    """Image tiles as blocks of 4 x 4 pixels of 4 bands, stored as small integers like the images are."""
+    return r.to_blocks(i.img_pixel, ["tile_id"], "band", 4, 4).withColumn("px", F.col("px").cast("array<smallint>"))
+
+
+def topo_blocks(i: Inputs):
+    """The terrain raster as blocks of 4 x 4 pixels of 4 bands."""
+    return r.to_blocks(i.topo_pixel, [], "band", 4, 4)
+
+
 def needed_blocks(i: Inputs):
     """Blocks of 4 x 4 pixels the windows need."""
     return r.chip_window_blocks(windows(i), i.img_tile, 8, 4, 16.0)
@@ -149,9 +159,8 @@ def chip_window_blocks(i: Inputs):
  SELECT o.sample_id, b.band * 64 + h.y * 8 + h.x AS i, v FROM (SELECT DISTINCT sample_id FROM pair) o JOIN hit h USING (sample_id) JOIN (SELECT unnest(range(4)) AS band) b USING (band) WHERE v IS NOT NULL""",
 )
 def assemble_chip(i: Inputs):
-    blocks = r.to_blocks(i.img_pixel, ["tile_id"], "band", 4, 4)
-    d = r.assemble_chips(needed_blocks(i), blocks, 8, 4, 4)
-    return d.select("sample_id", F.posexplode("px").alias("i", "v")).filter("v <> 0").select("sample_id", F.col("i").cast("long").alias("i"), "v")
+    d = r.assemble_chips(needed_blocks(i), image_blocks(i), 8, 4, 4)
+    return d.select("sample_id", F.posexplode("px").alias("i", "v")).filter("v <> 0").select("sample_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
 
 
 _TOPO = """, tg AS (SELECT sample_id, l, tp, unnest(range(16)) AS i FROM win),

@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clamp_unit, finite
 from ..functions.keys import order_key
-from ..functions.names import CLIMATE, ENVIRONMENT
+from ..functions.names import CLIMATE, ENVIRONMENT, TERRAIN_BANDS, TERRAIN_STATS
 from ..operators import clean, rasters, sampling, spatial, splits
 from ..session import materialize
+from ..sinks import tables
 
 BY = ["species"]
 
 
+class ChipPlan(NamedTuple):
+    """How chips are cut: side, block side, bands and lookup bin of the images; grid, block side and chip side of the terrain."""
+
+    size: int
+    block: int
+    bands: int
+    bin_side: float
+    topo_grid: tuple[float, float, float, float]
+    topo_block: int
+    topo_size: int
+
+
+def extract_chips(points: DataFrame, tiles: DataFrame, images: DataFrame, terrain: DataFrame, plan: ChipPlan) -> tuple[DataFrame, DataFrame]:
+    """Image chips (`site_id, px`) and terrain chips (`site_id, px`, ten scalars, valid share) of all sites of the points.
+
+    `points` have `site_id, x, y` in the images' system; points of one site share its chips, which are cut once.
+    `images` and `terrain` are block tables. A site outside all tiles, or over tiles of two systems, has no chip, and
+    terrain is only cut where there is one. Terrain chips are normalised before they are summarised.
+    """
+    sites = points.select(F.col("site_id").alias("sample_id"), "x", "y").dropDuplicates(["sample_id"])
+    windows = rasters.chip_windows(sites, tiles, plan.size, plan.bin_side)
+    need = rasters.chip_window_blocks(windows, tiles, plan.size, plan.block, plan.bin_side)
+    chips = materialize(rasters.assemble_chips(need, images, plan.size, plan.block, plan.bands), "chips")
+    cut = rasters.resample_topo(windows.join(chips.select("sample_id"), "sample_id", "left_semi"), terrain, plan.topo_grid, plan.topo_size, plan.topo_block)
+    plane = plan.topo_size**2
+    scaled = rasters.normalize_bands(F.col("px"), plane, [TERRAIN_STATS[b] for b in TERRAIN_BANDS])
+    topo = materialize(rasters.summarize_topo(cut.withColumn("px", scaled), "px", plane), "topo_chips")
+    return chips.withColumnRenamed("sample_id", "site_id"), topo.withColumnRenamed("sample_id", "site_id")
+
+
 def presence_background(
     occurrences: DataFrame,
     tiles: DataFrame,
@@ -89,12 +122,37 @@ def build_dataset(
 ) -> DataFrame:
     """Model-ready rows: everything is read once per point, then joined to its splits.
 
-    `chips`: `point_id` of written image chips; `topo`: `point_id` with the terrain scalars and the
-    valid share of the already normalised chip. A point appears in every round but is extracted once.
+    `points` have a `site_id`; `chips` and `topo` are those of `extract_chips`. A point without an image chip, usable
+    climate values or enough terrain is left out. A point appears in every round but is extracted once. Pixels stay in
+    the chip tables, which the rows name by `site_id`.
     """
-    env = extract_environment(clean.chip_exists(points, chips, ["point_id"]).select("point_id", "lat", "lon"), env_blocks, env_grid, side, env_stats)
-    ready = clean.topo_coverage(env.drop("lat", "lon").join(topo, "point_id"), min_topo)
-    data = materialize(design_rows.join(ready, "point_id"), "dataset")
+    seen = clean.chip_exists(points.select("point_id", "site_id", "lat", "lon"), chips, ["site_id"])
+    covered = clean.topo_coverage(seen.join(topo.drop("px"), "site_id"), min_topo)
+    ready = extract_environment(covered, env_blocks, env_grid, side, env_stats).drop("lat", "lon")
+    data = materialize(design_rows.drop("site_id").join(ready, "point_id"), "dataset")
     keys = [*BY, "design", "cv_round"]
     data = splits.norm_latlon(data, keys)
     return splits.sample_ids(data, keys, "point_key")
+
+
+def write_species(
+    points: DataFrame,
+    design_rows: DataFrame,
+    tiles: DataFrame,
+    images: DataFrame,
+    terrain: DataFrame,
+    plan: ChipPlan,
+    env_blocks: DataFrame,
+    env_grid: tuple[float, float, float, float],
+    side: int,
+    env_stats: DataFrame,
+    path: str,
+    min_topo: float = 0.90,
+) -> None:
+    """The end of the flow: tables `dataset` (by species, design, round and split), `images` and `topo_chips` below `path`."""
+    chips, topo = extract_chips(points, tiles, images, terrain, plan)
+    data = build_dataset(points, design_rows, chips, topo, env_blocks, env_grid, side, env_stats, min_topo)
+    tables.write_table(data, f"{path}/dataset", "dataset")
+    used = materialize(data.select("site_id").distinct(), "used_sites")
+    for name, df in (("images", chips), ("topo_chips", topo.select("site_id", "px"))):
+        df.join(used, "site_id", "left_semi").write.mode("errorifexists").parquet(f"{path}/{name}")
