@@ -200,6 +200,24 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return hits % 2 == 1
 
 
+def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Crossing-number test against all `edges` (array<struct<ax,ay,bx,by>>) of a shape, those of its holes and parts included."""
+
+    def crosses(e: Column) -> Column:
+        at = e["ax"] + (y - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])
+        return F.when((e["ay"] > y) != (e["by"] > y), x < at).otherwise(F.lit(False))
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def edge_meets_box(e: Column, x0: Column, y0: Column, side: Column) -> Column:
+    """Whether an edge touches the square from (`x0`, `y0`): their boxes overlap and not all corners lie on one side of its line."""
+    x1, y1 = x0 + side, y0 + side
+    boxes = (F.least(e["ax"], e["bx"]) <= x1) & (F.greatest(e["ax"], e["bx"]) >= x0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ay"], e["by"]) >= y0)
+    turn = [(e["bx"] - e["ax"]) * (cy - e["ay"]) - (e["by"] - e["ay"]) * (cx - e["ax"]) for cx in (x0, x1) for cy in (y0, y1)]
+    return boxes & (F.least(*turn) <= 0) & (F.greatest(*turn) >= 0)
+
+
 def padded_extent_aggs(x: Column, y: Column, share: float = 0.05, floor_m: float = 1000.0) -> list[Column]:
     """Aggregates for the padded bounding box of a point set."""
     x1, x2, y1, y2 = F.min(x), F.max(x), F.min(y), F.max(y)

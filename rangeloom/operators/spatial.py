@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import edge_meets_box, point_in_edges
 from ..functions.text import base_name
 from ..session import materialize
 from .joins import grid_join, salted_join
@@ -40,6 +41,57 @@ def in_footprint(points: DataFrame, tiles: DataFrame, ident: str) -> DataFrame:
     return salted_join(_point_bins(points), t, ["_gx", "_gy"], "left_semi", ident, cond).drop("_gx", "_gy")
 
 
+def ring_cover(edges: DataFrame, ident: str = "tile_id", side: float = 1 / 4, depth: int = 3) -> DataFrame:
+    """Cells that cover shapes given by their edges (`ident, ax, ay, bx, by`; rings, holes and parts together).
+
+    A cell that no edge touches is inside as a whole or left out; one that is touched is cut into four, `depth`
+    times. Rows `ident, level, gx, gy, edges`: cell `gx, gy` of side `side` / 2^level; `edges` are those of the shape
+    where a point of the cell has still to be tested, NULL where all its points are inside. Coarse cells settle the
+    inner area, so the rows grow with a shape's outline. The edges of a shape are a bounded group.
+    """
+    edge = F.struct(*[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    shapes = edges.groupBy(ident).agg(F.collect_list(edge).alias("edges"), *[f(F.least(a, b) if f is F.min else F.greatest(a, b)).alias(f"{n}{a[1]}") for f, n in ((F.min, "lo"), (F.max, "hi")) for a, b in (("ax", "bx"), ("ay", "by"))])
+    span = lambda d: F.explode(F.sequence(F.floor(F.col(f"lo{d}") / side), F.floor(F.col(f"hi{d}") / side)))
+    cells = shapes.withColumn("gx", span("x")).withColumn("gy", span("y")).select(ident, "edges", F.col("edges").alias("near"), "gx", "gy")
+    done = None
+    for level in range(depth + 1):
+        s = F.lit(side / 2**level)
+        x0, y0 = F.col("gx") * s, F.col("gy") * s
+        cells = cells.withColumn("near", F.filter("near", lambda e: edge_meets_box(e, x0, y0, s)))  # noqa: B023
+        cells = materialize(cells.withColumn("open", F.size("near") > 0), "cover")
+        inner = cells.filter(~F.col("open") & point_in_edges(x0 + s / 2, y0 + s / 2, F.col("edges"))).withColumn("edges", F.lit(None).cast(cells.schema["edges"].dataType))
+        out = inner if level < depth else inner.unionByName(cells.filter("open"))
+        out = out.select(ident, F.lit(level).alias("level"), "gx", "gy", "edges")
+        done = out if done is None else done.unionByName(out)
+        half = F.array(F.lit(0), F.lit(1))
+        cells = cells.filter("open").drop("open").withColumn("_x", F.explode(half)).withColumn("_y", F.explode(half))
+        cells = cells.withColumn("gx", F.col("gx") * 2 + F.col("_x")).withColumn("gy", F.col("gy") * 2 + F.col("_y")).drop("_x", "_y")
+    return materialize(done.withColumn("side", F.lit(float(side))), "ring_cover")
+
+
+def _cover_hits(points: DataFrame, cover: DataFrame, ident: str, how: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Points joined to the cells that hold them, one probe for each level of the cover."""
+    levels = [r["level"] for r in cover.select("level").distinct().collect()]  # depth + 1 at most
+    side = cover.select(F.max("side")).scalar()
+    probes = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]))) if levels else points.withColumn("level", F.lit(0)).limit(0)
+    size = F.pow(F.lit(2.0), F.col("level")) / side
+    probes = probes.withColumn("gx", F.floor(F.col(x) * size)).withColumn("gy", F.floor(F.col(y) * size))
+    inside = F.col("edges").isNull() | point_in_edges(F.col(x), F.col(y), F.col("edges"))
+    return salted_join(probes, cover.drop("side"), ["level", "gx", "gy"], how, ident, inside).drop("level", "gx", "gy")
+
+
+def attach_ring_tile(points: DataFrame, tiles: DataFrame, cover: DataFrame, ident: str) -> DataFrame:
+    """Tile whose outline (holes excepted) holds each point, the smallest id where several do; points outside all stay."""
+    hit = _cover_hits(points.select(ident, "lat", "lon"), cover, ident, "inner").groupBy(ident).agg(F.min("tile_id").alias("tile_id"))
+    return points.join(hit.join(tiles.select("tile_id", "filename", "url"), "tile_id"), ident, "left")
+
+
+def in_ring_footprint(points: DataFrame, cover: DataFrame, ident: str) -> DataFrame:
+    """Points inside at least one outline; no union geometry is built."""
+    held = _cover_hits(points.select(ident, "lat", "lon"), cover, ident, "inner").select(ident).distinct()
+    return points.join(held, ident, "left_semi")
+
+
 def tile_downloaded(tiles: DataFrame, files: DataFrame) -> DataFrame:
     """Flag tiles whose base name has a stored file; `files` has a `path` column."""
     have = files.select(F.lower(base_name(F.col("path"))).alias("filename_lower")).distinct().withColumn("_have", F.lit(True))

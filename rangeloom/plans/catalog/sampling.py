@@ -84,6 +84,28 @@ def attach_tile(i: Inputs):
     return spatial.attach_tile(i.occ, i.tile_idx, "occ_id").select("occ_id", "tile_id", "filename", "url")
 
 
+_IN_RING = """WITH c AS (SELECT occ_id, t.tile_id, count(*) FILTER (((ay > lat) <> (byy > lat)) AND lon < ax + (lat - ay) / nullif(byy - ay, 0) * (bx - ax)) % 2 AS odd
+  FROM {src} JOIN tile_idx t ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy JOIN tile_edge e ON e.tile_id = t.tile_id {where} GROUP BY 1, 2),
+ h AS (SELECT occ_id, min(tile_id) AS tile_id FROM c WHERE odd = 1 GROUP BY occ_id)
+"""
+
+
+def ring_cover(i: Inputs, tiles=None):
+    """Cell cover of the tile outlines."""
+    edges = i.tile_edge if tiles is None else i.tile_edge.join(tiles.select("tile_id"), "tile_id", "left_semi")
+    return spatial.ring_cover(edges.withColumnRenamed("byy", "by"))
+
+
+@query("J3_attach_ring_tile", ["occ", "tile_idx", "tile_edge"], _IN_RING.format(src="occ", where="") + "SELECT occ_id, tile_id, filename, url FROM occ LEFT JOIN h USING (occ_id) LEFT JOIN tile_idx USING (tile_id)")
+def attach_ring_tile(i: Inputs):
+    return spatial.attach_ring_tile(i.occ, i.tile_idx, ring_cover(i), "occ_id").select("occ_id", "tile_id", "filename", "url")
+
+
+@query("J12_in_ring_footprint", ["occ", "tile_idx", "tile_edge"], _IN_RING.format(src="occ", where="WHERE downloaded") + "SELECT occ_id FROM h")
+def in_ring_footprint(i: Inputs):
+    return spatial.in_ring_footprint(i.occ, ring_cover(i, i.tile_idx.filter("downloaded")), "occ_id").select("occ_id")
+
+
 @query("J4_tile_downloaded", ["tile_idx"], "SELECT tile_id, lower(regexp_extract(filename, '[^/]+$')) AS filename_lower, downloaded FROM tile_idx")
 def tile_downloaded(i: Inputs):
     files = i.tile_idx.filter("downloaded").select(F.lower("filename").alias("path"))

@@ -113,6 +113,13 @@ FROM {chip_pixel}""",
 SELECT vec_id AS sample_id, CAST(CAST(floor(vec_id / 25) AS BIGINT) * 16 + ((vec_id % 25) % 5) * 4 + vec_id % 3 AS DOUBLE) + 1.5 AS x,
   -(CAST(CAST(floor((vec_id % 25) / 5) AS BIGINT) * 4 + vec_id % 2 AS DOUBLE) + 1.5) AS y
 FROM {embeddings}""",
+    # Outlines of the image tiles: an octagon within the box and, in two tiles of three, a diamond-shaped hole.
+    "tile_edge": """
+SELECT tile_id, k, minx + (maxx - minx) * ax AS ax, miny + (maxy - miny) * ay AS ay, minx + (maxx - minx) * bx AS bx, miny + (maxy - miny) * byy AS byy
+FROM {tile_idx}, (VALUES (0, 0.25e0, 0.0e0, 0.75e0, 0.0e0), (1, 0.75e0, 0.0e0, 1.0e0, 0.25e0), (2, 1.0e0, 0.25e0, 1.0e0, 0.75e0), (3, 1.0e0, 0.75e0, 0.75e0, 1.0e0),
+ (4, 0.75e0, 1.0e0, 0.25e0, 1.0e0), (5, 0.25e0, 1.0e0, 0.0e0, 0.75e0), (6, 0.0e0, 0.75e0, 0.0e0, 0.25e0), (7, 0.0e0, 0.25e0, 0.25e0, 0.0e0),
+ (8, 0.5e0, 0.25e0, 0.75e0, 0.5e0), (9, 0.75e0, 0.5e0, 0.5e0, 0.75e0), (10, 0.5e0, 0.75e0, 0.25e0, 0.5e0), (11, 0.25e0, 0.5e0, 0.5e0, 0.25e0)) AS v(k, ax, ay, bx, byy)
+WHERE k < 8 OR tile_id % 3 <> 0""",
     # UTM tiles for inference: origin and zone per tile.
     "utm_tile": """
 SELECT tile_id, height, width, 300000 + CAST((tile_id % 50) * 1000 AS DOUBLE) AS x0, 4100000 - CAST((tile_id % 37) * 1000 AS DOUBLE) AS y0, CAST(1 AS DOUBLE) AS px_size, 11 AS zone
