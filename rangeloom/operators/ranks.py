@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import same_keys_join
 
 #: Rows that a bucket of a rank should have at most.
@@ -42,6 +43,23 @@ def exact_rank(
     )
 
 
+def sorted_rank(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based position of every row in its group by `order`, from one sort over ranges of (`by`, `order`).
+
+    Ranges follow all keys, so a group that holds most of the rows, or most of one leading value, spreads over as
+    many tasks as its other keys allow; only a row for each range and group is summed in order.
+    """
+    keys = [*[F.col(b).asc_nulls_first() for b in by], *order]
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    # The upper bits of the id are the range, the lower ones count its rows; stored, so they stay what they are.
+    d = materialize(d, "sorted").withColumn("_range", F.shiftright("_id", 33))
+    sizes = d.groupBy(*by, "_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = same_keys_join(d, offsets, [*by, "_range"])
+    return placed.withColumn(out, F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_id", "_range", "_first", "_before")
+
+
 def value_buckets(v: Column) -> tuple[Column, Column]:
     """Two-level bucket of a double, non-decreasing in `v`: 64 parts per power of two, 4096 parts of each.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, setting_texts, settings_equal, to_number
 from ..session import materialize
 from .joins import salted_join
-from .ranks import before, quantiles
+from .ranks import before, quantiles, sorted_rank
 
 # Settings compared between trials, in report order.
 SETTINGS = [
@@ -24,19 +24,10 @@ def run_time(run_id: Column) -> Column:
     return F.try_to_timestamp(F.substring(run_id, 1, 15), F.lit("yyyyMMdd_HHmmss"))
 
 
-def _time_buckets() -> tuple[Column, Column]:
-    """Day and second of the run, as ordered numbers; runs without a time come last."""
-    t = F.col("run_time")
-    far = F.lit(9_999_999)
-    return F.coalesce(F.datediff(t, F.lit("1970-01-01").cast("date")), far), F.coalesce(F.unix_timestamp(t), far.cast("long"))
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """`run_time` and the ordinal `trial` within the benchmark, by (run time, run id)."""
-    d = df.withColumn("run_time", run_time(F.col("run_id"))).withColumn("_one", F.lit(1).cast("long"))
-    order = [F.col("run_time").asc_nulls_last(), F.col("run_id")]
-    out = before(d, [BENCH], *_time_buckets(), order, sums=["_one"])
-    return out.withColumn("trial", F.col("_one_before") + 1).drop("_one", "_one_before")
+    d = df.withColumn("run_time", run_time(F.col("run_id")))
+    return sorted_rank(d, [BENCH], [F.col("run_time").asc_nulls_last(), F.col("run_id").asc()], "trial")
 
 
 def with_settings(df: DataFrame) -> DataFrame:
@@ -63,13 +54,11 @@ def changes(current: Column, prior: Column) -> Column:
 
 def best_so_far(df: DataFrame) -> DataFrame:
     """Ordinal, running best MCC, whether the trial reaches it, and whether several rows share that best."""
-    d = df.withColumn("run_time", run_time(F.col("run_id"))).withColumn("_one", F.lit(1).cast("long"))
-    order = [F.col("run_time").asc_nulls_last(), F.col("run_id")]
-    d = before(d, [BENCH], *_time_buckets(), order, sums=["_one"], maxes=["mean_val_mcc"])
+    # Ordinals are dense, so ranges of them are even buckets.
+    d = before(numbered(df), [BENCH], F.shiftright("trial", 18), F.shiftright("trial", 9), [F.col("trial")], maxes=["mean_val_mcc"])
     v = F.col("mean_val_mcc")
-    d = d.withColumn("trial", F.col("_one_before") + 1)
     d = d.withColumn("best_so_far_mcc", F.when(v.isNotNull(), F.greatest(v, F.col("mean_val_mcc_before"))))
-    d = d.drop("mean_val_mcc_before", "_one", "_one_before")
+    d = d.drop("mean_val_mcc_before")
     d = materialize(d.withColumn("is_new_best", F.coalesce(v == F.col("best_so_far_mcc"), F.lit(False))), "running_best")
     share = d.groupBy(BENCH, "best_so_far_mcc").agg(F.count(F.lit(1)).alias("_n")).filter("best_so_far_mcc IS NOT NULL")
     d = salted_join(d, share, [BENCH, "best_so_far_mcc"], "left", "run_id")
@@ -110,13 +99,7 @@ def ratchet_rank(df: DataFrame) -> DataFrame:
     """Rank by the primary metric, then the tie-breakers; missing values last."""
     keys = [("mean_val_mcc", True), ("mean_val_auc", True), ("mean_val_sensitivity", True), ("mean_val_specificity", True), ("mean_val_loss", False)]
     order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]
-    order.append(F.col("run_id"))
-    last = F.lit(1 << 40)
-    d = df.withColumn("_one", F.lit(1).cast("long"))
-    coarse = F.coalesce(-F.floor(F.col("mean_val_mcc") * 10000), last)
-    fine = F.coalesce(-F.floor(F.col("mean_val_auc") * 10000), last)
-    out = before(d, [BENCH], coarse, fine, order, sums=["_one"])
-    return out.withColumn("ratchet_rank", F.col("_one_before") + 1).drop("_one", "_one_before")
+    return sorted_rank(df, [BENCH], [*order, F.col("run_id").asc()], "ratchet_rank")
 
 
 def top_runs(df: DataFrame, n: int = 20) -> DataFrame:

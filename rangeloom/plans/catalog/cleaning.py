@@ -100,13 +100,15 @@ def zero_fill(i: Inputs):
 
 @query(
     "P15_env_vector", ["env_pixel"],
-    _WIDE + "SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL) AS n_usable, count(*) FILTER (a IS NULL OR b IS NULL OR d IS NULL) AS skipped_env, round(sum(CASE WHEN b IS NOT NULL AND d IS NOT NULL THEN a END), 6) AS checksum FROM w",
+    """WITH w AS (SELECT r, c, count(v) AS known, sum(v * (layer + 1)) AS total FROM env_pixel GROUP BY r, c)
+ SELECT count(*) FILTER (known = 20) AS n_usable, count(*) FILTER (known < 20) AS skipped_env, round(sum(total) FILTER (known = 20), 6) AS checksum FROM w""",
 )
 def env_vector(i: Inputs):
-    d = clean.env_vector(_wide(i), ["e0", "e1", "e2"])
+    d = clean.env_vector(_wide(i), [f"e{k}" for k in range(20)])
+    total = F.aggregate(F.transform("features", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
     return d.agg(
         F.count_if("usable").alias("n_usable"), F.count_if(~F.col("usable")).alias("skipped_env"),
-        rnd(F.sum(F.when(F.col("usable"), F.col("features")[0])), 6, "checksum"),
+        rnd(F.sum(F.when(F.col("usable"), total)), 6, "checksum"),
     )
 
 

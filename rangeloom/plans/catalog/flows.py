@@ -192,10 +192,12 @@ def score_mc_dropout(i: Inputs):
 def model_families(i: Inputs):
     d = chip_rows(i).join(i.embeddings.select("vec_id", F.col("label").alias("presence"), "embedding"), "vec_id")
     img = F.aggregate("px", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / 64
+    scalars = [c for c in rasters.summarize_topo(d, "px", 16).columns if c not in d.columns and c != "topo_valid_frac"]
     d = rasters.summarize_topo(d.withColumn("image_mean", img), "px", 16).fillna(0.0)
-    d = d.withColumn("presence", (F.col("presence") % 2).cast("int")).withColumn("env1", F.col("embedding")[0].cast("double")).withColumn("env2", F.col("embedding")[1].cast("double"))
-    d = materialize(d.select("vec_id", "presence", "image_mean", "elev_mean", "slope_mean", "env1", "env2"), "family_rows")
-    inputs = {"image": ["image_mean"], "topo": ["elev_mean", "slope_mean"], "tabular": ["env1", "env2"]}
+    values = [F.col("embedding")[k].cast("double").alias(f"env{k}") for k in range(64)]
+    # Labels are classes of many kinds; their parity is the binary target.
+    d = materialize(d.select("vec_id", (F.col("presence") % 2).cast("int").alias("presence"), "image_mean", *scalars, *values), "family_rows")
+    inputs = {"image": ["image_mean"], "topo": scalars, "tabular": [f"env{k}" for k in range(64)]}
     d = splits.stratified_split(d.withColumn("key", order_key(SEED, F.col("vec_id"))), [], "key", 0.8, 0.0)
     train, test = d.filter("split = 'train'"), d.filter("split = 'test'")
     p = models.compare_families(train, test, inputs, ["vec_id", "presence"]).withColumnRenamed("presence", "true_label")
