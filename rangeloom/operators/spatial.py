@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import edge_meets_box, point_in_edges
 from ..functions.text import base_name
 from ..session import materialize
-from .joins import grid_join, salted_join
+from .joins import salted_join, same_keys_join
 
 # Side of a lookup bin in degrees; tiles cover a bounded number of bins.
 BIN_DEG = 1 / 16
@@ -107,17 +108,35 @@ def downloaded_tiles(tiles: DataFrame, files: DataFrame) -> DataFrame:
     return out
 
 
+def row_intervals(presences: DataFrame, by: list[str], radius: float, step_m: float, strict: bool = False) -> DataFrame:
+    """Per lattice row `gy` the intervals `lo..hi` of columns whose cell centres lie within `radius` of a presence, not merged.
+
+    A presence makes a row for each lattice row it reaches, not for each cell. Intervals that start alike are one,
+    so a row of the lattice has as many as it has columns at most, however many presences there are.
+    """
+    reach = int(radius // step_m) + 1
+    d = presences.select(*by, "x", "y", F.explode(F.sequence(F.floor(F.col("y") / step_m) - reach, F.floor(F.col("y") / step_m) + reach)).alias("gy"))
+    dy = (F.col("gy") + 0.5) * step_m - F.col("y")
+    d = d.withColumn("_rest", F.lit(radius * radius) - dy * dy).filter("_rest >= 0")
+    half = F.sqrt("_rest")
+    left, right = (F.col("x") - half) / step_m - 0.5, (F.col("x") + half) / step_m - 0.5
+    # Cells exactly on the circle count unless `strict`.
+    lo, hi = (F.floor(left) + 1, F.ceil(right) - 1) if strict else (F.ceil(left), F.floor(right))
+    d = d.select(*by, "gy", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    return d.groupBy(*by, "gy", "lo").agg(F.max("hi").alias("hi"))
+
+
+def covered_cells(intervals: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of the union of the intervals per group: each adds what reaches past all that start before it."""
+    w = W.partitionBy(*by, "gy").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
+    past = F.greatest(F.col("lo") - 1, F.coalesce(F.max("hi").over(w), F.col("lo") - 1))
+    return intervals.withColumn("_new", F.greatest(F.col("hi") - past, F.lit(0))).groupBy(*by).agg(F.sum("_new").alias("cells"))
+
+
 def sampling_area_km2(presences: DataFrame, by: list[str], inner_m: float, outer_m: float, step_m: float) -> DataFrame:
-    """Area of the zone between two radii, by counting lattice cells whose centre lies in it."""
-    reach = int(outer_m // step_m) + 1
-    offs = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = presences.select(*by, F.floor(F.col("x") / step_m).alias("gx"), F.floor(F.col("y") / step_m).alias("gy")).distinct()
-    cells = cells.withColumn("ox", F.explode(offs)).withColumn("gx", F.col("gx") + F.col("ox"))
-    cells = cells.withColumn("oy", F.explode(offs)).withColumn("gy", F.col("gy") + F.col("oy")).select(*by, "gx", "gy").distinct()
-    pts = cells.withColumn("x", (F.col("gx") + 0.5) * step_m).withColumn("y", (F.col("gy") + 0.5) * step_m)
-    pts = pts.withColumn("_id", F.concat_ws("_", "gx", "gy"))
-    centres = presences.select(*by, F.col("x").alias("c_x"), F.col("y").alias("c_y"))
-    pts = materialize(pts, "lattice")
-    zone = grid_join(pts, centres, by, outer_m, "left_semi", "_id")
-    zone = grid_join(zone, centres, by, inner_m, "left_anti", "_id", strict=True, census=pts)
-    return zone.groupBy(*by).agg((F.count(F.lit(1)) * (step_m / 1000.0) ** 2).alias("area_km2"))
+    """Area of the zone between two radii: lattice cells whose centre lies within the outer radius of some presence and
+    not closer than the inner one to any, as the cells of the wide union less those of the narrow one within it."""
+    wide = covered_cells(row_intervals(presences, by, outer_m, step_m), by)
+    narrow = covered_cells(row_intervals(presences, by, inner_m, step_m, strict=True), by).withColumnRenamed("cells", "_inner")
+    both = same_keys_join(wide, narrow, by, "left")
+    return both.select(*by, ((F.col("cells") - F.coalesce("_inner", F.lit(0))) * (step_m / 1000.0) ** 2).alias("area_km2"))

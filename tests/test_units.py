@@ -429,3 +429,64 @@ def test_short_species_do_not_stop_the_others(spark):
     done = {r.species for r in got.select("species").distinct().collect()}
     missing = {r.species for r in short[0].collect()} if short else set()
     assert done.isdisjoint(missing) and done | missing == {"ok", "crowd"}
+
+
+def test_sorted_rank_spreads_a_group_without_leading_values(spark):
+    d = spark.createDataFrame([(None if i % 5 else "b", None, i * 7919 % 1000) for i in range(1000)], "g string, t int, k int").repartition(7)
+    got = ranks.sorted_rank(d, ["g"], [F.col("t").asc_nulls_last(), F.col("k").asc()], "rank").collect()
+    for g in (None, "b"):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["k"])
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_rings_with_holes_by_cells(spark):
+    import random
+
+    rng = random.Random(8)
+    star = [((1.5 if k % 2 else 0.5) * math.cos(k * math.pi / 7) + 2, (1.5 if k % 2 else 0.5) * math.sin(k * math.pi / 7) + 2) for k in range(14)]
+    shapes = {1: [star], 2: [[(0, 0), (3, 0), (3, 3), (0, 3)], [(1, 1), (2, 1), (2, 2), (1, 2)]], 3: [[(3, 3), (3.01, 3), (3.01, 3.01)]]}
+    edges = [(i, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for i, rings in shapes.items() for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)]
+    pts = [(k, rng.uniform(-0.5, 4), rng.uniform(-0.5, 4)) for k in range(600)] + [(600, 3.007, 3.004)]
+
+    def holds(i, x, y):
+        return sum((ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax) for t, ax, ay, bx, by in edges if t == i) % 2 == 1
+
+    want = {k: min((i for i in shapes if holds(i, x, y)), default=None) for k, x, y in pts}
+    points = spark.createDataFrame(pts, "id long, lon double, lat double")
+    tiles = spark.createDataFrame([(i, f"f{i}", "u") for i in shapes], "tile_id long, filename string, url string")
+    for depth in (0, 4):
+        cover = spatial.ring_cover(spark.createDataFrame(edges, "tile_id long, ax double, ay double, bx double, by double"), side=0.5, depth=depth)
+        assert {r["id"]: r["tile_id"] for r in spatial.attach_ring_tile(points, tiles, cover, "id").collect()} == want
+        assert {r["id"] for r in spatial.in_ring_footprint(points, cover, "id").collect()} == {k for k, t in want.items() if t}
+    assert cover.filter("edges IS NULL").count() > 0
+    none = spatial.ring_cover(spark.createDataFrame([], "tile_id long, ax double, ay double, bx double, by double"))
+    assert spatial.in_ring_footprint(points, none, "id").count() == 0
+
+
+def test_zone_area_by_row_intervals(spark):
+    import random
+
+    rng = random.Random(9)
+    pts = [(["a", "b", None][k % 3], rng.uniform(0, 40), rng.uniform(0, 40)) for k in range(40)]
+    got = {r["g"]: r["area_km2"] for r in spatial.sampling_area_km2(spark.createDataFrame(pts, "g string, x double, y double"), ["g"], 2.5, 9.0, 1.0).collect()}
+    for g in ("a", "b", None):
+        own = [(x, y) for h, x, y in pts if h == g]
+        far = [min((i + 0.5 - x) ** 2 + (j + 0.5 - y) ** 2 for x, y in own) for i in range(-12, 54) for j in range(-12, 54)]
+        assert got[g] == pytest.approx(sum(6.25 <= d <= 81 for d in far) / 1e6)
+
+
+def test_whole_groups_keep_rows_of_a_key_together():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 2])], ["k"]) for a in range(0, 10, 2)]
+    parts = [t.column("k").to_pylist() for t in rasters.whole_groups(iter(batches), "k", 3)]
+    assert sum(parts, []) == keys and len(parts) > 1
+    assert all(not set(a) & set(b) for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_resampling_shares_weights_among_known_pixels(spark):
+    blocks = spark.createDataFrame([(0, 0, [1.0, 2.0, None, 4.0])], "block_row long, block_col long, px array<double>")
+    windows = spark.createDataFrame([(1, 0.0, 0.0, 2.0, -2.0), (2, 6.0, 0.0, 8.0, -2.0)], "sample_id long, left double, top double, right double, bottom double")
+    got = {r["sample_id"]: r["px"] for r in rasters.resample_topo(windows, blocks, (0.0, 0.0, 1.0, 1.0), 1, 2, 1).collect()}
+    assert got == {1: [pytest.approx(7 / 3)], 2: [None]}
