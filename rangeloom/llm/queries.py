@@ -82,7 +82,7 @@ def op6_token_counts(docs: DataFrame) -> DataFrame:
 def op7_media(docs: DataFrame) -> DataFrame:
     """Every document as a stored WAV file, with what is read back from it."""
     rows = media_features(stored(encode_media(docs), "media"))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_digest().alias("feature"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_digest().alias("feature"), "peak_times", "peak_codes")
 
 
 @query("op8_quality_rules", quality_sql())
