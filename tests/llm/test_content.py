@@ -363,3 +363,52 @@ def test_empty_tables(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0 and suffixes.without_repeats(nothing).count() == 0
     assert quality.quality_rules(nothing).count() == 0 and quality.accepted(nothing).count() == 0
     assert media.media_features(media.encode_media(nothing)).count() == 0
+
+
+def test_media_fingerprint_by_a_plain_transform(spark):
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdefgh tuvw.XYZ09\n") for _ in range(media.FRAME * 4))
+    x = [b / 128 - 1 for b in text.encode()]
+    frame, hop = media.FRAME, media.HOP
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * n / (frame - 1)) for n in range(frame)]
+    found = []
+    for a in range(0, len(x) - frame + 1, hop):
+        own = np.array([x[a + n] * window[n] for n in range(frame)])
+        mags = [abs((own * np.exp(-2j * np.pi * k * np.arange(frame) / frame)).sum()) for k in range(1, frame // 2 + 1)]
+        floor = media.FLOOR * sum(mags) / len(mags)
+        tops = [k for k in range(1, len(mags) - 1) if mags[k - 1] < mags[k] >= mags[k + 1] and mags[k] > floor]
+        found.append(sorted(tops, key=lambda k: -mags[k])[: media.PEAKS])
+    want = sorted((t, (i << 20) | (j << 8) | gap) for t in range(len(found)) for gap in range(1, media.SPAN + 1) if t + gap < len(found) for i in found[t] for j in found[t + gap])
+    times, codes = media.fingerprint(np.frombuffer(text.encode(), np.uint8))
+    assert want and list(zip(times.tolist(), codes.tolist(), strict=True)) == want
+    row = media.media_features(media.encode_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert list(zip(row.peak_times, row.peak_codes, strict=True)) == want
+
+
+def test_sequence_score_by_single_steps():
+    # The batched score against one symbol at a time: gates, class share and share within the class written out.
+    rng = np.random.default_rng(4)
+    p = gru.initial(np.arange(60, 0, -1), 5, 9)
+    p = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in p.items()}
+    sizes = np.array([7, 1, 40, 12])
+    symbols = rng.choice([*range(60), gru.RARE], int(sizes.sum()))
+    symbols[np.cumsum(sizes) - 1] = gru.END
+    s, want, at = gru.STATE, [], 0
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for n in sizes:
+        h, last = np.zeros(s), gru.END
+        for y in symbols[at : at + n]:
+            x, u = p["embed"][last] @ p["wx"] + p["b"], h @ p["wh"]
+            z, r = sig(x[:s] + u[:s]), sig(x[s : 2 * s] + u[s : 2 * s])
+            h = (1 - z) * np.tanh(x[2 * s :] + r * u[2 * s :]) + z * h
+            logits = h @ p["wc"] + p["bc"]
+            k = int(gru.class_of(np.array([y]))[0])
+            like = logits[k] - np.log(np.exp(logits).sum())
+            if y < gru.FREQUENT:
+                w = slice(k * gru.CLASS_WORDS, (k + 1) * gru.CLASS_WORDS)
+                inner = p["wo"][w] @ h + p["bo"][w]
+                like += inner[y - w.start] - np.log(np.exp(inner).sum())
+            want.append(like)
+            last = y
+        at += n
+    assert np.allclose(gru.score(p, symbols, sizes, width=2), want, atol=1e-3)
