@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import albers_inverse, albers_xy, annulus_offset, cell_row_col
@@ -63,26 +65,89 @@ def as_centres(df: DataFrame, by: list[str], keep: list[str] | None = None) -> D
     return df.select(*by, F.col("x").alias("c_x"), F.col("y").alias("c_y"), *[F.col(k).alias(f"c_{k}") for k in keep or []])
 
 
+def _cells(df: DataFrame, by: list[str], x: str, y: str, side: float, levels: int) -> DataFrame:
+    """Occupied squares of a tree over the points: `lvl`, `cx, cy` and the bounds of what lies in them.
+
+    Level `levels` has squares of `side`; each level above has four times that. Points without a place are in no square.
+    """
+    leaf = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy"))
+    leaf = leaf.agg(F.min(x).alias("x1"), F.max(x).alias("x2"), F.min(y).alias("y1"), F.max(y).alias("y2"))
+    up = leaf.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    up = up.withColumns({c: F.expr(f"shiftright({c}, 2 * ({levels} - lvl))") for c in ("cx", "cy")})
+    return up.groupBy("lvl", *by, "cx", "cy").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+
+
+def _gap(axis: str) -> Column:
+    """Distance along an axis between the bounds of a square of points (p_) and one of centres (q_)."""
+    return F.greatest(F.col(f"q_{axis}1") - F.col(f"p_{axis}2"), F.col(f"p_{axis}1") - F.col(f"q_{axis}2"), F.lit(0.0))
+
+
+def _span(axis: str) -> Column:
+    return F.greatest(F.col(f"q_{axis}2") - F.col(f"p_{axis}1"), F.col(f"p_{axis}2") - F.col(f"q_{axis}1"))
+
+
+#: Relative room for rounding when bounds of distances are compared.
+_SLACK = 1 + 1e-9
+
+
+def _nearest_squares(points: DataFrame, centres: DataFrame, by: list[str], side: float, levels: int, outer_m: float) -> DataFrame:
+    """Pairs of leaf squares that may hold a point and its nearest centre, with `bound`: no point's nearest is farther.
+
+    From the squares of the outer radius down, both sides are cut in sixteen; a pair goes as soon as its smallest distance
+    exceeds the largest one of another pair of the same points. What is left per square of points is a ring of squares.
+    """
+    p, q = (materialize(_cells(d, by, x, y, side, levels), n) for d, x, y, n in ((points, "x", "y", "point_squares"), (centres, "c_x", "c_y", "centre_squares")))
+    box = ["cx", "cy", "x1", "x2", "y1", "y2"]
+    pairs = None
+    for lvl in range(levels + 1):
+        pl = p.filter(F.col("lvl") == lvl).select(*by, *[F.col(c).alias(f"p_{c}") for c in box])
+        ql = q.filter(F.col("lvl") == lvl).select(*[F.col(k).alias(f"q_{k}") for k in by], *[F.col(c).alias(f"q_{c}") for c in box])
+        same = F.lit(True)
+        for k in by:
+            same = same & (F.col(k) == F.col(f"q_{k}"))
+        if pairs is None:
+            near = F.sequence(F.lit(-1), F.lit(1))
+            ql = ql.withColumn("_x", F.explode(near)).withColumn("_y", F.explode(near))
+            on = same & (F.col("p_cx") == F.col("q_cx") + F.col("_x")) & (F.col("p_cy") == F.col("q_cy") + F.col("_y"))
+            pairs = pl.join(ql, on).drop("_x", "_y", *[f"q_{k}" for k in by])
+        else:
+            up = pairs.select(*by, *[F.col(f"{s}_{c}").alias(f"_{s}{c}") for s in "pq" for c in ("cx", "cy")])
+            pl = pl.withColumns({"_pcx": F.shiftright("p_cx", 2), "_pcy": F.shiftright("p_cy", 2)})
+            ql = ql.withColumns({"_qcx": F.shiftright("q_cx", 2), "_qcy": F.shiftright("q_cy", 2)}).withColumnsRenamed({f"q_{k}": k for k in by})
+            pairs = up.join(pl, [*by, "_pcx", "_pcy"]).join(ql, [*by, "_qcx", "_qcy"]).drop("_pcx", "_pcy", "_qcx", "_qcy")
+        lo, hi = (F.sqrt(f("x") * f("x") + f("y") * f("y")) for f in (_gap, _span))
+        # The pairs of one square of points are a bounded group.
+        w = W.partitionBy(*by, "p_cx", "p_cy")
+        pairs = pairs.withColumn("_lo", lo).withColumn("bound", F.least(F.min(hi).over(w) * _SLACK, F.lit(float(outer_m))))
+        pairs = pairs.filter(F.col("_lo") <= F.col("bound")).drop("_lo")
+        if lvl % 3 == 2 or lvl == levels:
+            pairs = materialize(pairs, "square_pairs")
+    return pairs
+
+
 def nearest_presence(points: DataFrame, centres: DataFrame, by: list[str], ident: str, start_m: float, outer_m: float) -> DataFrame:
     """Distance in km from each point to its nearest centre within `outer_m`; NULL beyond.
 
-    Rings: points whose nearest centre lies within the radius are settled, only the rest is retried
-    with twice the radius, so dense areas never meet a wide search.
+    Two trees of squares, down to about `start_m`, are searched in pairs; points meet only the centres of
+    the leaf squares that the bounds leave, so neither dense nor empty areas cause a wide search.
     """
-    todo, done, radius = points, None, min(start_m, outer_m)
-    while True:
-        dx, dy = F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y")
-        hit = grid_join(todo, centres, by, radius, "inner", ident, reach=2)
-        best = materialize(hit.groupBy(ident).agg(F.sqrt(F.min(dx * dx + dy * dy)).alias("_m")), "rings")
-        done = best if done is None else done.unionByName(best)
-        if radius >= outer_m:
-            break
-        todo = materialize(todo.join(best, ident, "left_anti"), "rings_left")
-        if todo.isEmpty():
-            break
-        radius = min(radius * 2, outer_m)
-    out = points.join(done, ident, "left")
-    return out.withColumn("nearest_presence_km", F.col("_m") / 1000.0).drop("_m")
+    levels = max(0, math.ceil(math.log(outer_m / min(start_m, outer_m), 4) - 0.25))
+    side = outer_m / 4**levels
+    # Both sides are read several times: as narrow rows, stored once.
+    near = materialize(points.select(*by, ident, "x", "y"), "points")
+    centres = materialize(centres.select(*by, "c_x", "c_y"), "centres")
+    # Squares of the outer radius: every centre within it lies in the square of the point or next to it.
+    pairs = _nearest_squares(near, centres, by, side, levels, outer_m)
+    c = centres.withColumns({"q_cx": F.floor(F.col("c_x") / side), "q_cy": F.floor(F.col("c_y") / side)})
+    c = salted_join(pairs.drop(*[f"q_{k}" for k in ("x1", "x2", "y1", "y2")]), c, [*by, "q_cx", "q_cy"], "inner", "p_cx")
+    gx, gy = (F.greatest(F.col(f"c_{a}") - F.col(f"p_{a}2"), F.col(f"p_{a}1") - F.col(f"c_{a}"), F.lit(0.0)) for a in "xy")
+    c = c.filter(gx * gx + gy * gy <= F.col("bound") * F.col("bound") * _SLACK).select(*by, "p_cx", "p_cy", "c_x", "c_y")
+    near = near.withColumns({"p_cx": F.floor(F.col("x") / side), "p_cy": F.floor(F.col("y") / side)})
+    dx, dy = F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y")
+    met = salted_join(near, c, [*by, "p_cx", "p_cy"], "inner", ident)
+    best = met.groupBy(ident).agg(F.min(dx * dx + dy * dy).alias("_d2")).filter(F.col("_d2") <= outer_m * outer_m)
+    out = points.join(best, ident, "left")
+    return out.withColumn("nearest_presence_km", F.sqrt("_d2") / 1000.0).drop("_d2")
 
 
 def in_annulus(
