@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Climate layers, base predictors and terrain scalars in contract order.
 CLIMATE = [f"wc2.1_30s_bio_{i}" for i in range(1, 20)]
 ENVIRONMENT = [*CLIMATE, "ghm"]
@@ -31,6 +34,18 @@ FAMILY_ALIASES = {
         "naip_topo_climate", "naip_climate_topo", "full",
     ],
 }
+# Class names that stored settings use for the families.
+FAMILY_CLASSES = {
+    "image_only": ["HostImageryOnlyModel"],
+    "tabular_only": ["HostClimateOnlyModel", "HostTabularOnlyModel"],
+    "topo_only": ["HostTopoOnlyModel"],
+    "image_tabular": ["HostImageryClimateModel", "HostImageTabularModel"],
+    "topo_tabular": ["HostTopoClimateModel", "HostTopoTabularModel"],
+    "image_topo": ["HostImageTopoModel", "HostImageryTopoModel"],
+    "image_topo_tabular": [
+        "HostImageClimateTopoModel", "HostImageryClimateTopoModel", "HostImageTopoClimateModel", "HostNAIPTopoClimateModel",
+    ],
+}
 # Terrain mean and standard deviation of the 30 m national grid.
 TERRAIN_STATS = {
     "elevation": (726.2603002867634, 726.1498602385226),
@@ -43,12 +58,25 @@ COORD_STATS = {"lat": (39.34043295, 4.24367101), "lon": (-90.41125129, 15.360624
 
 
 def canonical_family(name: str) -> str:
-    """Canonical family of a spelling; unknown spellings raise."""
-    key = name.strip().lower()
-    for family, others in FAMILY_ALIASES.items():
-        if key == family or key in others:
-            return family
-    raise ValueError(f"unknown model family: {name!r}")
+    """Canonical family of a spelling or a class name; unknown ones raise."""
+    family = _spellings().get(name.strip()) or _spellings().get(name.strip().lower())
+    if family is None:
+        raise ValueError(f"unknown model family: {name!r}")
+    return family
+
+
+def _spellings() -> dict[str, str]:
+    """Spelling or class name to family."""
+    return {n: f for f, others in FAMILY_ALIASES.items() for n in (f, *others, *FAMILY_CLASSES[f])}
+
+
+def family_column(name: Column) -> Column:
+    """Canonical family of each spelling or class name; NULL stays, an unknown one raises."""
+    table = F.create_map(*[F.lit(x) for pair in _spellings().items() for x in pair])
+    key = F.trim(name)
+    found = F.coalesce(F.try_element_at(table, key), F.try_element_at(table, F.lower(key)))
+    wrong = F.raise_error(F.concat(F.lit("unknown model family: "), name)).cast("string")
+    return F.when(name.isNotNull(), F.coalesce(found, wrong))
 
 
 def family_inputs(name: str) -> set[str]:
