@@ -48,6 +48,70 @@ def layer_stats(pixels: DataFrame) -> DataFrame:
     )
 
 
+def block_moments(blocks: DataFrame, n_bands: int, side: int) -> DataFrame:
+    """Per block and layer: `n`, mean, squared deviations `m2`, least and greatest present value; stored, they stand for the pixels."""
+    plane = side * side
+
+    def one(k: Column) -> Column:
+        v = F.filter(F.slice("px", k * plane + 1, F.lit(plane)), finite)
+        mean = _mean(v)
+        dev = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return F.struct(k.alias("layer"), F.size(v).cast("long").alias("n"), mean.alias("mean"), dev.alias("m2"), F.array_min(v).alias("min"), F.array_max(v).alias("max"))
+
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), one)).alias("s")
+    return blocks.select("block_row", "block_col", parts).select("block_row", "block_col", "s.*").filter("n > 0")
+
+
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """Statistics per layer from the moments of disjoint parts."""
+    total = parts.groupBy("layer").agg(F.sum("n").alias("count"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"))
+    d = parts.join(total, "layer")
+    dev = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m"))
+    return d.groupBy("layer").agg(
+        F.first("_m").alias("mean"), F.sqrt(F.sum(dev) / F.sum("n")).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n").alias("count")
+    )
+
+
+def footprint_stats(
+    blocks: DataFrame, moments: DataFrame, tiles: DataFrame, grid: tuple[float, float, float, float], n_bands: int, side: int, buffer_deg: float = 0.01
+) -> DataFrame:
+    """Statistics per layer over the pixels whose centre lies in the buffered footprint of the tiles.
+
+    Blocks that lie in one tile as a whole count with their stored `moments`; only of blocks across an edge are
+    pixels read, and of no others.
+    """
+    x0, y0, dx, dy = grid
+    wide = tiles.select(
+        (F.col("minx") - buffer_deg).alias("minx"), (F.col("maxx") + buffer_deg).alias("maxx"),
+        (F.col("miny") - buffer_deg).alias("miny"), (F.col("maxy") + buffer_deg).alias("maxy"),
+    )
+    # Pixel rows and columns whose centres a tile holds, and the blocks these fall in.
+    t = wide.select(
+        F.ceil((F.col("minx") - x0) / dx - 0.5).alias("c1"), F.floor((F.col("maxx") - x0) / dx - 0.5).alias("c2"),
+        F.ceil((F.lit(y0) - F.col("maxy")) / dy - 0.5).alias("r1"), F.floor((F.lit(y0) - F.col("miny")) / dy - 0.5).alias("r2"),
+    )
+    t = t.filter("c1 <= c2 AND r1 <= r2")
+    for axis, a, b in (("block_row", "r1", "r2"), ("block_col", "c1", "c2")):
+        t = t.withColumn(axis, F.explode(F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side))))
+    whole = F.lit(True)
+    for axis, a, b in (("block_row", "r1", "r2"), ("block_col", "c1", "c2")):
+        whole = whole & (F.col(a) <= F.col(axis) * side) & (F.col(b) >= F.col(axis) * side + side - 1)
+    met = materialize(t.groupBy("block_row", "block_col").agg(F.bool_or(whole).alias("whole")), "footprint_blocks")
+    inner = moments.join(met.filter("whole"), ["block_row", "block_col"], "left_semi")
+    edge = blocks.join(met.filter("NOT whole"), ["block_row", "block_col"], "left_semi")
+    at = F.col("_i") % (side * side)
+    px = edge.select("block_row", "block_col", F.posexplode("px").alias("_i", "v")).filter(finite(F.col("v"))).select(
+        F.floor(F.col("_i") / (side * side)).cast("int").alias("layer"), (F.col("block_row") * side + F.floor(at / side)).alias("r"),
+        (F.col("block_col") * side + at % side).alias("c"), "v",
+    )
+    px = mask_pixels(px, tiles, F.lit(x0) + (F.col("c") + 0.5) * dx, F.lit(y0) - (F.col("r") + 0.5) * dy, buffer_deg)
+    rim = px.groupBy("layer").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("_v"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    rim = rim.withColumn("m2", F.col("_v") * F.col("n")).drop("_v")
+    return merge_moments(inner.drop("block_row", "block_col").unionByName(rim))
+
+
 def mask_pixels(pixels: DataFrame, tiles: DataFrame, x: Column, y: Column, buffer_deg: float = 0.01) -> DataFrame:
     """Pixels whose centre (`x`, `y` in degrees) lies in the buffered footprint of the tiles."""
     wide = tiles.select(
@@ -197,6 +261,73 @@ def rotate(df: DataFrame, px: str, angle: str, bands: int, h: int, w: int) -> Da
     return df.mapInPandas(run, schema)
 
 
+def augment_batch(stack: np.ndarray, angle: np.ndarray, hflip: np.ndarray, vflip: np.ndarray) -> np.ndarray:
+    """Rotate (chips, bands, h, w) counter-clockwise about the centre, each by its angle, then mirror; bilinear, 0 outside."""
+    n, bands, h, w = stack.shape
+    t = np.deg2rad(angle)[:, None, None]
+    xx = (np.arange(w) - (w - 1) / 2)[None, None, :] * np.where(hflip, -1.0, 1.0)[:, None, None]
+    yy = (np.arange(h) - (h - 1) / 2)[None, :, None] * np.where(vflip, -1.0, 1.0)[:, None, None]
+    sx, sy = np.cos(t) * xx - np.sin(t) * yy + (w - 1) / 2, np.sin(t) * xx + np.cos(t) * yy + (h - 1) / 2
+    x0, y0 = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
+    flat, out = stack.reshape(n, bands, h * w), np.zeros((n, bands, h * w))
+    for oy in (0, 1):
+        for ox in (0, 1):
+            x, y = x0 + ox, y0 + oy
+            inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+            weight = np.where(inside, (1 - np.abs(sx - x)) * (1 - np.abs(sy - y)), 0.0).reshape(n, 1, h * w)
+            at = (y.clip(0, h - 1) * w + x.clip(0, w - 1)).reshape(n, 1, h * w)
+            out += weight * np.take_along_axis(flat, np.broadcast_to(at, out.shape), 2)
+    return out.reshape(stack.shape)
+
+
+def turn_vectors(stack: np.ndarray, north: int, east: int, angle: np.ndarray, hflip: np.ndarray, vflip: np.ndarray) -> None:
+    """Turn and mirror the direction that two bands hold, in place, as `augment_batch` does with the pixels."""
+    t = np.deg2rad(angle)[:, None, None]
+    n, e = stack[:, north].copy(), stack[:, east].copy()
+    stack[:, east] = (np.cos(t) * e - np.sin(t) * n) * np.where(hflip, -1.0, 1.0)[:, None, None]
+    stack[:, north] = (np.sin(t) * e + np.cos(t) * n) * np.where(vflip, -1.0, 1.0)[:, None, None]
+
+
+def augment(
+    df: DataFrame, ident: str, chips: dict[str, tuple[int, int, int]], seed: int, degrees: float, p_h: float, p_v: float,
+    where: Column | None = None, vectors: dict[str, tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Rotate and mirror the chip columns of the rows that meet `where` (training rows), all chips of a row alike.
+
+    `chips` gives bands, height and width of each column; missing pixels of a turned chip count as 0. Other rows keep
+    their pixels and have no `angle`. `vectors` names the two bands (northness, eastness, before any z-score) of a
+    column that hold a direction: it is turned along with the pixels. A row without a chip keeps none.
+    """
+    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    d = augment_params(df, ident, seed, degrees, p_h, p_v)
+    d = d.withColumns({"angle": F.when(on, F.col("angle")), "hflip": on & F.col("hflip"), "vflip": on & F.col("vflip")})
+    d = d.withColumns({c: F.col(c).cast("array<double>") for c in chips})
+    turned = vectors or {}
+
+    def run(batches):
+        for b in batches:
+            angle = b.column("angle").to_numpy(zero_copy_only=False)
+            hf, vf = (b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("hflip", "vflip"))
+            for name, (bands, h, w) in chips.items():
+                size = bands * h * w
+                flat, start, there = _flat(pa.chunked_array([b.column(name)]))
+                values = flat[start[there][:, None] + np.arange(size)] if there.any() else np.zeros((0, size))
+                rows = np.flatnonzero(there)
+                todo = np.flatnonzero(~np.isnan(angle[rows]))
+                for k in np.array_split(todo, max(1, len(todo) * size // CHIP_CELLS)):
+                    p = [v[rows[k]] for v in (angle, hf, vf)]
+                    out = augment_batch(np.nan_to_num(values[k]).reshape(len(k), bands, h, w), *p)
+                    if name in turned:
+                        turn_vectors(out, *turned[name], *p)
+                    values[k] = out.reshape(len(k), size)
+                items = pa.array(values.ravel(), mask=np.isnan(values.ravel()))
+                ends = np.concatenate([[0], np.cumsum(np.where(there, size, 0))]).astype(np.int32)
+                b = b.set_column(b.schema.get_field_index(name), name, pa.ListArray.from_arrays(pa.array(ends), items, mask=pa.array(~there)))
+            yield b
+
+    return d.mapInArrow(run, d.schema)
+
+
 # --- cutting chips from blocks --------------------------------------------------------------
 
 

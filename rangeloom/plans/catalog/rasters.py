@@ -78,6 +78,29 @@ def layer_stats(i: Inputs):
     return r.layer_stats(i.env_pixel).select("layer", rnd("mean"), rnd("std"), "min", "max", "count")
 
 
+@query(
+    "R1_footprint_stats", ["env_pixel", "tile_idx"],
+    """SELECT concat('v', layer) AS var, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max, count(v) AS "count" FROM env_pixel
+ WHERE EXISTS (SELECT 1 FROM tile_idx WHERE downloaded AND -130 + (c + 0.5) / 8 BETWEEN minx - 0.01 AND maxx + 0.01 AND 50 - (r + 0.5) / 8 BETWEEN miny - 0.01 AND maxy + 0.01) GROUP BY layer""",
+)
+def footprint_stats(i: Inputs):
+    from ...session import materialize, scratch_path
+    from ...sources import stats
+
+    # Blocks of 4 x 4 pixels, so that some lie in a half-degree tile as a whole.
+    path, names = scratch_path(i.spark, "layer_stats"), [f"v{k}" for k in range(20)]
+    blocks = materialize(r.to_blocks(i.env_pixel, [], "layer", 20, 4), "env_blocks")
+    moments = materialize(r.block_moments(blocks, 20, 4), "moments")
+
+    def compute():
+        d = r.footprint_stats(blocks, moments, i.tile_idx.filter("downloaded"), ENV_GRID, 20, 4)
+        return d.withColumn("var", F.concat(F.lit("v"), "layer")).drop("layer")
+
+    stats.stored_stats(i.spark, path, names, compute, "worldclim_stats")
+    # The second call finds them stored.
+    return stats.stored_stats(i.spark, path, names, compute).select("var", rnd("mean"), rnd("std"), "min", "max", "count")
+
+
 @query(
     "J13_mask_pixels", ["env_pixel", "tile_idx"],
     """SELECT r, c, layer, v FROM env_pixel WHERE EXISTS (SELECT 1 FROM tile_idx WHERE downloaded AND -130 + (c + 0.5) / 8 BETWEEN minx - 0.01 AND maxx + 0.01 AND 50 - (r + 0.5) / 8 BETWEEN miny - 0.01 AND maxy + 0.01)""",
@@ -278,6 +301,41 @@ def augment_paired(i: Inputs):
     return r.augment_params(d, "vec_id", 7, 30.0, 0.5, 0.25).withColumn("angle", F.round("angle", 6))
 
 
+def _turned_sql(seed: int, train: str) -> str:
+    """Bilinear weights of every turned and mirrored pixel of the training rows, written out."""
+    u = [_U.format(s=seed, d=k) for k in range(3)]
+    return f"""prm AS (SELECT vec_id, radians(({u[0]} * 2 - 1) * 30) AS t, CASE WHEN {u[1]} < 0.5 THEN -1 ELSE 1 END AS fx, CASE WHEN {u[2]} < 0.25 THEN -1 ELSE 1 END AS fy FROM embeddings WHERE {train}),
+ src AS (SELECT *, cos(t) * (x - 1.5) * fx - sin(t) * (y - 1.5) * fy + 1.5 AS sx, sin(t) * (x - 1.5) * fx + cos(t) * (y - 1.5) * fy + 1.5 AS sy
+   FROM prm, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x)),
+ nb AS (SELECT *, CAST(floor(sx) AS BIGINT) + ox AS nx, CAST(floor(sy) AS BIGINT) + oy AS ny FROM src, (VALUES (0),(1)) o(ox), (VALUES (0),(1)) q(oy)),
+ trn AS (SELECT s.vec_id, b.band, s.y, s.x, any_value(t) AS t, any_value(fx) AS fx, any_value(fy) AS fy, sum((1 - abs(sx - nx)) * (1 - abs(sy - ny)) * coalesce(p.v, 0)) AS v
+   FROM nb s CROSS JOIN (SELECT unnest(range(4)) AS band) b LEFT JOIN chip_pixel p ON p.vec_id = s.vec_id AND p.band = b.band AND p.y = ny AND p.x = nx GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "R14_augment_chips", ["embeddings", "chip_pixel"],
+    f"WITH {_turned_sql(42, 'vec_id % 5 <> 0')} SELECT vec_id, band, y, x, round(coalesce(v, 0), 6) + 0 AS v FROM trn UNION ALL SELECT vec_id, band, y, x, v FROM chip_pixel WHERE vec_id % 5 = 0",
+)
+def augment_chips(i: Inputs):
+    d = r.augment(chip_rows(i), "vec_id", {"px": (4, 4, 4)}, 42, 30.0, 0.5, 0.25, F.col("vec_id") % 5 != 0)
+    return pixels(d, F.col("px")).withColumn("v", F.round("v", 6))
+
+
+@query(
+    "R15_augment_paired_chips", ["embeddings", "chip_pixel"],
+    f"""WITH {_turned_sql(7, 'vec_id % 5 <> 0')}, dir AS (SELECT vec_id, y, x, any_value(t) AS t, any_value(fx) AS fx, any_value(fy) AS fy, sum(coalesce(v, 0)) FILTER (band = 2) AS n, sum(coalesce(v, 0)) FILTER (band = 3) AS e FROM trn GROUP BY 1, 2, 3),
+ alls AS (SELECT 'image' AS kind, vec_id, band, y, x, coalesce(v, 0) AS v FROM trn UNION ALL SELECT 'topo', vec_id, band, y, x, coalesce(v, 0) FROM trn WHERE band < 2
+   UNION ALL SELECT 'topo', vec_id, 2, y, x, (sin(t) * e + cos(t) * n) * fy FROM dir UNION ALL SELECT 'topo', vec_id, 3, y, x, (cos(t) * e - sin(t) * n) * fx FROM dir
+   UNION ALL SELECT kind, vec_id, band, y, x, v FROM chip_pixel, (VALUES ('image'), ('topo')) k(kind) WHERE vec_id % 5 = 0)
+ SELECT kind, vec_id, band, y, x, round(v, 5) AS v FROM alls""",
+)
+def augment_paired_chips(i: Inputs):
+    both = chip_rows(i).withColumn("topo", F.col("px"))
+    d = r.augment(both, "vec_id", {"px": (4, 4, 4), "topo": (4, 4, 4)}, 7, 30.0, 0.5, 0.25, F.col("vec_id") % 5 != 0, {"topo": (2, 3)})
+    parts = [pixels(d, F.col(c)).withColumn("kind", F.lit(k)) for c, k in (("px", "image"), ("topo", "topo"))]
+    return parts[0].unionByName(parts[1]).withColumn("v", F.round("v", 5))
+
+
 @query("R17_encode_nodata", ["chip_pixel"], "SELECT vec_id, band, y, x, coalesce(v, -9999) AS v FROM chip_pixel")
 def encode_nodata(i: Inputs):
     return pixels(chip_rows(i), arrays.encode_nodata(F.col("px")))

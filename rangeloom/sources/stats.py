@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import finite
+from ..session import materialize
 
 # Wrapper keys, tried in this order.
 WRAPPERS = ["worldclim_stats", "lat_lon_stats", "topo_normalization_stats", "stats"]
@@ -40,3 +44,18 @@ def write_stats(stats: DataFrame, path: str, wrapper: str | None = None) -> None
     one = stats.agg(F.map_from_entries(F.collect_list(F.struct("var", F.struct(*cols)))).alias("m"))
     doc = F.to_json(F.struct(F.col("m").alias(wrapper))) if wrapper else F.to_json("m")
     one.select(doc.alias("value")).write.text(path)
+
+
+def stored_stats(spark: SparkSession, path: str, names: list[str], compute: Callable[[], DataFrame], wrapper: str | None = None) -> DataFrame:
+    """The checked statistics kept at `path`; where nothing is kept yet, `compute` gives them and they are written first.
+
+    A variable that is missing or has no positive deviation raises, and then nothing is written.
+    """
+    try:
+        return check_stats(read_stats(spark, path), names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    found = materialize(compute(), "statistics")
+    write_stats(check_stats(found, names), path, wrapper)
+    return read_stats(spark, path)

@@ -490,3 +490,90 @@ def test_resampling_shares_weights_among_known_pixels(spark):
     windows = spark.createDataFrame([(1, 0.0, 0.0, 2.0, -2.0), (2, 6.0, 0.0, 8.0, -2.0)], "sample_id long, left double, top double, right double, bottom double")
     got = {r["sample_id"]: r["px"] for r in rasters.resample_topo(windows, blocks, (0.0, 0.0, 1.0, 1.0), 1, 2, 1).collect()}
     assert got == {1: [pytest.approx(7 / 3)], 2: [None]}
+
+
+def test_nearest_over_empty_and_crowded_areas(spark):
+    d, xy = cloud(spark, 150)
+    g = np.random.default_rng(5)
+    # A crowd far from most points, a few single centres, and a point and a centre without a place.
+    cxy = np.concatenate([g.normal(90000, 200, (400, 2)), g.uniform(-60000, 60000, (6, 2)), xy[:1]])
+    c = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(cxy)] + [(999, None, 0.0)], "id long, x double, y double").withColumn("g", F.lit(0))
+    d = d.unionByName(spark.createDataFrame([(900, 80000.0, 70000.0, 0, "k"), (901, None, None, 0, "k"), (902, 5.0, 5.0, 7, "k")], "id long, x double, y double, g int, k string"))
+    cen = sampling.as_centres(c, ["g"])
+    for start, outer in ((40.0, 200000.0), (3000.0, 30000.0), (5000.0, 5000.0)):
+        got = {r["id"]: r["nearest_presence_km"] for r in sampling.nearest_presence(d, cen, ["g"], "id", start, outer).collect()}
+        assert len(got) == 153 and got[901] is None and got[902] is None
+        for i, p in [*enumerate(xy), (900, np.array([80000.0, 70000.0]))]:
+            want = np.sqrt(((cxy - p) ** 2).sum(1).min())
+            assert got[i] is None if want > outer else abs(got[i] * 1000 - want) < 1e-6
+
+
+def test_turned_chips_of_training_rows(spark):
+    g = np.random.default_rng(1)
+    chips = g.uniform(1, 9, (40, 2 * 5 * 6)).round(3)
+    rows_in = [(i, "train" if i % 4 else "test", None if i == 5 else [None if k == i else float(v) for k, v in enumerate(c)]) for i, c in enumerate(chips)]
+    d = spark.createDataFrame(rows_in, "id long, split string, px array<double>").repartition(3)
+    got = {r["id"]: r for r in rasters.augment(d, "id", {"px": (2, 5, 6)}, 3, 45.0, 0.5, 0.5, F.col("split") == "train", {"px": (0, 1)}).collect()}
+    for i, split, px in rows_in:
+        r = got[i]
+        if split == "test" or px is None:
+            assert r["px"] == px
+            continue
+        want = rasters.rotate_kernel(np.array([v or 0.0 for v in px]).reshape(2, 5, 6), r["angle"])
+        want = want[:, :, ::-1] if r["hflip"] else want
+        want = want[:, ::-1] if r["vflip"] else want
+        t = np.deg2rad(r["angle"])
+        n, e = want[0], want[1]
+        e2 = (np.cos(t) * e - np.sin(t) * n) * (-1 if r["hflip"] else 1)
+        n2 = (np.sin(t) * e + np.cos(t) * n) * (-1 if r["vflip"] else 1)
+        assert np.allclose(np.array(r["px"]).reshape(2, 5, 6), np.stack([n2, e2]))
+    assert {got[i]["hflip"] for i in got if i % 4} == {True, False}
+    assert rasters.augment(d.filter("id < 0"), "id", {"px": (2, 5, 6)}, 3, 45.0, 0.5, 0.5).count() == 0
+
+
+def test_vectors_turn_with_the_pixels():
+    # A field that points north everywhere points west after a quarter turn counter-clockwise.
+    field = np.zeros((1, 2, 3, 3))
+    field[:, 0] = 1.0
+    no, quarter = np.array([False]), np.array([90.0])
+    out = rasters.augment_batch(field, quarter, no, no)
+    rasters.turn_vectors(out, 0, 1, quarter, no, no)
+    assert np.allclose(out[0, 0], 0.0) and np.allclose(out[0, 1], -1.0)
+
+
+def test_statistics_from_stored_moments(spark):
+    g = np.random.default_rng(2)
+    px = [(b, y, x, None if (b + y + x) % 7 == 0 else float(g.normal(1e6 * b, 3))) for b in (0, 1) for y in range(8) for x in range(8)]
+    pixel = spark.createDataFrame(px, "layer int, r long, c long, v double")
+    blocks = rasters.to_blocks(pixel, [], "layer", 2, 4)
+    moments = rasters.block_moments(blocks, 2, 4).cache()
+    want = {r["layer"]: r for r in rasters.layer_stats(pixel).collect()}
+    for r in rasters.merge_moments(moments.drop("block_row", "block_col")).collect():
+        assert r["count"] == want[r["layer"]]["count"] and abs(r["std"] - want[r["layer"]]["std"]) < 1e-9 and abs(r["mean"] - want[r["layer"]]["mean"]) < 1e-6
+    # One tile over the first block and half of the next: pixels of the far blocks may not count, nor be read.
+    tiles_in = spark.createDataFrame([(0.0, -4.0, 6.0, 0.0)], "minx double, miny double, maxx double, maxy double")
+    got = {r["layer"]: r for r in rasters.footprint_stats(blocks, moments, tiles_in, (0.0, 0.0, 1.0, 1.0), 2, 4).collect()}
+    for b in (0, 1):
+        v = [p[3] for p in px if p[0] == b and p[1] < 4 and p[2] < 6 and p[3] is not None]
+        assert got[b]["count"] == len(v) and abs(got[b]["mean"] - np.mean(v)) < 1e-6 and abs(got[b]["std"] - np.std(v)) < 1e-9
+
+
+def test_statistics_are_computed_once(spark):
+    path, calls = scratch_path(spark, "kept"), []
+
+    def compute(std=2.0):
+        calls.append(std)
+        return spark.createDataFrame([("a", 1.0, std, 0.0, 3.0, 5)], "var string, mean double, std double, min double, max double, count long")
+
+    with pytest.raises(ValueError):
+        stats.stored_stats(spark, path, ["a"], lambda: compute(0.0))
+    first = rows(stats.stored_stats(spark, path, ["a"], compute, "stats"))
+    assert rows(stats.stored_stats(spark, path, ["a"], compute)) == first and calls == [0.0, 2.0]
+
+
+def test_family_spellings(spark):
+    assert names.canonical_family("HostNAIPTopoClimateModel") == "image_topo_tabular"
+    d = spark.createDataFrame([(" Climate_Only ",), ("HostTopoOnlyModel",), (None,)], "m string")
+    assert rows(d.select(names.family_column(F.col("m")).alias("f")).filter("f IS NOT NULL")) == [("tabular_only",), ("topo_only",)]
+    with pytest.raises(Exception, match="unknown model family"):
+        spark.createDataFrame([("hosttopoonlymodel",)], "m string").select(names.family_column(F.col("m"))).collect()
