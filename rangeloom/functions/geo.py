@@ -113,8 +113,8 @@ def _central_meridian(zone: Column) -> Column:
     return zone.cast("double") * 6 - 183
 
 
-def utm_xy(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
-    """EPSG:4326 to UTM metres of `zone` (northern numbering; false northing added south of the equator)."""
+def utm_xy(lat: Column, lon: Column, zone: Column, northern: Column | None = None) -> tuple[Column, Column]:
+    """EPSG:4326 to UTM metres of `zone`; southern zones (`northern` false, by default south of the equator) have a false northing."""
     e = _TM["e"]
     s = F.sin(F.radians(lat))
     dlon = F.radians(lon - _central_meridian(zone))
@@ -126,14 +126,15 @@ def utm_xy(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
         east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
         north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
     k = UTM_K0 * _TM["radius"]
-    false_n = F.when(lat < 0, UTM_SOUTH_NORTHING).otherwise(0.0)
+    false_n = F.when(lat < 0 if northern is None else ~northern, UTM_SOUTH_NORTHING).otherwise(0.0)
     return east * k + UTM_FALSE_EASTING, north * k + false_n
 
 
-def utm_inverse(x: Column, y: Column, zone: Column, north: bool = True) -> tuple[Column, Column]:
-    """UTM metres of `zone` to (lat, lon) degrees."""
+def utm_inverse(x: Column, y: Column, zone: Column, north: bool | Column = True) -> tuple[Column, Column]:
+    """UTM metres of `zone` to (lat, lon) degrees; `north` may differ by row."""
     k = UTM_K0 * _TM["radius"]
-    xi = (y - (0.0 if north else UTM_SOUTH_NORTHING)) / k
+    south = F.when(north, 0.0).otherwise(UTM_SOUTH_NORTHING) if isinstance(north, Column) else 0.0 if north else UTM_SOUTH_NORTHING
+    xi = (y - south) / k
     eta = (x - UTM_FALSE_EASTING) / k
     xi0, eta0 = xi, eta
     for j, b in enumerate(_TM["beta"], 1):

@@ -23,10 +23,15 @@ def chip_grid(tiles: DataFrame, chip: int, stride: int) -> DataFrame:
     return d.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - chip, F.lit(stride).cast("long"))))
 
 
+def _north(tiles: DataFrame) -> Column:
+    """Whether a tile's zone is a northern one; tables without the column `north` hold northern tiles."""
+    return F.coalesce(F.col("north"), F.lit(True)) if "north" in tiles.columns else F.lit(True)
+
+
 def chip_centre(chips: DataFrame, chip: int) -> DataFrame:
-    """Longitude and latitude of each chip's centre, from the tile's origin, pixel size and UTM zone."""
+    """Longitude and latitude of each chip's centre, from the tile's origin, pixel size and UTM zone (`north` false: a southern one)."""
     x, y = pixel_to_map(F.col("row") + chip / 2, F.col("col") + chip / 2, F.col("x0"), F.col("y0"), F.col("px_size"), F.col("px_size"))
-    lat, lon = utm_inverse(x, y, F.col("zone"))
+    lat, lon = utm_inverse(x, y, F.col("zone"), _north(chips))
     return chips.withColumn("lat", lat).withColumn("lon", lon)
 
 
@@ -107,17 +112,17 @@ def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float)
     pixels through the square they fall in. Target pixels without a valid neighbour are left out.
     """
     corner = F.explode(F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c")) for r in ("_zero", "height") for c in ("_zero", "width")]))
-    d = tiles.withColumn("_zero", F.lit(0).cast("long")).withColumn("_k", corner)
+    d = tiles.withColumn("_north", _north(tiles)).withColumn("_zero", F.lit(0).cast("long")).withColumn("_k", corner)
     px, py = pixel_to_map(F.col("_k.r"), F.col("_k.c"), F.col("x0"), F.col("y0"), F.col("px_size"), F.col("px_size"))
-    lat, lon = utm_inverse(px, py, F.col("zone"))
+    lat, lon = utm_inverse(px, py, F.col("zone"), F.col("_north"))
     ax, ay = albers_xy(F.col("_lat"), F.col("_lon"))
     d = d.withColumn("_lat", lat).withColumn("_lon", lon).withColumn("_ax", F.floor(ax / res)).withColumn("_ay", F.floor(ay / res))
-    info = ["tile_id", "height", "width", "x0", "y0", "px_size", "zone"]
+    info = ["tile_id", "height", "width", "x0", "y0", "px_size", "zone", "_north"]
     t = d.groupBy(*info).agg(*[f(c).alias(n) for n, f, c in (("_x1", F.min, "_ax"), ("_x2", F.max, "_ax"), ("_y1", F.min, "_ay"), ("_y2", F.max, "_ay"))])
     t = t.withColumn("gy", F.explode(F.sequence("_y1", "_y2"))).withColumn("gx", F.explode(F.sequence("_x1", "_x2")))
     lat, lon = albers_inverse((F.col("gx") + 0.5) * res, (F.col("gy") + 0.5) * res)
     t = t.withColumn("_lat", lat).withColumn("_lon", lon)
-    ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"))
+    ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"), F.col("_north"))
     t = t.withColumn("u", (ux - F.col("x0")) / F.col("px_size") - 0.5).withColumn("v", (F.col("y0") - uy) / F.col("px_size") - 0.5)
     # Stored, so that the filters below are not pushed into (and repeat) the projection arithmetic.
     t = materialize(t.select("tile_id", "height", "width", "gx", "gy", "u", "v"), "targets")

@@ -375,6 +375,17 @@ def chip_centre(i: Inputs):
     return d.select("tile_id", "row", "col", rnd("lat", 7), rnd("lon", 7))
 
 
+@query(
+    "T2_chip_centre_south", ["utm_tile"],
+    f"WITH {_GRID.format(t='utm_tile')}, c AS (SELECT *, x0 + col + 128 AS mx, y0 + row + 128 AS my FROM grid), {_utm_inverse_sql('mx', 'my', 'c')} SELECT tile_id, row, col, round(-lat, 7) AS lat, round(lon, 7) AS lon FROM ll",
+)
+def chip_centre_south(i: Inputs):
+    # The same tiles mirrored at the equator.
+    south = i.utm_tile.withColumn("y0", 10_000_000 - F.col("y0")).withColumn("north", F.lit(False))
+    d = t.chip_centre(t.chip_grid(south, 256, 128), 256)
+    return d.select("tile_id", "row", "col", rnd("lat", 7), rnd("lon", 7))
+
+
 _CHIPIN = """WITH p AS (SELECT vec_id, y, x, count(v) AS k, max(v) AS hi FROM chip_pixel GROUP BY 1, 2, 3),
  q AS (SELECT vec_id, avg(CASE WHEN k = 4 AND hi <> 0 THEN 1.0 ELSE 0.0 END) AS img, avg(CASE WHEN k = 4 THEN 1.0 ELSE 0.0 END) AS top FROM p GROUP BY vec_id),
  f AS (SELECT vec_id, count(v) FILTER (i IN (0, 5)) AS known FROM chip_pixel GROUP BY vec_id)
@@ -451,3 +462,46 @@ def tile_summary(i: Inputs):
     d = _score_inputs(i, "image_topo").withColumn("tile_id", F.floor(F.col("vec_id") / 25))
     return t.tile_summary(d, i.img_tile).drop("error")
 
+
+
+@query(
+    "T_scoring_flow", ["tile_dims", "chip_pixel", "embeddings"],
+    _CHIPIN + f""", {_GRID.format(t='tile_dims')}, m AS (SELECT count(*) AS m FROM embeddings),
+ bad AS (SELECT tile_id, concat('chips missing: ', count(*)) AS error FROM grid WHERE tile_id % 50 = 7 GROUP BY tile_id),
+ ch AS (SELECT tile_id, row, col, ((tile_id * 31 + row * 7 + col * 3) % 1000) / 1000.0 AS p, CASE WHEN img < 0.45 THEN 'image' WHEN top < 0.4 THEN 'topo' END AS why
+   FROM grid, m JOIN q ON q.vec_id = (tile_id * 7 + row // 128 + col // 128) % m WHERE tile_id % 50 <> 7),
+ cr AS (SELECT *, unnest(range(2)) AS i FROM ch WHERE why IS NULL), cc AS (SELECT *, unnest(range(2)) AS j FROM cr),
+ mos AS (SELECT tile_id, row // 128 + i AS cell_row, col // 128 + j AS cell_col, avg(p * 9.5 / 17) AS prediction, avg(p / 17 * sqrt(1.25)) AS uncertainty FROM cc GROUP BY 1, 2, 3),
+ per AS (SELECT tile_id, count(*) AS covered, avg(prediction) AS prediction, avg(uncertainty) AS uncertainty FROM mos GROUP BY tile_id),
+ cnt AS (SELECT tile_id, count(*) FILTER (why IS NULL) AS ok, count(*) FILTER (why = 'image') AS img, count(*) FILTER (why = 'topo') AS top FROM ch GROUP BY tile_id)
+ SELECT tile_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, coalesce(ok, 0) AS processed_chips, coalesce(img, 0) AS skipped_image_chips, coalesce(top, 0) AS skipped_topo_chips,
+  CASE WHEN error IS NULL THEN CAST(ceil(height / 128.0) * ceil(width / 128.0) AS BIGINT) ELSE 0 END AS n_squares,
+  CASE WHEN error IS NULL THEN CAST(ceil(height / 128.0) * ceil(width / 128.0) AS BIGINT) - coalesce(covered, 0) ELSE 0 END AS n_uncovered, round(prediction, 6) AS prediction, round(uncertainty, 6) AS uncertainty
+ FROM tile_dims LEFT JOIN bad USING (tile_id) LEFT JOIN cnt USING (tile_id) LEFT JOIN per USING (tile_id)""",
+)
+def scoring_flow(i: Inputs):
+    from ...session import materialize, scratch_path
+    from .. import scoring
+
+    path = scratch_path(i.spark, "scores")
+    # One tile in fifty has no chips. The first run ends after half of the tiles, the second resumes.
+    grid = t.chip_grid(i.tile_dims, 256, 128).filter("tile_id % 50 <> 7").select("tile_id", "row", "col")
+    pick = (F.col("tile_id") * 7 + F.floor(F.col("row") / 128) + F.floor(F.col("col") / 128)) % i.embeddings.agg(F.count(F.lit(1))).scalar()
+    chips = grid.withColumn("vec_id", pick).join(chip_rows(i).withColumn("topo", F.col("px")), "vec_id").drop("vec_id")
+    chips = materialize(chips, "chips")
+
+    def scorer(d):
+        p = (F.col("tile_id") * 31 + F.col("row") * 7 + F.col("col") * 3) % 1000 / 1000
+        passes = d.select("tile_id", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+        return passes.withColumn("probability", p * (8 + F.col("k")) / 17)
+
+    for tiles in (i.tile_dims.filter("tile_id % 2 = 0"), i.tile_dims):
+        scoring.score_tiles(tiles, chips, path, "image_topo", [], scorer, 16, 16, 256, 128, 0.45, 0.40)
+    known = F.col("n_chips") > 0
+    per = scoring.read_scores(i.spark, path).groupBy("tile_id").agg(
+        F.count(F.lit(1)).alias("n_squares"), F.count_if(~known).alias("n_uncovered"),
+        F.avg(F.when(known, F.col("prediction"))).alias("prediction"), F.avg(F.when(known, F.col("uncertainty"))).alias("uncertainty"),
+    )
+    d = scoring.last_log(i.spark, path).join(per, "tile_id", "left").fillna(0, ["n_squares", "n_uncovered"])
+    counts = ["processed_chips", "skipped_image_chips", "skipped_topo_chips", "n_squares", "n_uncovered"]
+    return d.select("tile_id", "status", "error", *counts, rnd("prediction"), rnd("uncertainty"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions import geo, names, text
 from rangeloom.functions.keys import order_key
 from rangeloom.operators import clean, joins, metrics, models, ranks, rasters, sampling, spatial, splits, tiles, trials
+from rangeloom.plans import scoring
 from rangeloom.session import scratch_path
 from rangeloom.sinks import tables
 from rangeloom.sources import catalog, occurrences, stats
@@ -577,3 +578,48 @@ def test_family_spellings(spark):
     assert rows(d.select(names.family_column(F.col("m")).alias("f")).filter("f IS NOT NULL")) == [("tabular_only",), ("topo_only",)]
     with pytest.raises(Exception, match="unknown model family"):
         spark.createDataFrame([("hosttopoonlymodel",)], "m string").select(names.family_column(F.col("m"))).collect()
+
+
+def test_scoring_resumes_and_keeps_errors_apart(spark):
+    path, seen = scratch_path(spark, "scores"), []
+    tiles_in = spark.createDataFrame([(1, 8, 8), (2, 8, 8), (3, None, 8), (4, 2, 2)], "tile_id long, height long, width long")
+    one = [float(v) for v in range(1, 17)]
+    cut = [(t, r, c, one if c else [0.0] * 16, one) for t in (1, 2) for r in (0, 2, 4) for c in (0, 2, 4) if (t, r, c) != (2, 4, 4)]
+    schema = "tile_id long, row long, col long, px array<double>, topo array<double>"
+
+    def scorer(d):
+        seen.append(sorted({r[0] for r in d.select("tile_id").collect()}))
+        return d.select("tile_id", "row", "col", (F.col("row") / 8).alias("probability"))
+
+    def run(chips):
+        scoring.score_tiles(tiles_in, spark.createDataFrame(chips, schema), path, "image_topo", [], scorer, 4, 4, 4, 2)
+        return {r["tile_id"]: r.asDict() for r in scoring.last_log(spark, path).collect()}, scoring.read_scores(spark, path)
+
+    assert scoring.read_scores(spark, path).count() == 0
+    log, squares = run(cut)
+    assert [log[t]["status"] for t in (1, 2, 3, 4)] == ["ok", "error", "error", "ok"]
+    assert log[2]["error"] == "chips missing: 1" and log[3]["error"] == "unusable size"
+    assert (log[1]["processed_chips"], log[1]["skipped_image_chips"]) == (6, 3)
+    # Four by four squares; the left column of chips is dark, so its outer squares are covered by none.
+    of = {(r["tile_id"], r["cell_row"], r["cell_col"]): r for r in squares.collect()}
+    assert len(of) == 16 + 1 and of[1, 0, 0]["n_chips"] == 0 and of[1, 0, 0]["prediction"] == tiles.NODATA
+    assert of[1, 1, 1]["n_chips"] == 2 and abs(of[1, 1, 1]["prediction"] - 0.125) < 1e-12 and of[4, 0, 0]["n_chips"] == 0
+    # Squares of a run that ended before its log are not read; the next run scores only what has no result.
+    tables.write_mosaic(squares.withColumn("tile_id", F.lit(2).cast("long")), f"{path}/mosaic/{'0' * 32}")
+    log, squares = run([*cut, (2, 4, 4, one, one)])
+    assert seen == [[1], [2]] and [log[t]["status"] for t in (1, 2, 3, 4)] == ["ok", "ok", "error", "ok"]
+    assert squares.groupBy("tile_id").count().count() == 3 and squares.count() == 33
+
+
+def test_southern_tiles(spark):
+    d = spark.createDataFrame([(1, 256, 256, 300000.0, 6000000.0, 1.0, 19, False), (2, 256, 256, 300000.0, 4000000.0, 1.0, 19, True)],
+        "tile_id long, height long, width long, x0 double, y0 double, px_size double, zone int, north boolean")
+    got = {r["tile_id"]: r for r in tiles.chip_centre(tiles.chip_grid(d, 256, 128), 256).collect()}
+    assert abs(got[1]["lat"] + got[2]["lat"]) < 0.01 and got[1]["lat"] < -35 and abs(got[1]["lon"] - got[2]["lon"]) < 0.01
+    x, y = geo.utm_xy(F.lit(0.001), F.lit(-69.0), F.lit(19), F.lit(False))
+    assert abs(spark.range(1).select(y).first()[0] - 10_000_110.5) < 1.0
+    chips = tiles.chip_grid(d, 256, 128).withColumns({"mean_p": F.lit(0.5), "std_p": F.lit(0.1)})
+    out = tiles.mosaic_reproject(tiles.overlap_mosaic(chips, 256, 128), d, 128, 60.0)
+    per = {r["tile_id"]: r for r in out.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("p"), F.max("gy").alias("gy")).collect()}
+    # Half of the tile's 256 x 256 metres lie in pixels of 60 metres, whichever the hemisphere.
+    assert all(10 <= per[t]["n"] <= 40 and abs(per[t]["p"] - 0.5) < 1e-9 for t in (1, 2)) and per[1]["gy"] < 0 < per[2]["gy"]
