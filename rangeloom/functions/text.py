@@ -24,6 +24,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c).isin(MISSING_TOKENS), None).otherwise(c)
 
 
+def first_known(*texts: Column) -> Column:
+    """The first text that is no missing spelling; NULL if all are."""
+    return F.coalesce(*[blank_to_null(c) for c in texts])
+
+
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a plain number is NULL."""
     t = F.trim(c)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.keys import order_key
-from ...functions.names import TERRAIN_BANDS, TERRAIN_STATS
+from ...functions.names import FAMILY_ALIASES, FAMILY_CLASSES, TERRAIN_BANDS, TERRAIN_STATS, family_column
+from ...functions.text import first_known
 from ...operators import clean, metrics, models, rasters, sampling, spatial, splits
 from ...session import materialize, scratch_path
 from ...sinks import tables
@@ -57,6 +58,30 @@ def raster_file_catalog(i: Inputs):
     return files.raster_file_catalog(i.occ.select(F.concat("source", F.lit("/M_"), "user_id", F.lit(".TIF")).alias("path")))
 
 
+@query(
+    "C_family_spellings", ["trials"],
+    "SELECT trial_seq, model_type AS family FROM trials",
+)
+def family_spellings(i: Inputs):
+    # Every trial's family as one of its other spellings or class names, and back.
+    def other(m):
+        out = m
+        for f, spelled in FAMILY_ALIASES.items():
+            many = F.array(*[F.lit(x) for x in (f, f" {f.upper()} ", *spelled, *FAMILY_CLASSES[f])])
+            out = F.when(m == f, F.get(many, F.pmod("trial_seq", F.size(many)).cast("int"))).otherwise(out)
+        return out
+
+    return i.trials.select("trial_seq", family_column(other(F.col("model_type"))).alias("family"))
+
+
+@query(
+    "C_first_non_empty", ["occ_raw"],
+    """SELECT occ_id, coalesce(CASE WHEN trim(lat_text) NOT IN ('', 'NA') THEN lat_text END, source_raw, lon_text) AS first_known FROM occ_raw""",
+)
+def first_non_empty(i: Inputs):
+    return i.occ_raw.select("occ_id", first_known(F.col("lat_text"), F.col("source_raw"), F.col("lon_text")).alias("first_known"))
+
+
 @query("S5_tile_index_available", ["tile_idx"], "SELECT tile_id, regexp_extract(filename, '[^/]+$') AS filename FROM tile_idx WHERE downloaded")
 def tile_index_available(i: Inputs):
     have = i.tile_idx.filter("downloaded").select(F.lower("filename").alias("path"))

@@ -70,6 +70,22 @@ def raster_blocks(i: Inputs):
     return d.select("block_row", "block_col", F.size(known).cast("long").alias("n_known"), rnd(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), 6, "total"))
 
 
+@query(
+    "S6_block_window", ["env_pixel"],
+    """SELECT CAST(floor(r / 4) AS BIGINT) AS block_row, CAST(floor(c / 4) AS BIGINT) AS block_col, count(v) AS n_known, round(coalesce(sum(v), 0), 6) AS total FROM env_pixel
+ WHERE floor(r / 4) BETWEEN 12 AND 30 AND floor(c / 4) BETWEEN 40 AND 70 GROUP BY 1, 2""",
+)
+def block_window(i: Inputs):
+    from ...sources.rasters import read_blocks, write_blocks
+    from ...session import scratch_path
+
+    path = scratch_path(i.spark, "blocks")
+    write_blocks(r.to_blocks(i.env_pixel, [], "layer", 20, 4), path)
+    known = F.filter("px", lambda x: x.isNotNull())
+    d = read_blocks(i.spark, path, (12, 30), (40, 70))
+    return d.select("block_row", "block_col", F.size(known).cast("long").alias("n_known"), rnd(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), 6, "total"))
+
+
 @query(
     "R1_layer_stats", ["env_pixel"],
     'SELECT layer, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max, count(v) AS "count" FROM env_pixel GROUP BY layer',

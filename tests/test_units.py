@@ -13,6 +13,7 @@ from rangeloom.plans import scoring
 from rangeloom.session import scratch_path
 from rangeloom.sinks import tables
 from rangeloom.sources import catalog, occurrences, stats
+from rangeloom.sources import rasters as block_files
 
 
 def rows(df, *cols):
@@ -623,3 +624,26 @@ def test_southern_tiles(spark):
     per = {r["tile_id"]: r for r in out.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("p"), F.max("gy").alias("gy")).collect()}
     # Half of the tile's 256 x 256 metres lie in pixels of 60 metres, whichever the hemisphere.
     assert all(10 <= per[t]["n"] <= 40 and abs(per[t]["p"] - 0.5) < 1e-9 for t in (1, 2)) and per[1]["gy"] < 0 < per[2]["gy"]
+
+
+def test_a_window_opens_few_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    side = 64
+    d = spark.range(side * side).select((F.floor(F.col("id") / side) - 32).alias("block_row"), (F.col("id") % side - 32).alias("block_col"), F.array(F.rand(1)).alias("px"))
+    path = str(tmp_path / "blocks")
+    block_files.write_blocks(d, path, 16)
+    window = [(-20, -13), (3, 10)]
+    opened, files = 0, list((tmp_path / "blocks").glob("*.parquet"))
+    for f in files:
+        m = pq.ParquetFile(f).metadata
+        ranges = []
+        for name in ("block_row", "block_col"):
+            st = [m.row_group(g).column(m.schema.to_arrow_schema().names.index(name)).statistics for g in range(m.num_row_groups)]
+            ranges.append((min(x.min for x in st), max(x.max for x in st)))
+        opened += all(lo <= w[1] and hi >= w[0] for (lo, hi), w in zip(ranges, window))
+    assert len(files) == 16 and opened <= 5
+    got = block_files.read_blocks(spark, path, *window)
+    assert got.count() == 64 and block_files.read_blocks(spark, path).count() == d.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(block_row,-20)" in plan
