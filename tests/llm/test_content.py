@@ -131,8 +131,9 @@ def test_torn_buckets_lose_no_pair(spark, monkeypatch, block):
 def test_every_training_document_reaches_the_recurrent_weights(spark):
     start = gru.initial(np.array([40, 40, 40]), 1, 1)
     for i in range(4):
-        texts = spark.createDataFrame([(0, 0, i, False, bytearray(b"a b c " * 40))], "block long, at int, doc_id long, held boolean, data binary")
-        model = lm.fit(texts, start, {b"a": 0, b"b": 1, b"c": 2}, 121)
+        symbols = bytearray(np.array([0, 1, 2] * 40 + [gru.END], "<i2").tobytes())
+        texts = spark.createDataFrame([(0, 0, i, False, symbols)], "block long, at int, doc_id long, held boolean, symbols binary")
+        model = lm.fit(texts, start, 121)
         assert not np.array_equal(model["wo"], start["wo"])
 
 
@@ -302,22 +303,22 @@ def test_spectrum_in_parts_is_the_same(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
-def test_gradients_by_differences(monkeypatch):
+@pytest.mark.parametrize("window", [0, 2, 3])
+def test_gradients_by_differences(monkeypatch, window):
+    # Windows with all lanes, with a sequence that starts and a lane that ends inside, and with one lane left.
     monkeypatch.setattr(gru, "_F", np.float64)
     rng = np.random.default_rng(0)
     symbols = rng.integers(0, gru.FREQUENT + 2, 200)
     sizes = np.array([80, 50, 70])
     p = {k: v.astype(float) + rng.normal(0, 0.2, v.shape) for k, v in gru.initial(rng.integers(1, 100, gru.FREQUENT), 3, 50).items()}
     grid = gru.Grid(symbols, sizes, 2)
-    _, inputs, targets, fresh = next(grid.windows())
-    h0 = np.full((grid.width, gru.STATE), 0.3)
+    a, b, cells = list(grid.windows())[window]
+    h0 = np.full((gru.STATE, int(grid.active[a])), 0.3)
 
     def loss():
-        hs, _, _ = gru.states(p, p["embed"] @ p["wx"] + p["b"], inputs, fresh, h0, keep=True)
-        live = np.flatnonzero(targets.ravel() >= 0)
-        return -gru.log_probs(p, hs.reshape(-1, gru.STATE)[live].astype(float), targets.ravel()[live]).mean()
+        return -gru.log_probs(p, gru.Run(p, grid, a, b, cells, h0).after, grid.target[cells]).mean()
 
-    g, _ = gru.gradients(p, p["embed"] @ p["wx"] + p["b"], inputs, targets, fresh, h0)
+    g, _ = gru.gradients(p, grid, a, b, cells, h0)
     for k in p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         keep, eps = p[k][at], 1e-3
@@ -342,7 +343,7 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     p = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in gru.initial(np.arange(gru.FREQUENT, 0, -1), 5, 9).items()}
     h = np.repeat(rng.uniform(-1, 1, (1, gru.STATE)).astype(np.float32), gru.FREQUENT + 2, axis=0)
-    assert np.exp(gru.log_probs(p, h, np.arange(gru.FREQUENT + 2))).sum() == pytest.approx(1, abs=1e-3)
+    assert np.exp(gru.log_probs(p, h.T, np.arange(gru.FREQUENT + 2))).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_language_model(edge, nothing):
