@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -96,14 +97,16 @@ class Ids(Table):
     def add(self, values: Iterable[list[int]]) -> None:
         values = list(values)
         size = np.fromiter(map(len, values), np.int64, len(values))
-        new = np.fromiter((i for v in values for i in v), np.uint32, int(size.sum()))
+        self.append(np.fromiter(chain.from_iterable(values), np.uint32, int(size.sum())), size)
+
+    def append(self, new: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, new])
 
     def encode(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts given as chunks, and the number of ids of each text."""
-        rows = self.rows([c for p in pieces for c in p])
+        rows = self.rows(list(chain.from_iterable(pieces)))
         size = self.size[rows]
         ends = np.concatenate([[0], np.cumsum(size)])
         cuts = np.cumsum([0, *map(len, pieces)])
@@ -113,10 +116,15 @@ class Ids(Table):
 JOINED = 64
 
 
-def _one_word(chunk: str, spaces: bool) -> bool:
-    """Whether a chunk surely is one pre-token: letters below U+0130, after one space where spaces count."""
-    word = chunk[1:] if spaces else chunk
-    return word.isalpha() and max(word) < "\u0130" and (not spaces or chunk[0] == " ")
+#: Letters below U+0130: a run of them, after one space where spaces count, surely is one pre-token.
+_LETTERS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"
+
+
+class FlatIds(Ids):
+    """The same where new chunks come as one array of ids and their numbers of ids."""
+
+    def add(self, values: tuple[np.ndarray, np.ndarray]) -> None:
+        self.append(*values)
 
 
 class Encoder:
@@ -132,33 +140,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.spaces = Tokenizer.from_file(path), spaces
+        self.plain = re.compile(" " * spaces + _LETTERS).fullmatch
         self.mark = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.mark[i] = token.startswith("\u0120") if spaces else token.endswith("</w>")
 
-    def __call__(self, new: list[str]) -> list[list[int]]:
-        plain = [i for i, c in enumerate(new) if _one_word(c, self.spaces)]
-        out: list = [None] * len(new)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((self.plain(c) is not None for c in new), bool, len(new))
+        words, others = [c for c, x in zip(new, plain, strict=True) if x], [c for c, x in zip(new, plain, strict=True) if not x]
         joint = "" if self.spaces else " "
-        for group, e in zip(groups, self.tok.encode_batch_fast([joint.join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = e.ids
-            cuts = np.flatnonzero(self.mark[ids]) + (not self.spaces)
-            cuts = np.append(cuts, len(ids)) if self.spaces else np.append(0, cuts)
-            for i, a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[i] = ids[a:b]
-        other = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(other, self.tok.encode_batch_fast([new[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        ids, _ = self._batch([joint.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        # A marked id begins a word, or ends one.
+        at = np.flatnonzero(self.mark[ids])
+        size = np.diff(at, append=len(ids)) if self.spaces else np.diff(at + 1, prepend=0)
+        if len(at) != len(words) or size.sum() != len(ids):
+            raise ValueError("ids of joined words can't be told apart")
+        more, sizes = self._batch(others)
+        ids, size = np.concatenate([ids, more]), np.concatenate([size, sizes])
+        # Back into the order of the chunks.
+        order = np.empty(len(new), np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(new))
+        return ids[ragged((np.cumsum(size) - size)[order], size[order])], size[order]
 
 
 def library_ids(path: str, spaces: bool) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to (ids, ids per text) by the tokenizers library, each distinct chunk encoded once per worker."""
     if (path, spaces) not in _TABLES:
-        _TABLES[path, spaces] = Ids(Encoder(path, spaces))
+        _TABLES[path, spaces] = FlatIds(Encoder(path, spaces))
     table = _TABLES[path, spaces]
     return lambda texts: table.encode([chunks(t, spaces) for t in texts])
 
 
-_TABLES: dict[tuple[str, bool], Ids] = {}
+_TABLES: dict[tuple[str, bool], FlatIds] = {}
