@@ -5,6 +5,7 @@ A block row holds the pixels of one square, band-major: index = band * side^2 +
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .spatial import in_footprint
 
 #: Pixels that a task pastes or resamples in one go.
 CHIP_CELLS = 1 << 21
+#: Pixels that a task groups to blocks.
+BLOCK_CELLS = 1 << 18
 
 
 def to_blocks(pixels: DataFrame, by: list[str], band: str, n_bands: int, side: int) -> DataFrame:
@@ -33,9 +36,12 @@ def to_blocks(pixels: DataFrame, by: list[str], band: str, n_bands: int, side: i
         (F.col(band) * side * side + F.pmod("r", F.lit(side)) * side + F.pmod("c", F.lit(side))).cast("int").alias("_i"),
         F.col("v").cast("double").alias("v"),
     )
-    blank = d.select(*place).distinct()
+    blank = materialize(d.select(*place).distinct(), "block_places")
+    n_tasks = math.ceil(blank.count() * n_bands * side * side / BLOCK_CELLS) or 1
     blank = blank.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_bands * side * side - 1))))
-    full = d.unionByName(blank.withColumn("v", F.lit(None).cast("double"))).groupBy(*place, "_i").agg(F.max("v").alias("v"))
+    # One shuffle by block serves both groupings, and no task that reads many pixels holds all of them.
+    full = d.unionByName(blank.withColumn("v", F.lit(None).cast("double"))).repartition(n_tasks, *place)
+    full = full.groupBy(*place, "_i").agg(F.max("v").alias("v"))
     cells = F.array_sort(F.collect_list(F.struct("_i", "v")))
     return full.groupBy(*place).agg(F.transform(cells, lambda s: s["v"]).alias("px"))
 
