@@ -13,6 +13,15 @@ from .joins import same_keys_join
 BUCKET_ROWS = 65_536
 
 
+def _key_buckets(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """`_kb`: as many leading digits of the md5 column `key` as the size of the row's group asks for."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    digits = F.greatest(F.lit(1), F.ceil(F.log(F.col("_size") / float(BUCKET_ROWS)) / F.log(F.lit(16.0)))).cast("int")
+    needed = sizes.select(*by, digits.alias("_digits"))
+    d = same_keys_join(df, needed, by) if by else df.withColumn("_digits", needed.scalar())
+    return d.withColumn("_kb", F.substr(F.col(key), F.lit(1), F.col("_digits"))).drop("_digits")
+
+
 def exact_rank(
     df: DataFrame, by: list[str], key: str, out: str = "rank", total: str | None = None
 ) -> DataFrame:
@@ -22,11 +31,7 @@ def exact_rank(
     group that holds most of the rows still spreads over all tasks; only bucket counts are summed in order.
     A NULL group is a group of its own.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    digits = F.greatest(F.lit(1), F.ceil(F.log(F.col("_size") / float(BUCKET_ROWS)) / F.log(F.lit(16.0)))).cast("int")
-    needed = sizes.select(*by, digits.alias("_digits"))
-    d = same_keys_join(df, needed, by) if by else df.withColumn("_digits", needed.scalar())
-    d = d.withColumn("_kb", F.substr(F.col(key), F.lit(1), F.col("_digits"))).drop("_digits")
+    d = _key_buckets(df, by, key)
     counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_cnt"))
     # Bucket rows reach these windows, not rows.
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -43,6 +48,24 @@ def exact_rank(
     )
 
 
+def earlier_counts(df: DataFrame, by: list[str], key: str, marks: dict[str, Column]) -> DataFrame:
+    """For each mark, the group's rows with it that come earlier by the md5 column `key` (`<name>_before`) and all (`<name>_total`).
+
+    Buckets are those of `exact_rank`; all marks share one shuffle.
+    """
+    d = _key_buckets(df.withColumns({m: F.coalesce(c, F.lit(False)).cast("long") for m, c in marks.items()}), by, key)
+    counts = d.groupBy(*by, "_kb").agg(*[F.sum(m).alias(m) for m in marks])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        *by, "_kb", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_off") for m in marks], *[F.sum(m).over(group).alias(f"{m}_total") for m in marks]
+    )
+    inside = W.partitionBy(*by, "_kb").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    out = same_keys_join(d, offsets, [*by, "_kb"])
+    out = out.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"{m}_off") for m in marks})
+    return out.drop("_kb", *marks, *[f"{m}_off" for m in marks])
+
+
 def sorted_rank(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
     """1-based position of every row in its group by `order`, from one sort over ranges of (`by`, `order`).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
 from .joins import same_keys_join
-from .ranks import exact_rank, quantiles
+from .ranks import earlier_counts, exact_rank, quantiles
 
 
 def split_label(rank: Column, n: Column, train: float, val: float, leftover_to_test: bool) -> Column:
@@ -57,15 +57,21 @@ def reattach_fold(df: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
 def cv_rounds(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder: bool = False) -> DataFrame:
     """Every point once per round: its own fold is tested, the rest split 70 / 30 by class.
 
-    The row left over by rounding goes to val; `legacy_remainder` labels it test instead.
+    The row left over by rounding goes to val; `legacy_remainder` labels it test instead. A point's ranks in all rounds
+    follow from the folds of the points before it, so points are shuffled once and repeated afterwards.
     """
-    d = df.withColumn("cv_round", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    held = F.col("fold") == F.col("cv_round")
-    g = [*by, "cv_round", "presence", "_held"]
-    d = d.withColumn("_held", held)
-    ranked = exact_rank(d, g, key, "_rk", total="_n")
-    label = split_label(F.col("_rk"), F.col("_n"), 0.70, 0.30, legacy_remainder)
-    return ranked.withColumn("split", F.when(F.col("_held"), "test").otherwise(label)).drop("_rk", "_n", "_held")
+    rounds = range(1, k + 1)
+    marks = {f"_f{r}": F.col("fold") == r for r in rounds} | {"_any": F.col("fold").isNotNull(), "_none": F.col("fold").isNull()}
+    d = earlier_counts(df, [*by, "presence"], key, marks)
+
+    def label(r: int) -> Column:
+        # Points without a fold are a group of their own.
+        rank, n = (F.when(F.col("fold").isNull(), F.col(f"_none_{c}")).otherwise(F.col(f"_any_{c}") - F.col(f"_f{r}_{c}")) for c in ("before", "total"))
+        return F.when(F.col("fold") == r, "test").otherwise(split_label(rank, n, 0.70, 0.30, legacy_remainder))
+
+    keep = [c for c in df.columns if c not in ("cv_round", "split")]
+    d = d.select(*keep, F.posexplode(F.array(*[label(r) for r in rounds])).alias("cv_round", "split"))
+    return d.withColumn("cv_round", F.col("cv_round") + 1)
 
 
 def sample_ids(df: DataFrame, by: list[str], key: str, cv: bool = False) -> DataFrame:

@@ -185,7 +185,8 @@ def training_batches(i: Inputs):
 
 
 def _model_rows(i: Inputs):
-    d = splits.cv_rounds(folded(i), SP, "order_key", 5)
+    # Five rows a point are stored, so only with what the models read.
+    d = splits.cv_rounds(folded(i), SP, "order_key", 5).select("occ_id", "cv_round", "split", "presence", "lat", "lon", "coordinate_uncertainty_m")
     return materialize(splits.norm_latlon(d, ["cv_round"]).fillna(0.0, ["coordinate_uncertainty_m"]), "model_rows")
 
 

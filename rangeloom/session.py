@@ -49,5 +49,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives executor loss."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
