@@ -5,15 +5,18 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import finite, scale_255, zero_fill
 from ..functions.geo import albers_inverse, albers_xy, pixel_to_map, utm_inverse, utm_xy
 from ..functions.names import COORD_STATS, TERRAIN_BANDS, TERRAIN_SCALARS, TERRAIN_STATS, family_inputs
 from ..session import materialize
-from .rasters import bilinear_neighbours, image_window_valid, normalize_bands, summarize_topo, valid_fraction
+from .rasters import image_window_valid, normalize_bands, summarize_topo, valid_fraction
 
 NODATA = -9999.0
+#: Squares of single chips that a task adds up.
+TASK_SQUARES = 1 << 18
 
 
 def chip_grid(tiles: DataFrame, chip: int, stride: int) -> DataFrame:
@@ -85,12 +88,16 @@ def mc_aggregate(passes: DataFrame, keys: list[str], p: str = "probability") ->
 def overlap_mosaic(chips: DataFrame, chip: int, stride: int) -> DataFrame:
     """Mean prediction, mean deviation and chip count where chips overlap.
 
-    Values are constant on squares of gcd(chip, stride) pixels, so squares are aggregated, not pixels.
+    Values are constant on squares of gcd(chip, stride) pixels, so squares are aggregated, not pixels. They are
+    shuffled first, to as many tasks as their number asks for, so no task holds more than its share of them at once.
+    `chips` are counted and then read.
     """
     g = math.gcd(chip, stride)
     n = F.sequence(F.lit(0), F.lit(chip // g - 1))
     d = chips.withColumn("_r", F.explode(n)).withColumn("_c", F.explode(n))
     d = d.withColumn("cell_row", F.floor(F.col("row") / g) + F.col("_r")).withColumn("cell_col", F.floor(F.col("col") / g) + F.col("_c"))
+    n_tasks = math.ceil(chips.count() * (chip // g) ** 2 / TASK_SQUARES) or 1
+    d = d.select("tile_id", "cell_row", "cell_col", "mean_p", "std_p").repartition(n_tasks, "tile_id", "cell_row", "cell_col")
     return d.groupBy("tile_id", "cell_row", "cell_col").agg(
         F.avg("mean_p").alias("prediction"), F.avg("std_p").alias("uncertainty"), F.count(F.lit(1)).alias("n_chips")
     )
@@ -101,15 +108,16 @@ def with_uncovered(mosaic: DataFrame, tiles: DataFrame, cell: int) -> DataFrame:
     rows = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("height") / cell) - 1)
     cols = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("width") / cell) - 1)
     full = tiles.select("tile_id", F.explode(rows).alias("cell_row"), "width").withColumn("cell_col", F.explode(cols)).drop("width")
-    out = full.join(mosaic, ["tile_id", "cell_row", "cell_col"], "left")
+    # Sizes of exploded rows are underestimated, so the planner would broadcast them.
+    out = full.join(mosaic.hint("merge"), ["tile_id", "cell_row", "cell_col"], "left")
     return out.fillna({"prediction": NODATA, "uncertainty": NODATA, "n_chips": 0})
 
 
 def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float) -> DataFrame:
     """Bilinear warp of the mosaic to an Albers grid of `res` metres aligned to multiples of `res`.
 
-    Target pixels are generated per tile over its projected bounds; each looks up its 2 x 2 source
-    pixels through the square they fall in. Target pixels without a valid neighbour are left out.
+    Target pixels are generated per tile over its projected bounds; each meets the square of its upper left source
+    pixel, which brings the squares next to it, so its 2 x 2 source pixels need one join and no grouping. Target pixels without a valid neighbour are left out.
     """
     corner = F.explode(F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c")) for r in ("_zero", "height") for c in ("_zero", "width")]))
     d = tiles.withColumn("_north", _north(tiles)).withColumn("_zero", F.lit(0).cast("long")).withColumn("_k", corner)
@@ -119,22 +127,52 @@ def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float)
     d = d.withColumn("_lat", lat).withColumn("_lon", lon).withColumn("_ax", F.floor(ax / res)).withColumn("_ay", F.floor(ay / res))
     info = ["tile_id", "height", "width", "x0", "y0", "px_size", "zone", "_north"]
     t = d.groupBy(*info).agg(*[f(c).alias(n) for n, f, c in (("_x1", F.min, "_ax"), ("_x2", F.max, "_ax"), ("_y1", F.min, "_ay"), ("_y2", F.max, "_ay"))])
+    t = t.withColumn("_many", F.count(F.lit(1)).over(W.partitionBy("tile_id")))
     t = t.withColumn("gy", F.explode(F.sequence("_y1", "_y2"))).withColumn("gx", F.explode(F.sequence("_x1", "_x2")))
     lat, lon = albers_inverse((F.col("gx") + 0.5) * res, (F.col("gy") + 0.5) * res)
     t = t.withColumn("_lat", lat).withColumn("_lon", lon)
     ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"), F.col("_north"))
     t = t.withColumn("u", (ux - F.col("x0")) / F.col("px_size") - 0.5).withColumn("v", (F.col("y0") - uy) / F.col("px_size") - 0.5)
-    # Stored, so that the filters below are not pushed into (and repeat) the projection arithmetic.
-    t = materialize(t.select("tile_id", "height", "width", "gx", "gy", "u", "v"), "targets")
-    n = bilinear_neighbours(t).filter("weight > 0 AND r >= 0 AND c >= 0 AND r < height AND c < width")
-    n = n.withColumn("cell_row", F.floor(F.col("r") / cell)).withColumn("cell_col", F.floor(F.col("c") / cell))
-    # Neighbours in the same square add up before the join.
-    n = n.groupBy("tile_id", "gx", "gy", "cell_row", "cell_col").agg(F.sum("weight").alias("weight"))
-    # A square meets at most (cell / res + 1)^2 targets, so no key is crowded.
-    j = n.join(mosaic.select("tile_id", "cell_row", "cell_col", "prediction", "uncertainty"), ["tile_id", "cell_row", "cell_col"])
-    w = F.col("weight")
-    return j.groupBy("tile_id", "gx", "gy").agg(
-        (F.sum(w * F.col("prediction")) / F.sum(w)).alias("prediction"), (F.sum(w * F.col("uncertainty")) / F.sum(w)).alias("uncertainty")
+    # Stored, so that the arithmetic of the projection runs once.
+    t = materialize(t.select("tile_id", "_many", "height", "width", "gx", "gy", "u", "v"), "targets")
+    place = ["tile_id", "cell_row", "cell_col"]
+    t = t.withColumn("cell_row", F.floor(F.floor("v") / cell)).withColumn("cell_col", F.floor(F.floor("u") / cell))
+    # A square meets at most (cell / res + 1)^2 targets, so no key is crowded. Sizes of exploded rows are underestimated,
+    # so the planner would broadcast the squares.
+    j = t.join(_with_next_squares(mosaic).hint("merge"), place)
+    parts = {"prediction": [], "uncertainty": []}
+    weights = []
+    for y in (0, 1):
+        for x in (0, 1):
+            r, c = F.floor("v") + y, F.floor("u") + x
+            w = (F.lit(1.0) - F.abs(F.col("u") - c)) * (F.lit(1.0) - F.abs(F.col("v") - r))
+            down, right = F.floor(r / cell) > F.col("cell_row"), F.floor(c / cell) > F.col("cell_col")
+            sq = F.when(down & right, F.col("_s11")).when(down, F.col("_s10")).when(right, F.col("_s01")).otherwise(F.col("_s00"))
+            ok = (w > 0) & (r >= 0) & (c >= 0) & (r < F.col("height")) & (c < F.col("width")) & sq.isNotNull()
+            weights.append(F.when(ok, w))
+            for name, p in parts.items():
+                p.append(F.when(ok, w * sq[name]))
+
+    def add(terms: list[Column]) -> Column:
+        known = F.filter(F.array(*terms), lambda a: a.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, b: a + b))
+
+    at = ["tile_id", "gx", "gy"]
+    j = j.select(*at, "_many", add(weights).alias("_w"), *[add(p).alias(name) for name, p in parts.items()]).filter("_w IS NOT NULL")
+    # Only tiles stored with several sizes or places meet the same target twice.
+    twice = j.filter("_many > 1").groupBy(*at).agg(*[F.sum(c).alias(c) for c in ("_w", *parts)])
+    out = j.filter("_many = 1").drop("_many").unionByName(twice)
+    return out.select(*at, *[(F.col(c) / F.col("_w")).alias(c) for c in parts])
+
+
+def _with_next_squares(mosaic: DataFrame) -> DataFrame:
+    """Each place of the squares with its own square and those to the right, below and across (`_s00, _s01, _s10, _s11`; NULL: none)."""
+    d = mosaic.select("tile_id", "cell_row", "cell_col", F.struct("prediction", "uncertainty").alias("_s"))
+    back = F.array(F.lit(0), F.lit(1))
+    d = d.withColumn("_y", F.explode(back)).withColumn("_x", F.explode(back))
+    d = d.withColumn("cell_row", F.col("cell_row") - F.col("_y")).withColumn("cell_col", F.col("cell_col") - F.col("_x"))
+    return d.groupBy("tile_id", "cell_row", "cell_col").agg(
+        *[F.max(F.when((F.col("_y") == y) & (F.col("_x") == x), F.col("_s"))).alias(f"_s{y}{x}") for y in (0, 1) for x in (0, 1)]
     )
 
 
@@ -146,5 +184,5 @@ def tile_summary(chips: DataFrame, tiles: DataFrame) -> DataFrame:
     )
     counts = ["processed_chips", "skipped_image_chips", "skipped_topo_chips", "skipped_env_chips"]
     err = F.col("error") if "error" in tiles.columns else F.lit(None).cast("string")
-    d = tiles.select("tile_id", err.alias("error")).join(a, "tile_id", "left").fillna(0, counts)
+    d = tiles.select("tile_id", err.alias("error")).join(a.hint("merge"), "tile_id", "left").fillna(0, counts)
     return d.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))

@@ -518,6 +518,6 @@ def scoring_flow(i: Inputs):
         F.count(F.lit(1)).alias("n_squares"), F.count_if(~known).alias("n_uncovered"),
         F.avg(F.when(known, F.col("prediction"))).alias("prediction"), F.avg(F.when(known, F.col("uncertainty"))).alias("uncertainty"),
     )
-    d = scoring.last_log(i.spark, path).join(per, "tile_id", "left").fillna(0, ["n_squares", "n_uncovered"])
+    d = scoring.last_log(i.spark, path).join(per.hint("merge"), "tile_id", "left").fillna(0, ["n_squares", "n_uncovered"])
     counts = ["processed_chips", "skipped_image_chips", "skipped_topo_chips", "n_squares", "n_uncovered"]
     return d.select("tile_id", "status", "error", *counts, rnd("prediction"), rnd("uncertainty"))

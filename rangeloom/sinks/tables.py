@@ -27,7 +27,7 @@ def write_table(df: DataFrame, path: str, kind: str, allow_existing: bool = Fals
     # Rows of one folder come together, large folders are split, small ones share a task.
     df = df.hint("rebalance", *[F.col(c) for c in parts])
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if allow_existing else df.write.mode("errorifexists")
-    w.partitionBy(*parts).parquet(path)
+    w.option("compression", "zstd").partitionBy(*parts).parquet(path)
 
 
 def write_evaluation(scored: DataFrame, by: list[str], path: str, allow_existing: bool = False) -> None:
@@ -52,7 +52,7 @@ def write_mosaic(df: DataFrame, path: str, buckets: int = 64) -> None:
 
 def skip_finished(tiles: DataFrame, finished: DataFrame) -> DataFrame:
     """Tiles without stored output."""
-    return tiles.join(finished.select("tile_id").distinct(), "tile_id", "left_anti")
+    return tiles.join(finished.select("tile_id").distinct().hint("merge"), "tile_id", "left_anti")
 
 
 def trial_key(config_json, stamp):
