@@ -647,3 +647,45 @@ def test_a_window_opens_few_files(spark, tmp_path):
     assert got.count() == 64 and block_files.read_blocks(spark, path).count() == d.count()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(block_row,-20)" in plan
+
+
+def test_mosaic_and_blocks_spread_by_their_size(spark, monkeypatch):
+    # Squares and pixels are shuffled before they are grouped, to a number of tasks that follows theirs.
+    t = spark.createDataFrame([(k, 8, 8) for k in range(6)], "tile_id long, height long, width long")
+    chips = tiles.chip_grid(t, 4, 2).withColumn("mean_p", F.lit(0.5)).withColumn("std_p", F.lit(0.1))
+    monkeypatch.setattr(tiles, "TASK_SQUARES", 8)
+    m = tiles.overlap_mosaic(chips, 4, 2)
+    assert m.rdd.getNumPartitions() == 6 * 9 * 4 / 8
+    assert m.count() == 6 * 16
+    monkeypatch.setattr(rasters, "BLOCK_CELLS", 8)
+    px = spark.range(64).selectExpr("id div 8 AS r", "id % 8 AS c", "0 AS band", "CAST(id AS DOUBLE) AS v")
+    b = rasters.to_blocks(px, [], "band", 1, 2)
+    assert b.rdd.getNumPartitions() == 8
+    assert sorted(tuple(r.px) for r in b.collect())[0] == (0.0, 1.0, 8.0, 9.0)
+
+
+def test_exploded_tiles_are_not_broadcast(spark):
+    t = spark.createDataFrame([(1, 8, 8)], "tile_id long, height long, width long")
+    m = tiles.overlap_mosaic(tiles.chip_grid(t, 4, 2).withColumn("mean_p", F.lit(0.5)).withColumn("std_p", F.lit(0.1)), 4, 2)
+    plan = tiles.with_uncovered(m, t, 2)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_rounds_rank_points_before_they_are_repeated(spark):
+    # Against plain sorting, with missing folds and presences; one shuffle of the points instead of one per round.
+    data = [(i, i % 3 if i % 3 else None, None if i % 7 == 0 else i % 4 + 1, f"{(i * 37) % 101:032x}") for i in range(100)]
+    d = spark.createDataFrame(data, "i long, presence int, fold int, k string").withColumn("g", F.lit("a"))
+    got = {(r.i, r.cv_round): r.split for r in splits.cv_rounds(d, ["g"], "k", 3).collect()}
+    want = {}
+    for r in (1, 2, 3):
+        groups = {}
+        for i, p, f, k in data:
+            groups.setdefault((p, None if f is None else f == r), []).append((k, i))
+        for (_, held), members in groups.items():
+            n = len(members)
+            for rank, (_, i) in enumerate(sorted(members)):
+                low = round(n * 0.7)
+                want[i, r] = "test" if held else "train" if rank < low else "val"
+    assert got == want
+    plan = splits.cv_rounds(d, ["g"], "k", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
