@@ -118,8 +118,11 @@ def _nearest_squares(points: DataFrame, centres: DataFrame, by: list[str], side:
         lo, hi = (F.sqrt(f("x") * f("x") + f("y") * f("y")) for f in (_gap, _span))
         # The pairs of one square of points are a bounded group.
         w = W.partitionBy(*by, "p_cx", "p_cy")
-        pairs = pairs.withColumn("_lo", lo).withColumn("bound", F.least(F.min(hi).over(w) * _SLACK, F.lit(float(outer_m))))
-        pairs = pairs.filter(F.col("_lo") <= F.col("bound")).drop("_lo")
+        # The next level takes its bounds from the squares, so only the last one carries those of the points along.
+        keep = [*by, "p_cx", "p_cy", "q_cx", "q_cy", *([f"p_{c}" for c in box[2:]] if lvl == levels else [])]
+        pairs = pairs.select(*keep, lo.alias("_lo"), hi.alias("_hi"))
+        pairs = pairs.withColumn("bound", F.least(F.min("_hi").over(w) * _SLACK, F.lit(float(outer_m))))
+        pairs = pairs.filter(F.col("_lo") <= F.col("bound")).select(*keep, *(["bound"] if lvl == levels else []))
         if lvl % 3 == 2 or lvl == levels:
             pairs = materialize(pairs, "square_pairs")
     return pairs
@@ -139,7 +142,7 @@ def nearest_presence(points: DataFrame, centres: DataFrame, by: list[str], ident
     # Squares of the outer radius: every centre within it lies in the square of the point or next to it.
     pairs = _nearest_squares(near, centres, by, side, levels, outer_m)
     c = centres.withColumns({"q_cx": F.floor(F.col("c_x") / side), "q_cy": F.floor(F.col("c_y") / side)})
-    c = salted_join(pairs.drop(*[f"q_{k}" for k in ("x1", "x2", "y1", "y2")]), c, [*by, "q_cx", "q_cy"], "inner", "p_cx")
+    c = salted_join(pairs, c, [*by, "q_cx", "q_cy"], "inner", "p_cx")
     gx, gy = (F.greatest(F.col(f"c_{a}") - F.col(f"p_{a}2"), F.col(f"p_{a}1") - F.col(f"c_{a}"), F.lit(0.0)) for a in "xy")
     c = c.filter(gx * gx + gy * gy <= F.col("bound") * F.col("bound") * _SLACK).select(*by, "p_cx", "p_cy", "c_x", "c_y")
     near = near.withColumns({"p_cx": F.floor(F.col("x") / side), "p_cy": F.floor(F.col("y") / side)})
@@ -167,10 +170,12 @@ def outside(points: DataFrame, centres: DataFrame, by: list[str], ident: str, in
 
 
 def not_in_presence_cell(
-    points: DataFrame, presences: DataFrame, by: list[str], spread: str, census: DataFrame | None = None
+    points: DataFrame, presences: DataFrame, by: list[str], spread: str, census: DataFrame | None = None, one_a_cell: bool = False
 ) -> DataFrame:
-    """Points whose raster cell holds no presence."""
+    """Points whose raster cell holds no presence; with `one_a_cell` no cell holds two points of a group, so none is crowded."""
     keys = [*by, "cell_row", "cell_col"]
+    if one_a_cell:
+        return points.join(presences.select(*keys).distinct(), keys, "left_anti")
     return salted_join(points, presences.select(*keys).distinct(), keys, "left_anti", spread, census=census)
 
 
@@ -204,9 +209,11 @@ def _pool_until(
     pool, open_groups = None, sizes
     for i in range(max_rounds):
         drawn = materialize(with_cell(propose(open_groups, seed + i), grid), "drawn")
-        cand = not_in_presence_cell(accept(drawn), presences, by, "draw_key", drawn)
+        cand = accept(drawn)
         merged = cand if pool is None else pool.unionByName(cand)
-        pool = materialize(first_by(merged, [*by, "cell_row", "cell_col"], "draw_key"), "pool")
+        # A presence closes its whole cell, so one point a cell is chosen first and both steps share a shuffle.
+        best = first_by(merged, [*by, "cell_row", "cell_col"], "draw_key")
+        pool = materialize(not_in_presence_cell(best, presences, by, "draw_key", one_a_cell=True), "pool")
         have = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("_have"))
         left = sizes.join(have, by, "left").filter(F.coalesce(F.col("_have"), F.lit(0)) < F.col("_n")).drop("_have")
         open_groups = materialize(left, "open_groups")
