@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, slices, stored
-from .words import library_ids
+from .words import word_ids
 
 CAPACITY, UNIT = 4096, 16
 BROADCAST_BYTES = 32 << 20
+#: Text encoded in one go.
+ENCODE_BYTES = 6 << 20
 
 
 def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -155,11 +157,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
         raise ValueError("capacity must be a power of two and a multiple of unit")
 
     def encode(batches):
-        ids_of, part = library_ids(tokenizer, False), TaskContext.get().partitionId()
+        ids_of, part = word_ids(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity // unit, np.int64)
         fulls = tails = 0
-        for b in slices(batches):
-            ids, n = ids_of(b.column("text").to_pylist())
+        for b in slices(batches, limit=ENCODE_BYTES):
+            ids, n = ids_of(b.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1
             size, full, tail = n % capacity // unit, n // capacity, n % unit

@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from itertools import chain
+from string import ascii_letters
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import ragged
 
 # Characters on which Python and the tokenizer libraries differ about white space: such texts are taken whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
+_UNSURE_BYTES = re.compile(b"[\x1c-\x1f]|\xc2\x85|\xe1\xa0\x8e")
 # A full stop or comma at a word's end stands alone, so the word is known without it.
 _CHUNK = re.compile(r"\s*[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\s*\S+|\s+")
 _WORD = re.compile(r"[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\S+")
@@ -137,24 +141,35 @@ class Encoder:
         from .common import fork_safe
 
         fork_safe()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.spaces = Tokenizer.from_file(path), spaces
+        # Where normalisation only lower-cases ASCII letters and a run of them is one pre-token, words of those letters
+        # need the model alone.
+        low, self.quick = ascii_letters.lower(), None
+        n, p = self.tok.normalizer, self.tok.pre_tokenizer
+        if not spaces and n and p and n.normalize_str(ascii_letters) == low and [x for x, _ in p.pre_tokenize_str(low)] == [low]:
+            self.quick = Tokenizer(self.tok.model)
+            self.quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.plain = re.compile(" " * spaces + _LETTERS).fullmatch
         self.mark = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.mark[i] = token.startswith("\u0120") if spaces else token.endswith("</w>")
 
-    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str], quick: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in (self.quick if quick else self.tok).encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.fromiter((self.plain(c) is not None for c in new), bool, len(new))
-        words, others = [c for c, x in zip(new, plain, strict=True) if x], [c for c, x in zip(new, plain, strict=True) if not x]
+        at_plain = np.flatnonzero(plain)
+        if self.quick:  # those of ASCII letters last
+            at_plain = at_plain[np.argsort([new[i].isascii() for i in at_plain], kind="stable")]
+        words, others = [new[i] for i in at_plain], [c for c, x in zip(new, plain, strict=True) if not x]
         joint = "" if self.spaces else " "
-        ids, _ = self._batch([joint.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        cut = sum(not c.isascii() for c in words) if self.quick else len(words)
+        ids = np.concatenate([self._batch([joint.join(part[i : i + JOINED]) for i in range(0, len(part), JOINED)], quick)[0] for part, quick in ((words[:cut], False), ([c.lower() for c in words[cut:]], True))])
         # A marked id begins a word, or ends one.
         at = np.flatnonzero(self.mark[ids])
         size = np.diff(at, append=len(ids)) if self.spaces else np.diff(at + 1, prepend=0)
@@ -164,7 +179,7 @@ class Encoder:
         ids, size = np.concatenate([ids, more]), np.concatenate([size, sizes])
         # Back into the order of the chunks.
         order = np.empty(len(new), np.int64)
-        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(new))
+        order[np.concatenate([at_plain, np.flatnonzero(~plain)])] = np.arange(len(new))
         return ids[ragged((np.cumsum(size) - size)[order], size[order])], size[order]
 
 
@@ -176,4 +191,57 @@ def library_ids(path: str, spaces: bool) -> Callable[[list[str]], tuple[np.ndarr
     return lambda texts: table.encode([chunks(t, spaces) for t in texts])
 
 
+class WordIds:
+    """Ids of Arrow columns of texts (no nulls) for a tokenizer that drops white space, with Arrow arrays as table of known words.
+
+    Words lie between ASCII white space; a full stop or comma after letters stands alone, as in `chunks`. Each distinct
+    word of a column is looked up once, only unknown ones become Python strings. The table is bounded as `Table` is.
+    """
+
+    def __init__(self, path: str, limit: int = 650_000, keep: int = 200_000):
+        self.path, self.encoder, self.limit, self.keep = path, Encoder(path, False), limit, keep
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.tails = pa.array(["", ".", ","])
+        self.tail_ids = self.known(self.tails)
+
+    def known(self, words: pa.Array) -> pa.Array:
+        """The ids of each of the words, as the bytes of little-endian unsigned 32-bit integers."""
+        if len(self.words) > self.limit:
+            self.words, self.ids = (pa.concat_arrays([x.slice(0, self.keep)]) for x in (self.words, self.ids))
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            unknown = pc.filter(words, at.is_null())
+            new = pc.unique(unknown)
+            ids, size = self.encoder(new.to_pylist())
+            ends = np.append(0, np.cumsum(size) * 4).astype(np.int32)
+            own = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+            at = pc.replace_with_mask(at, at.is_null(), pc.add(pc.index_in(unknown, value_set=new), pa.scalar(len(self.words), pa.int32())))
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, own])
+        return self.ids.take(at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of ids of each text."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        each = pc.dictionary_encode(words.flatten())
+        distinct = each.dictionary
+        if not len(distinct) or _UNSURE_BYTES.search(distinct.buffers()[2] or b""):
+            return library_ids(self.path, False)(texts.to_pylist())
+        body = pc.utf8_slice_codeunits(distinct, 0, -1)
+        cut = pc.and_(pc.or_(pc.ends_with(distinct, "."), pc.ends_with(distinct, ",")), pc.utf8_is_alpha(body))
+        tail = pc.if_else(cut, pc.utf8_slice_codeunits(distinct, -1), "")
+        tail_ids = self.tail_ids.take(pc.index_in(tail, value_set=self.tails))
+        ids = pc.binary_join_element_wise(self.known(pc.if_else(cut, body, distinct)), tail_ids, b"").take(each.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4
+        cuts = words.offsets.to_numpy()
+        return np.frombuffer(ids.buffers()[2] or b"", "<u4", int(ends[-1])), np.diff(ends[cuts - cuts[0]]).astype(np.int64)
+
+
+def word_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """The same as `library_ids` without white space, for Arrow columns."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path].encode
+
+
+_WORDS: dict[str, WordIds] = {}
 _TABLES: dict[tuple[str, bool], FlatIds] = {}

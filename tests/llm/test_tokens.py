@@ -5,12 +5,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from rangeloom.llm import packing, pieces, token_counts, token_files
 from rangeloom.llm.common import scratch
-from rangeloom.llm.words import Numbers, chunks
+from rangeloom.llm.words import Numbers, WordIds, chunks
 
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
@@ -37,6 +38,20 @@ def test_table_forgets_and_recomputes():
     assert len(t) <= 9
 
 
+def test_word_ids_ask_for_distinct_words_once(texts):
+    odd = ["x\x1cy z", "a.. b., c,. ., , x². é. ́. I'll. 's. 3. 3.,", "日本 語. ß, ǅ.", "a\u00a0b. c\u2003d,", "UPPER Upper. upper,", ""]
+    table, asked = WordIds(WORD), []
+    encoder = table.encoder
+    table.encoder = lambda new: asked.extend(new) or encoder(new)
+    for part in ([t or "" for t in texts], odd[1:], odd, [""], []):
+        want = library(WORD, part)
+        for t in (table, WordIds(WORD, limit=5, keep=2)):
+            for _ in range(2):
+                ids, n = t.encode(pa.array(part, pa.string()))
+                assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert len(asked) == len(set(asked)) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 4095, 4096, 4097, 9000])
 @pytest.mark.parametrize("top", [1, 2, 300, 50_000, 1 << 40, (1 << 64) - 1])
 def test_simple8b_round_trip(n, top):
