@@ -14,14 +14,34 @@ BUCKET_ROWS = 65_536
 
 
 def _key_buckets(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """`_kb`: as many leading digits of the md5 column `key` as the size of the row's group asks for."""
+    """`_kb`: as many leading digits of the md5 column `key` as the size of the row's group asks for.
+
+    Only groups of over 16 * BUCKET_ROWS rows ask for more than one; there are few of those, so they are broadcast.
+    """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     digits = F.greatest(F.lit(1), F.ceil(F.log(F.col("_size") / float(BUCKET_ROWS)) / F.log(F.lit(16.0)))).cast("int")
-    needed = sizes.select(*by, digits.alias("_digits"))
-    d = same_keys_join(df, needed, by) if by else df.withColumn("_digits", needed.scalar())
+    if by:
+        crowded = sizes.filter(F.col("_size") > 16 * BUCKET_ROWS).select(*by, digits.alias("_digits"))
+        d = same_keys_join(df, F.broadcast(crowded), by, "left").withColumn("_digits", F.coalesce("_digits", F.lit(1)))
+    else:
+        d = df.withColumn("_digits", sizes.select(digits).scalar())
     return d.withColumn("_kb", F.substr(F.col(key), F.lit(1), F.col("_digits"))).drop("_digits")
 
 
+def _bucket_starts(d: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """The rows `d` and one more (`_start`) for each of their buckets, with each sum over the earlier buckets of its group
+    (under the sum's name) and over the whole group (`<name>_total`). So rows meet their bucket's numbers in the window's own shuffle."""
+    counts = d.groupBy(*by, "_kb").agg(*[c.alias(m) for m, c in sums.items()])
+    # Bucket rows reach these windows, not rows.
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(
+        *by, "_kb", F.lit(True).alias("_start"),
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(m) for m in sums], *[F.sum(m).over(group).alias(f"{m}_total") for m in sums],
+    )
+    return d.unionByName(starts, allowMissingColumns=True)
+
+
 def exact_rank(
     df: DataFrame, by: list[str], key: str, out: str = "rank", total: str | None = None
 ) -> DataFrame:
@@ -29,23 +49,14 @@ def exact_rank(
 
     The leading hex digits split every group into even buckets, as many digits as its size asks for, so a
     group that holds most of the rows still spreads over all tasks; only bucket counts are summed in order.
-    A NULL group is a group of its own.
+    A NULL group is a group of its own. Rows are shuffled once.
     """
-    d = _key_buckets(df, by, key)
-    counts = d.groupBy(*by, "_kb").agg(F.count(F.lit(1)).alias("_cnt"))
-    # Bucket rows reach these windows, not rows.
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
+    d = _bucket_starts(_key_buckets(df, by, key), by, {"_off": F.count(F.lit(1))})
+    inside = W.partitionBy(*by, "_kb").orderBy(F.col("_start").isNull(), key)
+    d = d.withColumn(out, (F.row_number().over(inside) - 2 + F.first("_off").over(inside)).cast("long"))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_cnt").over(group))
-    offsets = offsets.drop("_cnt")
-    inside = W.partitionBy(*by, "_kb").orderBy(key)
-    return (
-        same_keys_join(d, offsets, [*by, "_kb"])
-        .withColumn(out, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
-        .drop("_kb", "_off")
-    )
+        d = d.withColumn(total, F.first("_off_total").over(inside))
+    return d.filter("_start IS NULL").drop("_kb", "_start", "_off", "_off_total")
 
 
 def earlier_counts(df: DataFrame, by: list[str], key: str, marks: dict[str, Column]) -> DataFrame:
@@ -54,16 +65,12 @@ def earlier_counts(df: DataFrame, by: list[str], key: str, marks: dict[str, Colu
     Buckets are those of `exact_rank`; all marks share one shuffle.
     """
     d = _key_buckets(df.withColumns({m: F.coalesce(c, F.lit(False)).cast("long") for m, c in marks.items()}), by, key)
-    counts = d.groupBy(*by, "_kb").agg(*[F.sum(m).alias(m) for m in marks])
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    earlier = group.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *by, "_kb", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_off") for m in marks], *[F.sum(m).over(group).alias(f"{m}_total") for m in marks]
-    )
-    inside = W.partitionBy(*by, "_kb").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    out = same_keys_join(d, offsets, [*by, "_kb"])
-    out = out.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"{m}_off") for m in marks})
-    return out.drop("_kb", *marks, *[f"{m}_off" for m in marks])
+    d = _bucket_starts(d, by, {m: F.sum(m) for m in marks})
+    inside = W.partitionBy(*by, "_kb").orderBy(F.col("_start").isNull(), key)
+    before, first = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(W.unboundedPreceding, 0)
+    # A bucket's first row holds what earlier buckets have.
+    d = d.withColumns({f"{m}_before": F.sum(m).over(before) for m in marks} | {f"{m}_total": F.first(f"{m}_total").over(first) for m in marks})
+    return d.filter("_start IS NULL").drop("_kb", "_start", *marks)
 
 
 def sorted_rank(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import order_key
+from ..session import materialize
 from .joins import same_keys_join
 from .ranks import earlier_counts, exact_rank, quantiles
 
@@ -30,7 +31,8 @@ def stratified_split(
 def spatial_blocks(df: DataFrame, by: list[str], size_m: float) -> DataFrame:
     """Square blocks counted from the group's lower left corner; input has projected `x, y`."""
     low = df.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
-    d = same_keys_join(df, low, by)
+    # Stored, small tables show the planner their size, so that it need not shuffle the points to join them.
+    d = same_keys_join(df, materialize(low, "corners"), by)
     d = d.withColumn("block_x", F.floor((F.col("x") - F.col("_x0")) / size_m).cast("int"))
     d = d.withColumn("block_y", F.floor((F.col("y") - F.col("_y0")) / size_m).cast("int"))
     return d.withColumn("block_id", F.concat_ws("_", "block_x", "block_y")).drop("_x0", "_y0")
@@ -45,7 +47,7 @@ def fold_map(df: DataFrame, by: list[str], k: int, seed: int) -> DataFrame:
 
 def assign_folds(df: DataFrame, by: list[str], k: int, seed: int) -> DataFrame:
     """Attach the fold of each point's block; a few rows per group, joined under the planner's size check."""
-    return same_keys_join(df, fold_map(df, by, k, seed), [*by, "block_id"])
+    return same_keys_join(df, materialize(fold_map(df, by, k, seed), "fold_map"), [*by, "block_id"])
 
 
 def reattach_fold(df: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
@@ -54,11 +56,11 @@ def reattach_fold(df: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     return df.join(points.select(*keys, "fold", "block_id").distinct(), keys, "left")
 
 
-def cv_rounds(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder: bool = False) -> DataFrame:
-    """Every point once per round: its own fold is tested, the rest split 70 / 30 by class.
+def cv_labels(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder: bool = False, out: str = "splits") -> DataFrame:
+    """Each point's splits in rounds 1..k as an array: its own fold is tested, the rest split 70 / 30 by class.
 
     The row left over by rounding goes to val; `legacy_remainder` labels it test instead. A point's ranks in all rounds
-    follow from the folds of the points before it, so points are shuffled once and repeated afterwards.
+    follow from the folds of the points before it, so points are shuffled once.
     """
     rounds = range(1, k + 1)
     marks = {f"_f{r}": F.col("fold") == r for r in rounds} | {"_any": F.col("fold").isNotNull(), "_none": F.col("fold").isNull()}
@@ -69,14 +71,23 @@ def cv_rounds(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder:
         rank, n = (F.when(F.col("fold").isNull(), F.col(f"_none_{c}")).otherwise(F.col(f"_any_{c}") - F.col(f"_f{r}_{c}")) for c in ("before", "total"))
         return F.when(F.col("fold") == r, "test").otherwise(split_label(rank, n, 0.70, 0.30, legacy_remainder))
 
+    return d.select(*df.columns, F.array(*[label(r) for r in rounds]).alias(out))
+
+
+def cv_rounds(df: DataFrame, by: list[str], key: str, k: int, legacy_remainder: bool = False) -> DataFrame:
+    """Every point once per round with its split, see `cv_labels`; points are repeated after the shuffle."""
     keep = [c for c in df.columns if c not in ("cv_round", "split")]
-    d = d.select(*keep, F.posexplode(F.array(*[label(r) for r in rounds])).alias("cv_round", "split"))
+    d = cv_labels(df, by, key, k, legacy_remainder, "_splits").select(*keep, F.posexplode("_splits").alias("cv_round", "split"))
     return d.withColumn("cv_round", F.col("cv_round") + 1)
 
 
 def sample_ids(df: DataFrame, by: list[str], key: str, cv: bool = False) -> DataFrame:
     """Sample id and chip names from the rank inside the data set."""
-    d = exact_rank(df, by, key, "_rk")
+    return sample_names(exact_rank(df, by, key, "_rk"), cv)
+
+
+def sample_names(d: DataFrame, cv: bool = False) -> DataFrame:
+    """Sample id and chip names of rows with their rank `_rk` inside the data set."""
     tail = F.concat(F.lit("_CV"), F.col("cv_round")) if cv else F.lit("")
     kind = F.when(F.col("presence") == 1, "pres").otherwise("abs")
     chip = F.concat_ws("_", F.lit("chip"), "_rk", kind, "split")
@@ -95,7 +106,7 @@ def coord_stats(df: DataFrame, by: list[str]) -> DataFrame:
 
 def norm_latlon(df: DataFrame, by: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Z-scores of the coordinates per data set; 0 where the deviation is 0 or undefined."""
-    d = same_keys_join(df, coord_stats(df, by) if stats is None else stats, by)
+    d = same_keys_join(df, materialize(coord_stats(df, by), "coord_stats") if stats is None else stats, by)
     for c in ("lat", "lon"):
         sd = F.nullif(F.col(f"{c}_std"), F.lit(0.0))
         d = d.withColumn(f"{c}_norm", F.coalesce((F.col(c) - F.col(f"{c}_mean")) / sd, F.lit(0.0)))

@@ -237,7 +237,7 @@ CHIPS = species.ChipPlan(8, 4, 4, 16.0, TOPO_GRID, 4, 4)
 def _points(i: Inputs):
     """Occurrences at the image sites of their users; a user without a site has none and gets no chip."""
     at = i.occ.join(i.site.withColumnRenamed("sample_id", "user_id"), "user_id", "left").withColumn("site_id", F.col("user_id"))
-    return at.withColumnsRenamed({"x": "site_x", "y": "site_y"}).withColumn("point_id", F.col("occ_id").cast("string")).withColumn("point_key", F.col("order_key"))
+    return at.withColumnsRenamed({"x": "site_x", "y": "site_y"}).withColumn("point_id", F.col("occ_id").cast("string")).withColumnRenamed("order_key", "point_key")
 
 
 def _sites(points):
@@ -272,9 +272,10 @@ _ELEV = TERRAIN_STATS[TERRAIN_BANDS[0]]
 def build_dataset(i: Inputs):
     pts = materialize(sampling.with_albers(_points(i)), "points")
     chips, topo = species.extract_chips(_sites(pts), i.img_tile, image_blocks(i), topo_blocks(i), CHIPS)
-    rows = species.designs(pts, 0.70, 0.15, 200000.0, 5)
+    # The points' other names and their sites' places say what point_id and site_id do.
+    rows = species.designs(pts.drop("occ_id", "user_id", "site_x", "site_y"), 0.70, 0.15, 200000.0, 5)
     d = species.build_dataset(pts, rows, chips, topo, env_blocks(i), ENV_GRID, 16, _env_stats(i), 0.5)
-    light = chips.select("site_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("chip_sum"))
+    light = materialize(chips.select("site_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("chip_sum")), "chip_sums")
     d = d.join(light, "site_id").groupBy("species", "design", "cv_round", "split")
     return d.agg(F.count(F.lit(1)).alias("n"), F.sum("presence").alias("n_presence"), F.sum("chip_sum").alias("chip_sum"), rnd(F.avg("elev_mean"), 4, "elev_mean"))
 

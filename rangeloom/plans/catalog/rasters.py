@@ -8,6 +8,7 @@ from ...functions import arrays
 from ...functions.names import TERRAIN_BANDS, TERRAIN_STATS
 from ...operators import rasters as r
 from ...operators import tiles as t
+from ...session import materialize
 from ..registry import Inputs, query
 from .cleaning import utm_forward_sql
 from .common import albers_inverse_sql, albers_sql, rnd
@@ -36,7 +37,7 @@ def pixels(chips, arr):
 
 def env_blocks(i: Inputs):
     """The climate raster as 16 x 16 blocks of 20 layers."""
-    return r.to_blocks(i.env_pixel, [], "layer", 20, 16)
+    return materialize(r.to_blocks(i.env_pixel, [], "layer", 20, 16), "env_blocks")
 
 
 _ENV_AT = """e AS (SELECT o.occ_id, p.layer, p.v FROM occ o JOIN env_pixel p ON p.r = CAST(floor((50 - o.lat) * 8) AS BIGINT) AND p.c = CAST(floor((o.lon + 130) * 8) AS BIGINT))"""
@@ -100,7 +101,7 @@ def layer_stats(i: Inputs):
  WHERE EXISTS (SELECT 1 FROM tile_idx WHERE downloaded AND -130 + (c + 0.5) / 8 BETWEEN minx - 0.01 AND maxx + 0.01 AND 50 - (r + 0.5) / 8 BETWEEN miny - 0.01 AND maxy + 0.01) GROUP BY layer""",
 )
 def footprint_stats(i: Inputs):
-    from ...session import materialize, scratch_path
+    from ...session import scratch_path
     from ...sources import stats
 
     # Blocks of 4 x 4 pixels, so that some lie in a half-degree tile as a whole.
@@ -496,7 +497,7 @@ def tile_summary(i: Inputs):
  FROM tile_dims LEFT JOIN bad USING (tile_id) LEFT JOIN cnt USING (tile_id) LEFT JOIN per USING (tile_id)""",
 )
 def scoring_flow(i: Inputs):
-    from ...session import materialize, scratch_path
+    from ...session import scratch_path
     from .. import scoring
 
     path = scratch_path(i.spark, "scores")

@@ -11,6 +11,7 @@ from ..functions.arrays import clamp_unit, finite
 from ..functions.keys import order_key
 from ..functions.names import CLIMATE, ENVIRONMENT, TERRAIN_BANDS, TERRAIN_STATS
 from ..operators import clean, rasters, sampling, spatial, splits
+from ..operators.ranks import exact_rank
 from ..session import materialize
 from ..sinks import tables
 
@@ -86,20 +87,34 @@ def presence_background(
 
 
 def designs(points: DataFrame, train: float, val: float, block_m: float, k: int, seed: int = 42) -> DataFrame:
-    """Uniform split and k spatial rounds of the same points, in one table keyed by design and round."""
-    u = splits.stratified_split(points, BY, "point_key", train, val)
-    u = u.withColumn("design", F.lit("uniform")).withColumn("cv_round", F.lit(0))
-    f = splits.assign_folds(splits.spatial_blocks(points, BY, block_m), BY, k, seed)
-    cv = splits.cv_rounds(materialize(f, "folds"), BY, "point_key", k).withColumn("design", F.lit("spatial_cv"))
-    return u.unionByName(cv, allowMissingColumns=True)
+    """Uniform split and k spatial rounds of the same points: a row a point, its splits as an array `rounds` of (design, round, split).
 
+    Points travel once through every step, whatever the number of rounds; `each_round` gives the rows of all rounds.
+    """
+    u = splits.stratified_split(points, BY, "point_key", train, val).withColumnRenamed("split", "_uniform")
+    f = splits.assign_folds(splits.spatial_blocks(u, BY, block_m), BY, k, seed)
+    d = splits.cv_labels(materialize(f, "folds"), BY, "point_key", k, out="_cv")
+    entry = lambda design, cv_round, split: F.struct(F.lit(design).alias("design"), cv_round.alias("cv_round"), split.alias("split"))
+    cv = F.transform("_cv", lambda s, i: entry("spatial_cv", i + 1, s))
+    return d.withColumn("rounds", F.concat(F.array(entry("uniform", F.lit(0), F.col("_uniform"))), cv)).drop("_uniform", "_cv")
+
+
+def each_round(points: DataFrame) -> DataFrame:
+    """One row for each point and entry of its `rounds`; a uniform split knows no folds and blocks."""
+    d = points.select("*", F.inline("rounds")).drop("rounds")
+    spatial = F.col("design") == "spatial_cv"
+    return d.withColumns({c: F.when(spatial, F.col(c)) for c in ("block_x", "block_y", "block_id", "fold")})
 
-def extract_environment(points: DataFrame, blocks: DataFrame, grid: tuple[float, float, float, float], side: int, stats: DataFrame) -> DataFrame:
+
+def extract_environment(
+    points: DataFrame, blocks: DataFrame, grid: tuple[float, float, float, float], side: int, stats: DataFrame, without: tuple[str, ...] = ()
+) -> DataFrame:
     """Climate z-scores and the bounded modification index at each point; implausible rows are dropped.
 
-    `blocks` hold the 19 climate layers and the index as layer 19; `stats` has the 19 climate rows.
+    `blocks` hold the 19 climate layers and the index as layer 19; `stats` has the 19 climate rows. Columns named by
+    `without` neither travel to the blocks nor come back.
     """
-    d = rasters.sample_rasters(points, blocks, grid, len(ENVIRONMENT), side, "point_id")
+    d = rasters.sample_rasters(points, blocks, grid, len(ENVIRONMENT), side, "point_id").drop(*without)
     d = d.withColumn("ghm", clamp_unit(F.col("values")[len(CLIMATE)])).withColumn("values", F.slice("values", 1, len(CLIMATE)))
     d = rasters.zscore_values(d, stats)
     # The test runs on the arrays and the result is stored once per point: testing twenty derived
@@ -111,7 +126,7 @@ def extract_environment(points: DataFrame, blocks: DataFrame, grid: tuple[float,
 
 def build_dataset(
     points: DataFrame,
-    design_rows: DataFrame,
+    design_points: DataFrame,
     chips: DataFrame,
     topo: DataFrame,
     env_blocks: DataFrame,
@@ -122,22 +137,24 @@ def build_dataset(
 ) -> DataFrame:
     """Model-ready rows: everything is read once per point, then joined to its splits.
 
-    `points` have a `site_id`; `chips` and `topo` are those of `extract_chips`. A point without an image chip, usable
-    climate values or enough terrain is left out. A point appears in every round but is extracted once. Pixels stay in
-    the chip tables, which the rows name by `site_id`.
+    `points` have a `site_id`; `design_points` are those of `designs`, `chips` and `topo` those of `extract_chips`. A point
+    without an image chip, usable climate values or enough terrain is left out. A point appears in every round but is
+    extracted, normalised and ranked once, since all rounds of a species hold the same points; it is repeated at the very
+    end. Pixels stay in the chip tables, which the rows name by `site_id`.
     """
     seen = clean.chip_exists(points.select("point_id", "site_id", "lat", "lon"), chips, ["site_id"])
-    covered = clean.topo_coverage(seen.join(topo.drop("px"), "site_id"), min_topo)
-    ready = extract_environment(covered, env_blocks, env_grid, side, env_stats).drop("lat", "lon")
-    data = materialize(design_rows.drop("site_id").join(ready, "point_id"), "dataset")
-    keys = [*BY, "design", "cv_round"]
-    data = splits.norm_latlon(data, keys)
-    return splits.sample_ids(data, keys, "point_key")
+    terrain = clean.topo_coverage(topo.drop("px"), min_topo)
+    covered = seen.join(terrain.select("site_id"), "site_id", "left_semi")
+    ready = extract_environment(covered, env_blocks, env_grid, side, env_stats, ("lat", "lon"))
+    # A site's terrain comes last, so it does not travel with the points.
+    data = materialize(design_points.drop("site_id").join(ready, "point_id").join(terrain, "site_id"), "dataset")
+    ranked = exact_rank(splits.norm_latlon(data, BY), BY, "point_key", "_rk")
+    return splits.sample_names(each_round(ranked))
 
 
 def write_species(
     points: DataFrame,
-    design_rows: DataFrame,
+    design_points: DataFrame,
     tiles: DataFrame,
     images: DataFrame,
     terrain: DataFrame,
@@ -151,7 +168,7 @@ def write_species(
 ) -> None:
     """The end of the flow: tables `dataset` (by species, design, round and split), `images` and `topo_chips` below `path`."""
     chips, topo = extract_chips(points, tiles, images, terrain, plan)
-    data = build_dataset(points, design_rows, chips, topo, env_blocks, env_grid, side, env_stats, min_topo)
+    data = build_dataset(points, design_points, chips, topo, env_blocks, env_grid, side, env_stats, min_topo)
     tables.write_table(data, f"{path}/dataset", "dataset")
     used = materialize(data.select("site_id").distinct(), "used_sites")
     for name, df in (("images", chips), ("topo_chips", topo.select("site_id", "px"))):
