@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 SLICE_BYTES = 2 << 20
+#: Narrow rows that a file of a scratch table holds.
+FILE_ROWS = 1 << 18
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_few(df: DataFrame, name: str, rows: int, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The same for a table of at most `rows` rows: in as many files as those ask for, not one from every shuffle partition.
+
+    For light last steps only, whose rows are that few; the steps before them keep their tasks.
+    """
+    return stored(df.coalesce(-(-rows // file_rows) or 1), name, "snappy")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column` (one row at least)."""
     for batch in batches:

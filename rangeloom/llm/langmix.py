@@ -157,7 +157,7 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
     """
     langs, table = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, table))  # languages x 65,536, see learn()
-    limit = max(1 << 16, min(4 << 20, (16 << 20) // max(1, len(langs))))
+    limit = max(1 << 16, min(2 << 20, (8 << 20) // max(1, len(langs))))
 
     def run(batches):
         langs, table = sent.value

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, stored
+from .common import id_text, release, slices, stored, stored_few
 from .words import word_ids
 
 CAPACITY, UNIT = 4096, 16
@@ -176,10 +176,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
             ends = np.append(0, np.cumsum(n) * 4)
             binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays([*(pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(cols, kinds, strict=True)), binary], [x.split()[0] for x in _ROWS.split(", ")])
+            del ids, binary
+        release()
 
     rows = stored(id_text(docs, id_col, text_col).mapInArrow(encode, _ROWS), "ids")
     counts = rows.groupBy("part", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("n") / capacity)).alias("fulls"), F.sum(F.col("n") % unit).alias("tails"))
-    counts = stored(counts, "counts")
+    n_parts = rows.select("part").distinct().count()
+    counts = stored_few(counts, "counts", n_parts * (capacity // unit))
     histogram = counts.groupBy("size").agg(F.sum("n").alias("n"), F.sum("fulls").alias("fulls"), F.sum("tails").alias("tails")).collect()
     demand = np.zeros(capacity // unit + 1, np.int64)
     for r in histogram:
@@ -193,7 +196,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     sums = counts.groupBy("part").agg(F.sum("fulls").alias("f"), F.sum("tails").alias("t"))
     sums = sums.select("part", *[F.coalesce(F.sum(c).over(earlier(F.lit(0))), F.lit(0)).alias(name) for c, name in (("f", "fulls_before"), ("t", "tails_before"))])
     offsets = ranks.join(sums, "part")
-    n_parts = counts.agg(F.count_distinct("part")).first()[0]
     if n_parts * (capacity // unit) * 16 <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     at = F.col("rank") + F.element_at("ranks_before", F.col("size"))

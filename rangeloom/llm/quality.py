@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import apart, stored
+from .common import apart, stored, stored_few
 
 GRID = 1024
 STEPS = 3
@@ -170,6 +170,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         whole = _numbers(_estimate(_concentrate(rows.select("*", *whole.values()), [])))
     own = stored(_start(_medians(rows, _KEYS)), "groups", "snappy")
+    n_groups = own.count()
     for step in range(STEPS):
         sums = _concentrate(rows.join(own, _KEYS), _KEYS)
         if step == STEPS - 1:
@@ -178,7 +179,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         est = _estimate(sums)
         if step == STEPS - 1:
             est = est.select(*_KEYS, *[((F.col(f"m{i}") * F.col("n_own") + whole[f"m{i}"] * float(PRIOR)) / (F.col("n_own") + float(PRIOR))).alias(f"m{i}") for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS])
-        own = stored(est, "groups", "snappy")
+        own = stored_few(est, "groups", n_groups)
     return own
 
 

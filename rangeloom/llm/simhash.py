@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, id_text, release, slices, stored
+from .common import apart, id_text, release, slices, stored, stored_few
 
 BITS = 64
 HOT_BUCKET, SPLITS = 4096, 4
@@ -19,6 +19,8 @@ HOT_BUCKET, SPLITS = 4096, 4
 SIMILAR, BANDS, BAND_ROWS = 0.8, 32, 6
 #: Rounds of comparing bucket members with a leader, and members that a task compares with each other twice over.
 LEADERS, BLOCK = 2, 256
+#: Rows of profiles (about 300 bytes) and of shingle sets (some kilobytes) that a file of a scratch table holds.
+FILE_PROFILES, FILE_SETS = 1 << 15, 1 << 11
 _FACTOR, _SHIFT = np.random.default_rng(10).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
 _FACTOR |= np.uint32(1)
 _BIT_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -169,7 +171,7 @@ def bucket_keys(fps: DataFrame, bits: int, hot: int = HOT_BUCKET) -> DataFrame:
         return out
 
     done: list[DataFrame] = []
-    level = explode(fps, everything, [])
+    level, n = explode(fps, everything, []), fps.count()
     for depth in range(SPLITS + 1):
         if depth == SPLITS:
             done += [df for df, _ in level]
@@ -178,7 +180,7 @@ def bucket_keys(fps: DataFrame, bits: int, hot: int = HOT_BUCKET) -> DataFrame:
         for i, (df, _) in enumerate(level):
             part = df.groupBy("key").count().select(F.lit(i).alias("i"), "key", "count")
             counts = part if counts is None else counts.unionAll(part)
-        busy = stored(counts.filter(F.col("count") > 1), "buckets", "snappy")
+        busy = stored_few(counts.filter(F.col("count") > 1), "buckets", n * len(level))
         crowded = {r["i"] for r in busy.filter(F.col("count") > hot).select("i").distinct().collect()}
         deeper = []
         for i, (df, rest) in enumerate(level):
@@ -214,24 +216,26 @@ def near_links(fps: DataFrame, bits: int = 2, hot: int = HOT_BUCKET) -> DataFram
     return bucket_keys(fps, bits, hot).repartition("key").mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows `node, root` of every node of the edges `u, v`: the smallest node it can reach.
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows `node, root` of every node of the edges `u, v` (`most` at most, if known): the smallest node it can reach.
 
     Alternating large and small stars; each round is written to the shared folder, and the driver only
     compares a count and a checksum. A node with very many links is aggregated before it is shuffled.
     """
-    edges, seen = stored(edges, "edges", "snappy"), None
+    edges, seen = stored(edges, "edges", "snappy") if most is None else stored_few(edges, "edges", most), None
+    most = edges.count()
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionAll(down.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges", "snappy")
+        # A round makes two edges of one at most.
+        edges = stored_few(small.distinct(), "edges", 2 * most)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, most = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -401,14 +405,14 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "u long, v long")
 
 
-def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`labels` (`node, root`) after more edges `u, v` between nodes: only roots of different components are linked anew."""
+def merge(labels: DataFrame, links: DataFrame, nodes: int, most: int | None = None) -> DataFrame:
+    """`labels` (`node, root`) after more edges `u, v` (`most` at most, if known) between `nodes` nodes: only roots of different components are linked anew."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("x"), F.coalesce("v_root", "v").alias("y"))
-    moved = components(ends.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    moved = stored(moved, "moved", "snappy")
+    moved = components(ends.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), most)
+    moved = stored_few(moved, "moved", nodes)
     known = labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stored(known.unionAll(moved.join(labels.select("node"), "node", "left_anti")), "labels", "snappy")
+    return stored_few(known.unionAll(moved.join(labels.select("node"), "node", "left_anti")), "labels", nodes)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 42, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -422,7 +426,8 @@ def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 4
     """
     rows = stored(profiles(docs, words, seed), "profiles", "snappy")
     sets = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = stored(sets.filter("n > 0"), "shingle_sets", "snappy")
+    sets = stored_few(sets.filter("n > 0"), "shingle_sets", rows.count(), FILE_PROFILES)
+    n = sets.count()
     first = sets.groupBy("fp").agg(F.min("node").alias("first"))
     same = sets.join(first, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
@@ -430,15 +435,16 @@ def similar_groups(docs: DataFrame, words: int = 5, bits: int = 6, seed: int = 4
     pairs = stored(same.unionAll(close), "pairs", "snappy")
     spread = sets.select(F.explode("bands").alias("key"), "node", "n")
     many = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    members = stored(spread.join(many, "key", "left_semi"), "buckets", "snappy")
+    members = stored_few(spread.join(many, "key", "left_semi"), "buckets", BANDS * n)
     need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(members.select("node")).distinct()
-    sets = stored(shingle_sets(docs, rows, need, words, seed), "sets", "snappy")
-    labels = stored(components(similar(pairs, sets, least)), "labels", "snappy")
+    sets = stored_few(shingle_sets(docs, rows, need, words, seed), "sets", n, FILE_SETS)
+    labels = stored_few(components(similar(pairs, sets, least)), "labels", n)
     for turn in range(LEADERS):
-        members = stored(open_buckets(members.select("key", "node", "n"), labels), "buckets", "snappy")
-        labels = merge(labels, similar(leader_pairs(members, least, turn), sets, least))
-    members = stored(open_buckets(members.select("key", "node", "n"), labels), "buckets", "snappy")
-    labels = merge(labels, torn_pairs(members, sets, least, block))
+        members = stored_few(open_buckets(members.select("key", "node", "n"), labels), "buckets", members.count())
+        # Each row of a bucket meets its leader at most.
+        labels = merge(labels, similar(leader_pairs(members, least, turn), sets, least), n, members.count())
+    members = stored_few(open_buckets(members.select("key", "node", "n"), labels), "buckets", members.count())
+    labels = merge(labels, torn_pairs(members, sets, least, block), n)
     return rows.select("doc_id", "hash", "node").join(labels, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("root"))
 
 

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from rangeloom.llm import gru, langmix, lm, media, quality, simhash, suffixes
+from rangeloom.llm import common, gru, langmix, lm, media, quality, simhash, suffixes
 
 
 def fingerprint(text, words):
@@ -413,3 +414,13 @@ def test_sequence_score_by_single_steps():
             last = y
         at += n
     assert np.allclose(gru.score(p, symbols, sizes, width=2), want, atol=1e-3)
+
+
+def test_components_write_as_many_files_as_rows_ask_for(spark, monkeypatch):
+    files = []
+    plain = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, *a: files.append(len((out := plain(df, *a)).inputFiles())) or out)
+    edges = spark.range(60).select((F.col("id") + 1).alias("u"), F.col("id").alias("v")).repartition(16, "u")
+    got = simhash.components(edges, 60).select("node", "root").distinct().collect()
+    assert sorted((r.node, r.root) for r in got) == [(i, 0) for i in range(61)]
+    assert files and set(files) == {1}
