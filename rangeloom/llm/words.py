@@ -157,7 +157,7 @@ class Encoder:
             self.mark[i] = token.startswith("\u0120") if spaces else token.endswith("</w>")
 
     def _batch(self, texts: list[str], quick: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in (self.quick if quick else self.tok).encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in (self.quick if quick and self.quick else self.tok).encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
