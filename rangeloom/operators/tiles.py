@@ -5,18 +5,23 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import finite, scale_255, zero_fill
-from ..functions.geo import albers_inverse, albers_xy, pixel_to_map, utm_inverse, utm_xy
+from ..functions.geo import pixel_to_map, utm_inverse
 from ..functions.names import COORD_STATS, TERRAIN_BANDS, TERRAIN_SCALARS, TERRAIN_STATS, family_inputs
 from ..session import materialize
-from .rasters import image_window_valid, normalize_bands, summarize_topo, valid_fraction
+from .joins import MAX_HOT_KEYS
+from .rasters import image_window_valid, normalize_bands, summarize_topo, valid_fraction, whole_groups
+from .warp import PARTS, warp_table
 
 NODATA = -9999.0
 #: Squares of single chips that a task adds up.
 TASK_SQUARES = 1 << 18
+#: Target pixels of a warp for a task, and of one tile for one task at most.
+TASK_TARGETS, PART_TARGETS = 1 << 19, 1 << 22
+#: Rows of squares and tiles that a task warps in one go.
+WARP_ROWS = 1 << 16
 
 
 def chip_grid(tiles: DataFrame, chip: int, stride: int) -> DataFrame:
@@ -116,64 +121,35 @@ def with_uncovered(mosaic: DataFrame, tiles: DataFrame, cell: int) -> DataFrame:
 def mosaic_reproject(mosaic: DataFrame, tiles: DataFrame, cell: int, res: float) -> DataFrame:
     """Bilinear warp of the mosaic to an Albers grid of `res` metres aligned to multiples of `res`.
 
-    Target pixels are generated per tile over its projected bounds; each meets the square of its upper left source
-    pixel, which brings the squares next to it, so its 2 x 2 source pixels need one join and no grouping. Target pixels without a valid neighbour are left out.
+    A tile's squares and its size and place meet in one shuffle. A task makes the target pixels of many tiles at a time, over
+    their projected bounds, and looks up their 2 x 2 source pixels, so pixels become rows only with their result. Tiles with over
+    PART_TARGETS target pixels and 1/4096 of all are cut into parts by target row, each with all squares. Target pixels without a
+    valid neighbour are left out, and tiles that lack a size or a place.
     """
-    corner = F.explode(F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c")) for r in ("_zero", "height") for c in ("_zero", "width")]))
-    d = tiles.withColumn("_north", _north(tiles)).withColumn("_zero", F.lit(0).cast("long")).withColumn("_k", corner)
-    px, py = pixel_to_map(F.col("_k.r"), F.col("_k.c"), F.col("x0"), F.col("y0"), F.col("px_size"), F.col("px_size"))
-    lat, lon = utm_inverse(px, py, F.col("zone"), F.col("_north"))
-    ax, ay = albers_xy(F.col("_lat"), F.col("_lon"))
-    d = d.withColumn("_lat", lat).withColumn("_lon", lon).withColumn("_ax", F.floor(ax / res)).withColumn("_ay", F.floor(ay / res))
-    info = ["tile_id", "height", "width", "x0", "y0", "px_size", "zone", "_north"]
-    t = d.groupBy(*info).agg(*[f(c).alias(n) for n, f, c in (("_x1", F.min, "_ax"), ("_x2", F.max, "_ax"), ("_y1", F.min, "_ay"), ("_y2", F.max, "_ay"))])
-    t = t.withColumn("_many", F.count(F.lit(1)).over(W.partitionBy("tile_id")))
-    t = t.withColumn("gy", F.explode(F.sequence("_y1", "_y2"))).withColumn("gx", F.explode(F.sequence("_x1", "_x2")))
-    lat, lon = albers_inverse((F.col("gx") + 0.5) * res, (F.col("gy") + 0.5) * res)
-    t = t.withColumn("_lat", lat).withColumn("_lon", lon)
-    ux, uy = utm_xy(F.col("_lat"), F.col("_lon"), F.col("zone"), F.col("_north"))
-    t = t.withColumn("u", (ux - F.col("x0")) / F.col("px_size") - 0.5).withColumn("v", (F.col("y0") - uy) / F.col("px_size") - 0.5)
-    # Stored, so that the arithmetic of the projection runs once.
-    t = materialize(t.select("tile_id", "_many", "height", "width", "gx", "gy", "u", "v"), "targets")
-    place = ["tile_id", "cell_row", "cell_col"]
-    t = t.withColumn("cell_row", F.floor(F.floor("v") / cell)).withColumn("cell_col", F.floor(F.floor("u") / cell))
-    # A square meets at most (cell / res + 1)^2 targets, so no key is crowded. Sizes of exploded rows are underestimated,
-    # so the planner would broadcast the squares.
-    j = t.join(_with_next_squares(mosaic).hint("merge"), place)
-    parts = {"prediction": [], "uncertainty": []}
-    weights = []
-    for y in (0, 1):
-        for x in (0, 1):
-            r, c = F.floor("v") + y, F.floor("u") + x
-            w = (F.lit(1.0) - F.abs(F.col("u") - c)) * (F.lit(1.0) - F.abs(F.col("v") - r))
-            down, right = F.floor(r / cell) > F.col("cell_row"), F.floor(c / cell) > F.col("cell_col")
-            sq = F.when(down & right, F.col("_s11")).when(down, F.col("_s10")).when(right, F.col("_s01")).otherwise(F.col("_s00"))
-            ok = (w > 0) & (r >= 0) & (c >= 0) & (r < F.col("height")) & (c < F.col("width")) & sq.isNotNull()
-            weights.append(F.when(ok, w))
-            for name, p in parts.items():
-                p.append(F.when(ok, w * sq[name]))
-
-    def add(terms: list[Column]) -> Column:
-        known = F.filter(F.array(*terms), lambda a: a.isNotNull())
-        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, b: a + b))
-
-    at = ["tile_id", "gx", "gy"]
-    j = j.select(*at, "_many", add(weights).alias("_w"), *[add(p).alias(name) for name, p in parts.items()]).filter("_w IS NOT NULL")
-    # Only tiles stored with several sizes or places meet the same target twice.
-    twice = j.filter("_many > 1").groupBy(*at).agg(*[F.sum(c).alias(c) for c in ("_w", *parts)])
-    out = j.filter("_many = 1").drop("_many").unionByName(twice)
-    return out.select(*at, *[(F.col(c) / F.col("_w")).alias(c) for c in parts])
-
-
-def _with_next_squares(mosaic: DataFrame) -> DataFrame:
-    """Each place of the squares with its own square and those to the right, below and across (`_s00, _s01, _s10, _s11`; NULL: none)."""
-    d = mosaic.select("tile_id", "cell_row", "cell_col", F.struct("prediction", "uncertainty").alias("_s"))
-    back = F.array(F.lit(0), F.lit(1))
-    d = d.withColumn("_y", F.explode(back)).withColumn("_x", F.explode(back))
-    d = d.withColumn("cell_row", F.col("cell_row") - F.col("_y")).withColumn("cell_col", F.col("cell_col") - F.col("_x"))
-    return d.groupBy("tile_id", "cell_row", "cell_col").agg(
-        *[F.max(F.when((F.col("_y") == y) & (F.col("_x") == x), F.col("_s"))).alias(f"_s{y}{x}") for y in (0, 1) for x in (0, 1)]
+    kind = tiles.schema["tile_id"].dataType
+    info = {"height": "long", "width": "long", "x0": "double", "y0": "double", "px_size": "double", "zone": "double", "north": "boolean"}
+    t = tiles.withColumn("north", _north(tiles)).select("tile_id", *[F.col(c).cast(k) for c, k in info.items()]).dropna().distinct()
+    t = materialize(t, "tiles")
+    area = F.col("height").cast("double") * F.col("width") * F.col("px_size") * F.col("px_size") / (res * res)
+    total = t.agg(F.sum(area)).first()[0] or 0.0
+    bound = max(PART_TARGETS, total / MAX_HOT_KEYS)
+    # Fewer than 4096 tiles can have such a share.
+    large = F.broadcast(t.filter(area > bound).groupBy("tile_id").agg(F.ceil(F.max(area) / bound).cast("int").alias("_parts")))
+    d = mosaic.filter("tile_id IS NOT NULL AND cell_row IS NOT NULL AND cell_col IS NOT NULL").select(
+        F.col("tile_id").cast(kind), *[F.col(c).cast("long").alias(c) for c in ("cell_row", "cell_col")], *[F.col(c).cast("double").alias(c) for c in PARTS]
     )
+    d = d.unionByName(t.select("tile_id", F.struct(*info).alias("_tile")), allowMissingColumns=True)
+    d = d.join(large, "tile_id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    d = d.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    n_tasks = max(math.ceil(total / TASK_TARGETS), tiles.sparkSession.sparkContext.defaultParallelism)
+    # Rows of one place come in a fixed order, so the result does not depend on how they arrive.
+    d = d.repartition(n_tasks, "tile_id", "_part").sortWithinPartitions("tile_id", "_part", "cell_row", "cell_col", *PARTS)
+
+    def run(batches):
+        for b in whole_groups(batches, "tile_id", WARP_ROWS):
+            yield from warp_table(b, cell, res)
+
+    return d.mapInArrow(run, f"tile_id {kind.simpleString()}, gx long, gy long, prediction double, uncertainty double")
 
 
 def tile_summary(chips: DataFrame, tiles: DataFrame) -> DataFrame:

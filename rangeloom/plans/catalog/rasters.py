@@ -466,7 +466,9 @@ def _reproject_sql(res: float = 60.0) -> str:
 
 @query("T6_mosaic_reproject", ["utm_tile"], _reproject_sql())
 def mosaic_reproject(i: Inputs):
-    d = t.mosaic_reproject(mosaic(i.utm_tile), i.utm_tile, 128, 60.0)
+    # Dealt out, since one file may hold all tiles and a tile has many chips.
+    utm_tile = materialize(i.utm_tile.repartition("tile_id"), "utm_tiles")
+    d = t.mosaic_reproject(mosaic(utm_tile), utm_tile, 128, 60.0)
     return d.select("tile_id", "gx", "gy", rnd("prediction", 4), rnd("uncertainty", 4))
 
 

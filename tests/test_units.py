@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.functions import geo, names, text
+from rangeloom.functions import geo, geo_arrays, names, text
 from rangeloom.functions.keys import order_key
-from rangeloom.operators import clean, joins, metrics, models, ranks, rasters, sampling, spatial, splits, tiles, trials
+from rangeloom.operators import clean, joins, metrics, models, ranks, rasters, sampling, spatial, splits, tiles, trials, warp
 from rangeloom.plans import scoring
 from rangeloom.session import scratch_path
 from rangeloom.sinks import tables
@@ -720,3 +720,103 @@ def test_ranks_shuffle_rows_once(spark):
             assert "SortMergeJoin" not in plan and plan.count("Window [") >= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_projections_of_arrays_equal_those_of_columns(spark):
+    g = np.random.default_rng(5)
+    zone, north = g.integers(1, 61, 300), g.random(300) < 0.6
+    lat, lon = g.uniform(0.1, 80, 300) * np.where(north, 1, -1), zone * 6 - 183 + g.uniform(-4, 4, 300)
+    d = spark.createDataFrame([(i, float(a), float(b), int(z), bool(n)) for i, (a, b, z, n) in enumerate(zip(lat, lon, zone, north))], "i int, lat double, lon double, zone int, north boolean")
+    d = d.withColumns(dict(zip("xy", geo.albers_xy(F.col("lat"), F.col("lon"))))).withColumns(dict(zip("en", geo.utm_xy(F.col("lat"), F.col("lon"), F.col("zone"), F.col("north")))))
+    d = d.withColumns(dict(zip(("lat_a", "lon_a"), geo.albers_inverse(F.col("x"), F.col("y"))))).withColumns(dict(zip(("lat_u", "lon_u"), geo.utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.col("north")))))
+    got = d.orderBy("i").toPandas()
+    x, y, e, n = (got[c].to_numpy() for c in ("x", "y", "e", "n"))
+    for want, have, most in (
+        (("x", "y"), geo_arrays.albers_xy(lat, lon), 1e-7), (("e", "n"), geo_arrays.utm_xy(lat, lon, zone, north), 1e-7),
+        (("lat_a", "lon_a"), geo_arrays.albers_inverse(x, y), 1e-12), (("lat_u", "lon_u"), geo_arrays.utm_inverse(e, n, zone, north), 1e-12),
+    ):
+        assert all(np.abs(got[c].to_numpy() - v).max() < most for c, v in zip(want, have))
+
+
+WARP_TILES = "tile_id long, height long, width long, x0 double, y0 double, px_size double, zone int, north boolean"
+WARP_SQUARES = "tile_id long, cell_row long, cell_col long, prediction double, uncertainty double"
+
+
+def warp_by_hand(tile_rows, squares, cell, res):
+    """Weight sums pixel by pixel; of squares at one place the greater counts."""
+    of, out = {}, {}
+    for s in sorted(squares, key=lambda s: [(v is not None, v or 0) for v in s]):
+        of[s[:3]] = s[3:]
+    for k, h, w, x0, y0, px, zone, north in set(tile_rows):
+        if None in (k, h, w, x0, y0, px, zone):
+            continue
+        north = north is not False
+        at = [geo_arrays.albers_xy(*geo_arrays.utm_inverse(x0 + c * px, y0 - r * px, zone, north)) for r in (0, h) for c in (0, w)]
+        (x1, x2), (y1, y2) = ((math.floor(min(v) / res), math.floor(max(v) / res)) for v in zip(*at))
+        for gy in range(y1, y2 + 1):
+            for gx in range(x1, x2 + 1):
+                x, y = geo_arrays.utm_xy(*geo_arrays.albers_inverse((gx + 0.5) * res, (gy + 0.5) * res), zone, north)
+                u, v = (float(x) - x0) / px - 0.5, (y0 - float(y)) / px - 0.5
+                for r, c in ((math.floor(v) + a, math.floor(u) + b) for a in (0, 1) for b in (0, 1)):
+                    weight, s = (1 - abs(u - c)) * (1 - abs(v - r)), of.get((k, r // cell, c // cell))
+                    if 0 <= r < h and 0 <= c < w and s and weight > 0:
+                        terms = out.setdefault((k, gx, gy), [])
+                        terms.append((weight, *s))
+    mean = lambda t, i: None if all(x[i] is None for x in t) else sum(x[0] * x[i] for x in t if x[i] is not None) / sum(x[0] for x in t)
+    return {at: (mean(t, 1), mean(t, 2)) for at, t in out.items()}
+
+
+def odd_warp():
+    north, south = (300000.0, 4100000.0, 1.0, 11, True), (500000.0, 6000000.0, 0.6, 19, False)
+    t = [(1, 640, 500, *north), (1, 640, 500, *north), (2, 300, 700, *south), (3, 256, 256, *north), (3, 300, 256, 300050.0, 4100040.0, 1.0, 11, None), (4, None, 300, *north),
+         (5, 300, 300, None, *north[1:]), (None, 300, 300, *north), (6, 300, 300, *north), (7, 300, 300, *north[:3], None, True), (8, 512, 512, 700000.0, 1000.0, 5.0, 32, True)]
+    g = np.random.default_rng(3)
+    some = lambda share: float(g.random()) if g.random() < share else None
+    m = [(k, r, c, some(0.8), some(0.9)) for k in (1, 2, 3, 4, 5, 7, 8, 9, None) for r in range(-1, 11) for c in range(-1, 12) if g.random() < 0.8]
+    # Squares at one place, without a place, and with a number that is none.
+    return t, [*m, (1, 0, 0, 0.9, 0.1), (1, 0, 0, 0.2, 0.7), (1, None, 0, 0.2, 0.7)], [(3, 1, 1, float("nan"), 0.5)]
+
+
+def test_warp_equals_sums_by_hand(spark, monkeypatch):
+    t, m, nan = odd_warp()
+    m = [s for s in m if s[:3] != (3, 1, 1)]
+    want = warp_by_hand(t, [s for s in m if None not in s[:3]] + nan, 64, 20.0)
+    assert {k for k, _, _ in want} == {1, 2, 3, 8} and any(a is None for a, _ in want.values())
+    assert any(a is not None and math.isnan(a) for a, _ in want.values())
+    td, md = spark.createDataFrame(t, WARP_TILES), spark.createDataFrame(m + nan, WARP_SQUARES)
+    for part, rows_at_once in ((tiles.PART_TARGETS, tiles.WARP_ROWS), (100, 7)):
+        # Then tiles are cut into parts, and tables end at every tile.
+        monkeypatch.setattr(tiles, "PART_TARGETS", part)
+        monkeypatch.setattr(tiles, "WARP_ROWS", rows_at_once)
+        out = tiles.mosaic_reproject(md, td, 64, 20.0).collect()
+        got = {(r.tile_id, r.gx, r.gy): (r.prediction, r.uncertainty) for r in out}
+        assert len(out) == len(got) and set(got) == set(want)
+        for k, pair in want.items():
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-7 or math.isnan(a) and math.isnan(b)) for a, b in zip(got[k], pair)), k
+
+
+def test_warp_makes_targets_a_batch_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    t, m, _ = odd_warp()
+    info = pa.struct([(n, k) for n, k in zip(("height", "width", "x0", "y0", "px_size", "zone", "north"), (pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.bool_()))])
+    rows_in = [{"tile_id": 1, "_tile": dict(zip([f.name for f in info], t[0][1:])), "cell_row": None, "cell_col": None, "prediction": None, "uncertainty": None}]
+    rows_in += [dict(zip(("tile_id", "cell_row", "cell_col", "prediction", "uncertainty"), s)) | {"_tile": None} for s in m if s[0] == 1 and s[1] is not None]
+    kinds = [("tile_id", pa.int64()), ("_tile", info), ("cell_row", pa.int64()), ("cell_col", pa.int64()), ("prediction", pa.float64()), ("uncertainty", pa.float64()), ("_part", pa.int32()), ("_parts", pa.int32())]
+    table = pa.Table.from_pylist([r | {"_part": 0, "_parts": 1} for r in rows_in], pa.schema(kinds))
+    whole = pa.Table.from_batches(warp.warp_table(table, 64, 20.0))
+    monkeypatch.setattr(warp, "TARGETS", 100)
+    batches = [*warp.warp_table(table, 64, 20.0)]
+    assert max(b.num_rows for b in batches) <= 100 and len(batches) > 5 and pa.Table.from_batches(batches).equals(whole)
+
+
+def test_warp_stores_and_shuffles_no_target_pixels(spark, monkeypatch):
+    t = spark.createDataFrame([(k, 640, 500, 300000.0 + k, 4100000.0, 1.0, 11) for k in range(5)], "tile_id long, height long, width long, x0 double, y0 double, px_size double, zone int")
+    m = tiles.overlap_mosaic(tiles.chip_grid(t, 256, 128).withColumns({"mean_p": F.lit(0.5), "std_p": F.lit(0.1)}), 256, 128)
+    stored = []
+    monkeypatch.setattr(tiles, "materialize", lambda d, name="": stored.append(d.count()) or d)
+    out = tiles.mosaic_reproject(m, t, 128, 20.0)
+    assert out.count() > 1000 and stored == [5]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The one shuffle before the pixels is that of squares and tiles, by tile.
+    assert "SortMergeJoin" not in plan and "gy" not in plan[plan.index("MapInArrow") :].split("\n", 1)[1]
